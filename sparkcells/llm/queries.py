@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
-from .common import cut, table
+from . import chat_rotation, license_scan, line_dedup, packing, quality_rules, simhash, toxicity
+from .common import cut, id_crc, table
 
 #: Where the tokeniser's vocabulary is: a name that the tokeniser package resolves, or a path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -20,6 +20,56 @@ def vocabulary(name: str) -> str:
     return name if "/" in name else str(public_tokenizers.path(name))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x["name"].startswith("phrase "))
+    joined = lambda x: F.array_join(F.sort_array(F.array_distinct(F.transform(x, lambda y: y["label"]))), ",")
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda x: x["first"])).cast("long").alias("first_word"),
+        F.array_max(F.transform(base, lambda x: x["first"])).cast("long").alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.col("found")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["cover"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = cut(quality_rules.statistics(table(spark, sf_dir, "documents"), ["doc_id"]))
+    rules = quality_rules.fit(stats, table(spark, sf_dir, "labels"))
+    failed = quality_rules.base_failed()
+    rule = quality_rules.verdict(rules)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return stats.select("doc_id", *counts, failed.alias("base_failed"), (~failed & (rule == 0)).alias("kept"), rule.alias("rule"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.apply(docs, line_dedup.dropped(docs))
+    bitmap, text = F.col("bitmap"), F.col("text")
+    return found.select(
+        "doc_id", F.size(line_dedup.lines_of(text)).cast("long").alias("n_lines"), line_dedup.n_dropped(bitmap).alias("n_dropped"),
+        F.sha2(line_dedup.kept_text(text, bitmap), 256).alias("kept_sha256"),
+    )
+
+
+def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+    span = F.transform("spans", lambda x: F.concat(x["first"].cast("string"), F.lit("-"), x["last"].cast("string")))
+    return found.select(
+        "conv_id", "perspective", "part", "n_turns", "n_masked", "rendered",
+        F.concat_ws("|", "names").alias("names"), F.concat_ws("|", "roles").alias("roles"),
+        F.concat_ws("", F.col("mask").cast("array<string>")).alias("mask"), F.concat_ws(",", span).alias("spans"),
+    )
+
+
+def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learns = F.pmod(id_crc("doc_id"), F.lit(5)) != 0
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"), learns)
+    found = toxicity.score(docs, machine, ["doc_id"])
+    return found.select("doc_id", (~learns).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = cut(packing.pieces(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY)))
     packed = packing.pack(made)
@@ -31,8 +81,44 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_chat_rotation": op4_chat_rotation,
+    "op5_toxicity_fm": op5_toxicity_fm,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_OP3 = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.doc_id, i, line, coalesce(k.doc_id <> keeper, false) AS lost FROM k LEFT JOIN r ON k.key = r.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE lost)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+_OP4 = """
+WITH t AS (SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS name, coalesce(text, '') AS words,
+           floor(coalesce(turn, 0) / 256.0)::BIGINT AS part FROM conversations),
+p AS (SELECT DISTINCT conv_id, name AS perspective FROM t WHERE name <> 'system'),
+r AS (SELECT t.*, perspective, CASE WHEN name = perspective THEN 'assistant' WHEN name = 'system' THEN 'system' ELSE 'user' END AS kind
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+h AS (SELECT *, CASE WHEN kind = 'user' THEN '<|user name=' || name || '|>' ELSE '<|' || kind || '|>' END || chr(10) AS head FROM r),
+o AS (SELECT *, sum(length(head) + length(words) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, name, words
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS finish FROM h)
+SELECT conv_id, perspective, part, count(*)::BIGINT AS n_turns, count(*) FILTER (WHERE kind = 'assistant')::BIGINT AS n_masked,
+       string_agg(head || words || chr(10), '' ORDER BY turn, name, words, finish) AS rendered,
+       string_agg(name, '|' ORDER BY turn, name, words, finish) AS names,
+       string_agg(kind, '|' ORDER BY turn, name, words, finish) AS roles,
+       string_agg(CASE WHEN kind = 'assistant' THEN '1' ELSE '0' END, '' ORDER BY turn, name, words, finish) AS mask,
+       coalesce(string_agg(((finish - length(words))::BIGINT)::VARCHAR || '-' || (finish::BIGINT)::VARCHAR, ',' ORDER BY turn, name, words, finish)
+                FILTER (WHERE kind = 'assistant'), '') AS spans
+FROM o GROUP BY conv_id, perspective, part
+"""
+
+ORACLES: dict[str, str] = {"op3_line_dedup": _OP3, "op4_chat_rotation": _OP4}
