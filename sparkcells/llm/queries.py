@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_rotation, license_scan, line_dedup, packing, quality_rules, simhash, toxicity
+from . import ann_tree, chat_rotation, langid, license_scan, line_dedup, packing, quality_rules, simhash, toxicity
 from .common import cut, id_crc, table
 
 #: Where the tokeniser's vocabulary is: a name that the tokeniser package resolves, or a path.
@@ -70,6 +70,11 @@ def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~learns).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_tree.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = cut(packing.pieces(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY)))
     packed = packing.pack(made)
@@ -80,14 +85,23 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learns = F.pmod(id_crc("doc_id"), F.lit(4)) != 2
+    found = langid.predict(docs, langid.fit(docs, learns), ["doc_id"])
+    return found.select("doc_id", (~learns).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_rotation": op4_chat_rotation,
     "op5_toxicity_fm": op5_toxicity_fm,
+    "op6_ann_tree": op6_ann_tree,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_byte_cnn_langid": op10_byte_cnn_langid,
 }
 
 _OP3 = """

@@ -69,7 +69,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(who: np.ndarray, what: np.ndarray, label: np.ndarray, prior: float | None = None, factors: int = FACTORS, epochs: int = 12, batch: int = 256, rate: float = 0.1, decay: float = 1e-3, least: int = 4, z: float = 2.5, seed: int = 7) -> Machine:
+def train(who: np.ndarray, what: np.ndarray, label: np.ndarray, prior: float | None = None, factors: int = FACTORS, epochs: int = 40, batch: int = 256, rate: float = 0.3, decay: float = 1e-3, least: int = 4, z: float = 2.5, seed: int = 7) -> Machine:
     """Fit to rows of (row, place), sorted by row. prior: the share of label 1 where it is applied."""
     n = len(label)
     label = label.astype(float)
