@@ -23,7 +23,7 @@ from .common import parts, texts_of
 from .textbytes import FOLD
 
 #: Labelled texts of each language, about, and windows of each text at most, from which the network learns.
-SAMPLE = 1_500
+SAMPLE = 1_000
 WINDOWS = 4
 LANGUAGES = 256
 LENGTH = 256
@@ -108,7 +108,7 @@ class Network:
         return names, scores
 
 
-def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 8, batch: int = 64, rate: float = 4e-3, seed: int = 5) -> Network:
+def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 5) -> Network:
     """Adam on the cross entropy of windows; each window is also shown cut to a random shorter length."""
     rng = np.random.default_rng(seed)
     n_out = len(languages)

@@ -205,14 +205,30 @@ def base_failed(prefix: str = "") -> Column:
     return (col("n_words") < 50) | (100 * col("n_repeat_words") > 50 * col("n_words"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", label: str = "quality", sample: int = SAMPLE, prefix: str = "", **options) -> list[Rule]:
-    """Learn from at most ``sample`` labelled rows of ``stats``, chosen by a hash of their ids (label 0: reject)."""
-    chosen = (
+def chosen(labels: DataFrame, id_column: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """(own_id, own_label) of at most ``sample`` labelled ids, by a hash of the ids; the lowest label of an id."""
+    return (
         labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
         .groupBy(F.col(id_column).alias("own_id")).agg(F.min(label).alias("own_label"))
         .orderBy(F.xxhash64("own_id"), "own_id").limit(sample)
     )
-    rows = stats.join(F.broadcast(chosen), stats[id_column] == F.col("own_id")).select(F.xxhash64("own_id").alias("order"), "own_label", *[c.alias(n) for n, c in ratios(prefix).items()])
+
+
+def fit(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", label: str = "quality", sample: int = SAMPLE, prefix: str = "", **options) -> list[Rule]:
+    """Learn from the chosen labelled rows of ``stats`` (label 0: reject)."""
+    some = stats.select(F.col(id_column).alias("own_id"), *[c.alias(n) for n, c in ratios(prefix).items()])
+    rows = some.join(F.broadcast(chosen(labels, id_column, label, sample)), "own_id").withColumn("order", F.xxhash64("own_id"))
     found = rows.limit(2 * sample).toPandas().sort_values(["order", *FEATURES], ignore_index=True)
     return learn(found[list(FEATURES)], (found["own_label"] == 0).to_numpy(), **options) if len(found) else []
 
+
+def fit_texts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "quality", sample: int = SAMPLE, **options) -> list[Rule]:
+    """Learn from the chosen labelled texts, whose statistics alone are counted."""
+    some = docs.select(F.col(id_column).alias("own_id"), F.col(text_column).alias("text")).join(F.broadcast(chosen(labels, id_column, label, sample)), "own_id", "left_semi")
+    return fit(statistics(some, ["own_id"]), labels.withColumnRenamed(id_column, "own_id"), "own_id", label, sample, **options)
+
+
+def keep(docs: DataFrame, rules: list[Rule], text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass the base checks and that no rule rejects, as they were."""
+    own = "_own_stat_"
+    return statistics(docs, docs.columns, text_column, own).where(~base_failed(own) & (verdict(rules, own) == 0)).select(*docs.columns)

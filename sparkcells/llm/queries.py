@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, chat_rotation, langid, license_scan, line_dedup, packing, quality_rules, simhash, toxicity
+from . import ann_tree, chat_rotation, langid, license_scan, line_dedup, packing, quality_rules, simhash, sp_sampling, toxicity
 from .common import cut, id_crc, table
 
-#: Where the tokeniser's vocabulary is: a name that the tokeniser package resolves, or a path.
+#: Where the tokenisers' vocabularies are: a name that the tokeniser package resolves, or a path.
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -75,6 +76,11 @@ def op6_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_tree.nearest(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op7_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return sp_sampling.sampled(turns, vocabulary(PIECES), [F.col("conv_id"), F.col("turn"), F.col("role")], ["conv_id", "turn", "role"])
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = cut(packing.pieces(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY)))
     packed = packing.pack(made)
@@ -82,7 +88,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2).select("doc_id", "fingerprint", "component_id")
 
 
 def op10_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_rotation": op4_chat_rotation,
     "op5_toxicity_fm": op5_toxicity_fm,
     "op6_ann_tree": op6_ann_tree,
+    "op7_gumbel_segmentations": op7_gumbel_segmentations,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_byte_cnn_langid": op10_byte_cnn_langid,

@@ -1,12 +1,14 @@
-"""SimHash near-duplicates: nested bands, pivot distance tables, exact check, components.
+"""SimHash near-duplicates: bands, pivot distance tables, verification, components.
 
-A fingerprint has a bit for each of 64 positions, set if over half of the text's shingle hashes
+A fingerprint has a bit for each position of a shingle hash, set if over half of the text's hashes
 have it set. Equal fingerprints are folded to one row first, so a group of copies of any size is
-one row from there on. Two fingerprints at most ``bits`` apart agree in at least one of
-``bits + 1`` blocks, and outside of it in at least one of ``bits + 1`` sub-blocks: each pair of
-(block, sub-block) is a band, and only fingerprints that share a band's bits are compared. Inside
-a band the pivot table (Hamming distances to fixed reference fingerprints) discards by the
-triangle inequality every pair one of whose coordinates differs by more than ``bits``; the
+one row from there on. Fingerprints are only compared inside of bands, where they agree on some
+bits. Small distances have exact bands: two fingerprints at most ``bits`` apart agree in at least
+one of ``bits + 1`` blocks, and outside of it in at least one of ``bits + 1`` sub-blocks. A
+similarity has bands of sampled bits over a fingerprint of several lanes, as many as find a pair at
+the wanted similarity with the wanted recall; their width grows with the number of fingerprints.
+Inside a band the pivot table (Hamming distances to fixed reference fingerprints) discards by the
+triangle inequality every pair one of whose coordinates differs by more than the distance; the
 survivors are verified by their own distance. A band returns a star for each local component
 instead of its pairs, and the stars are joined to components in rounds of joins.
 """
@@ -21,41 +23,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, parts, texts_of
+from .common import cut, parts, row_key, texts_of
 from .textbytes import BASE, U, mix
 
 SEED = 42
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-PIVOTS = mix(np.arange(1001, 1017, dtype=U) * U(BASE))
+LANES = 4
+PIVOTS = mix(np.arange(1001, 1001 + 16 * LANES, dtype=U) * U(BASE)).reshape(16, LANES)
+_LANE = mix(np.arange(1, LANES + 1, dtype=U))
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """The fingerprint of one text, as a signed 64-bit integer; no word: 0."""
+def fingerprint(text: bytes, words: int = 3, lanes: int = 1) -> np.ndarray:
+    """The fingerprint of one text, a signed 64-bit integer for each lane; no word: zeros.
+
+    The first lane's bits are the shingle hashes' own, other lanes mix them anew.
+    """
     found = text.translate(LOWER).split()
     if not found:
-        return 0
+        return np.zeros(lanes, np.int64)
     n = max(1, len(found) - words + 1)
     joined = b" ".join(found)
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     starts = np.cumsum(sizes + 1) - sizes - 1
     ends = (starts + sizes)[min(words, len(found)) - 1 :]
     hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)], "<u8")
-    total = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 16):
-        total += np.unpackbits(hashes[k : k + (1 << 16), None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<i8")[0])
+    total = np.zeros(64 * lanes, np.int64)
+    for k in range(0, n, 1 << 14):
+        own = hashes[k : k + (1 << 14), None]
+        if lanes > 1:
+            own = np.concatenate([own, mix(own + _LANE[None, 1:lanes])], 1)
+        total += np.unpackbits(np.ascontiguousarray(own).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(total * 2 > n, bitorder="little").view("<i8")
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp) of every row; a null text is empty."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, lanes: int = 1) -> DataFrame:
+    """(id, key, node, fp0, fp1, ...) of every row; a null text is empty.
+
+    key is a hash of id and text; node names the fingerprint: itself, or a hash of its lanes.
+    """
+    names = [f"fp{k}" for k in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text"):
-            found = [fingerprint(x, words) for x in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.int64())], names=["id", "fp"])
+            found = np.array([fingerprint(x, words, lanes) for x in texts_of(batch, "text")], np.int64).reshape(-1, lanes)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *[pa.array(np.ascontiguousarray(found[:, k])) for k in range(lanes)]], names=["id", "key", *names])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text"))
+    found = rows.mapInArrow(run, "id long, key long, " + ", ".join(f"{x} long" for x in names))
+    return found.withColumn("node", F.xxhash64(*names) if lanes > 1 else F.col("fp0"))
 
 
 def _blocks(start: int, width: int, n: int) -> list[tuple[int, int]]:
@@ -63,14 +78,34 @@ def _blocks(start: int, width: int, n: int) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:], strict=False))
 
 
-def bands(bits: int) -> list[tuple[int, int]]:
-    """Masks (block, sub-block): fingerprints at most ``bits`` apart agree on both masks of some band."""
+def exact_bands(bits: int) -> list[tuple[int, ...]]:
+    """Masks of one lane: fingerprints at most ``bits`` apart agree on some mask."""
     found = []
     for low, high in _blocks(0, 64, bits + 1):
         block = (1 << high) - (1 << low)
         rest = [k for k in range(64) if not low <= k < high]
         for a, b in _blocks(0, len(rest), bits + 1):
-            found.append((block, sum(1 << k for k in rest[a:b])))
+            found.append((block | sum(1 << k for k in rest[a:b]),))
+    return found
+
+
+def flip_rate(similarity: float) -> float:
+    """The chance that a bit differs, for texts with this Jaccard similarity of shingles."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def sampled_bands(rows: int, similarity: float, lanes: int = LANES, recall: float = 0.95, seed: int = 3) -> list[tuple[int, ...]]:
+    """Masks of sampled bits: a pair at ``similarity`` agrees on some mask with chance ``recall``.
+
+    A mask has so many bits that about 16 of ``rows`` unrelated fingerprints agree on it.
+    """
+    width = max(10, int(np.ceil(np.log2(max(rows, 2)))) - 4)
+    hit = (1 - flip_rate(similarity)) ** width
+    rng = np.random.default_rng(seed)
+    found = []
+    for _ in range(int(np.ceil(np.log(1 - recall) / np.log1p(-hit)))):
+        chosen = rng.choice(64 * lanes, width, replace=False).tolist()
+        found.append(tuple(sum(1 << (k % 64) for k in chosen if k // 64 == lane) for lane in range(lanes)))
     return found
 
 
@@ -78,9 +113,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int16)
+
+
 def components_within(fps: np.ndarray, bits: int) -> np.ndarray:
-    """The smallest index linked with each fingerprint of one band (uint64, distinct)."""
-    coordinates = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int16)
+    """The smallest index linked with each fingerprint of one band (uint64, a row each)."""
+    lanes = fps.shape[1]
+    coordinates = np.stack([_apart(fps, pivot[None, :lanes]) for pivot in PIVOTS], 1)
     order = np.argsort(coordinates[:, 0], kind="stable")
     table, values, first = coordinates[order], fps[order], coordinates[order, 0]
     free = np.ones(len(fps), bool)
@@ -97,7 +137,7 @@ def components_within(fps: np.ndarray, bits: int) -> np.ndarray:
             if len(at):
                 at = at[np.abs(table[at] - table[i]).max(1) <= bits]
             if len(at):
-                at = at[np.bitwise_count(values[at] ^ values[i]) <= bits]
+                at = at[_apart(values[at], values[i]) <= bits]
                 free[at] = False
                 group += at.tolist()
                 front += at.tolist()
@@ -105,33 +145,32 @@ def components_within(fps: np.ndarray, bits: int) -> np.ndarray:
     return label
 
 
-def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
-    """Star edges (a, b) that join every two fingerprints of column fp at most ``bits`` apart.
+def links(distinct: DataFrame, bits: int, masks: list[tuple[int, ...]]) -> DataFrame:
+    """Star edges (a, b) between nodes of ``distinct`` (node, fp0, ...), a row for each fingerprint.
 
-    The stars have the components of all such pairs; no pair of a component is lost.
+    The stars have the components of all pairs at most ``bits`` apart that share a band.
     """
-    masks = bands(bits)
-    keyed = distinct.select(
-        "fp",
-        F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(a | b)))) for k, (a, b) in enumerate(masks)])).alias("band"),
-    )
+    names = [f"fp{k}" for k in range(len(masks[0]))]
+    keys = [F.xxhash64(F.lit(k), *[F.col(n).bitwiseAND(F.lit(_signed(m))) for n, m in zip(names, mask, strict=True)]) for k, mask in enumerate(masks)]
+    keyed = distinct.select("node", *names, F.explode(F.array(*keys)).alias("band"))
+    columns = ["band", "node", *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        keep = np.zeros((0, len(columns)), np.int64)
         for batch in _then_none(batches):
             if batch is not None:
-                keep = [np.concatenate([old, batch.column(name).to_numpy()]) for old, name in zip(keep, ("band", "fp"), strict=True)]
-            band, fp = keep
-            if not len(band):
+                keep = np.concatenate([keep, np.stack([batch.column(x).to_numpy() for x in columns], 1)])
+            if not len(keep):
                 continue
+            band = keep[:, 0]
             edges = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-            done = len(band) if batch is None else edges[-1]  # the last band may go on
-            a, b = _stars(fp[:done].view(U), edges[edges < done], done, bits)
-            keep = [band[done:], fp[done:]]
+            done = len(keep) if batch is None else int(edges[-1])  # the last band may go on
+            a, b = _stars(keep[:done, 1], np.ascontiguousarray(keep[:done, 2:]).view(U), edges[edges < done], done, bits)
+            keep = keep[done:]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    dealt = keyed.repartition("band").sortWithinPartitions("band", "fp")
+    dealt = keyed.select(*columns).repartition("band").sortWithinPartitions("band", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -140,22 +179,22 @@ def _then_none(items):
     yield None
 
 
-def _stars(fps: np.ndarray, starts: np.ndarray, end: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _stars(nodes: np.ndarray, fps: np.ndarray, starts: np.ndarray, end: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(np.append(starts, end))
     two = starts[sizes == 2]
     x, y = fps[two], fps[two + 1]
     near = np.ones(len(two), bool)
-    for pivot in PIVOTS:  # discard by any coordinate, then verify
-        near &= np.abs(np.bitwise_count(x ^ pivot).astype(np.int16) - np.bitwise_count(y ^ pivot).astype(np.int16)) <= bits
-    x, y = x[near], y[near]
-    near = np.bitwise_count(x ^ y) <= bits
-    tails, heads = [x[near]], [y[near]]
+    for pivot in PIVOTS[:, : fps.shape[1]]:  # discard by any coordinate, then verify
+        near &= np.abs(_apart(x, pivot) - _apart(y, pivot)) <= bits
+    two = two[near]
+    two = two[_apart(fps[two], fps[two + 1]) <= bits]
+    tails, heads = [nodes[two]], [nodes[two + 1]]
     for k in np.flatnonzero(sizes > 2):
-        own = fps[starts[k] : starts[k] + sizes[k]]
-        label = components_within(own, bits)
-        at = np.flatnonzero(label != np.arange(len(own)))
-        tails.append(own[label[at]])
-        heads.append(own[at])
+        own = slice(starts[k], starts[k] + sizes[k])
+        label = components_within(fps[own], bits)
+        at = np.flatnonzero(label != np.arange(len(label)))
+        tails.append(nodes[own][label[at]])
+        heads.append(nodes[own][at])
     return np.concatenate(tails), np.concatenate(heads)
 
 
@@ -182,22 +221,44 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, bits: int = 2) -> DataFrame:
-    """Per row of ``docs``: id, fingerprint (16 hex digits), component_id, component (its smallest fingerprint).
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float | None = 0.8, bits: int | None = None) -> DataFrame:
+    """Per row of ``docs``: id, key, fingerprint (16 hex digits a lane), component_id, component.
 
-    A null or empty text has fingerprint zero and links like any other; repeated rows give
-    repeated results; component_id is the smallest non-null id reachable (null only if all are);
-    other columns of ``docs`` are not read. An empty table gives an empty result.
+    bits: link 64-bit fingerprints at most so many bits apart, all of them. Else similarity: link
+    texts whose fingerprints of LANES lanes show at least this Jaccard similarity of their
+    shingles. component_id is the smallest non-null id reachable (null only if all are), component
+    its name. A null or empty text has fingerprint zero and links like any other; repeated rows
+    give repeated results and have one key; other columns of ``docs`` are not read. An empty table
+    gives an empty result.
     """
-    found = cut(fingerprints(docs, id_column, text_column, words))
-    distinct = found.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(distinct.select("fp"), bits))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lanes = 1 if bits is not None else LANES
+    names = [f"fp{k}" for k in range(lanes)]
+    found = cut(fingerprints(docs, id_column, text_column, words, lanes))
+    distinct = found.groupBy("node").agg(F.min("id").alias("least"), *[F.first(x).alias(x) for x in names])
+    if bits is not None:
+        masks = exact_bands(bits)
+    else:
+        masks = sampled_bands(distinct.count(), similarity, lanes)
+        bits = int(round(flip_rate(similarity) * 64 * lanes))
+    roots = components(links(distinct, bits, masks))
+    named = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = named.select("fp", "root").join(ids, "root")
-    return found.join(known, "fp").select(
-        F.col("id").alias(id_column),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
-        F.col("root").alias("component"),
-    )
+    known = named.select("node", "root").join(ids, "root")
+    return found.join(known, "node").select(
+        F.col("id").alias(id_column), "key",
+        F.lower(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in names])).alias("fingerprint"),
+        "component_id", F.col("root").alias("component"),
+    )
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of near-duplicates the smallest id, once.
+
+    Among rows that share that id (or all lack one) the smallest key stays; of repeated rows one.
+    """
+    found = near_duplicates(docs, id_column, text_column, **options)
+    first = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("key").alias("key")))
+    stay = found.groupBy("component").agg(first.alias("own")).select(F.col("own.key").alias("_key"), F.col("own.id").alias("_id"))
+    keyed = docs.withColumn("_row_key", row_key(id_column, text_column))
+    same = (keyed["_row_key"] == stay["_key"]) & keyed[id_column].cast("long").eqNullSafe(stay["_id"])
+    return keyed.join(stay, same).dropDuplicates(["_row_key"]).select(*docs.columns)
