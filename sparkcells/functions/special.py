@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..shipping import ship
+
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 
 
@@ -50,12 +52,14 @@ def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return found
 
 
-@F.pandas_udf(DoubleType())
-def _p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    p = two_sided_p(t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan))
-    return pd.Series([None if np.isnan(x) else x for x in p], dtype="object")
-
-
 def p_value(t: Column, df: Column) -> Column:
     """Two-sided p of Student's t; null where undefined."""
-    return _p_value(t.cast("double"), df.cast("double"))
+    if session := SparkSession.getActiveSession():
+        ship(session)
+
+    @F.pandas_udf(DoubleType())
+    def tail(own_t: pd.Series, own_df: pd.Series) -> pd.Series:
+        p = two_sided_p(own_t.to_numpy(float, na_value=np.nan), own_df.to_numpy(float, na_value=np.nan))
+        return pd.Series([None if np.isnan(x) else x for x in p], dtype="object")
+
+    return tail(t.cast("double"), df.cast("double"))

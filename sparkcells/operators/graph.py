@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
+
 #: Points of one block of the blockwise search.
 BLOCK = 2048
 
@@ -44,7 +46,7 @@ def knn(coords: DataFrame, k: int = 10, include_self: bool = True, queries: Data
                 dist += np.sqrt(value[at, col]).tolist()
         return pa.table({"src": pa.array(src, pa.string()), "dst": pa.array(dst, pa.string()), "dist": pa.array(dist, pa.float64())})
 
-    found = ask.groupBy("i", "j").cogroup(have.groupBy("i", "j")).applyInArrow(near, "src string, dst string, dist double")
+    found = shipped(ask).groupBy("i", "j").cogroup(have.groupBy("i", "j")).applyInArrow(near, "src string, dst string, dist double")
     place = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 

@@ -14,21 +14,17 @@ from pyspark.sql import functions as F
 from .annotate import class_sample
 
 
-@F.udf(VectorUDT())
-def _sparse(size: int, places: list[int], values: list[float]):
-    return Vectors.sparse(size, places, values)
-
-
 def vectors(expr: DataFrame, genes: DataFrame, cells: DataFrame) -> DataFrame:
     """(cell_id, features): sparse vectors of all ``cells``. genes: (gene, place), places from 0.
 
     Rows of one cell are gathered; a cell holds at most a value for each gene.
     """
     size = genes.count()
+    sparse = F.udf(lambda places, values: Vectors.sparse(size, places, values), VectorUDT())
     rows = expr.join(F.broadcast(genes), "gene").groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("x"))
     none = F.array().cast("array<struct<place:int,value:double>>")
     dense = cells.select("cell_id").distinct().join(rows, "cell_id", "left").withColumn("x", F.coalesce("x", none))
-    return dense.select("cell_id", _sparse(F.lit(size), F.transform("x", lambda e: e["place"]), F.transform("x", lambda e: e["value"])).alias("features"))
+    return dense.select("cell_id", sparse(F.transform("x", lambda e: e["place"]), F.transform("x", lambda e: e["value"])).alias("features"))
 
 
 def gene_places(a: DataFrame, b: DataFrame | None = None) -> DataFrame:

@@ -110,10 +110,10 @@ dst AS (SELECT grp, gene, coalesce(f, 0) AS max_fc_dst, coalesce(d, 0) AS max_de
 
 def cover(w: str = "n_cells", fall_back: str = "rest") -> str:
     return f"""
-both AS (SELECT a AS u, b AS v FROM edges UNION ALL SELECT b, a FROM edges),
+ways AS (SELECT a AS u, b AS v FROM edges UNION ALL SELECT b, a FROM edges),
 rests AS (SELECT grp, gene, frac_expr AS coverage, CASE WHEN sum({w}) OVER g - {w} > 0
   THEN (sum({w} * frac_expr) OVER g - {w} * frac_expr) / (sum({w}) OVER g - {w}) ELSE 0 END AS rest FROM grid WINDOW g AS (PARTITION BY gene)),
-nears AS (SELECT u AS grp, gene, sum({w} * frac_expr) / sum({w}) AS near FROM both JOIN grid ON grid.grp = v GROUP BY ALL),
+nears AS (SELECT u AS grp, gene, sum({w} * frac_expr) / sum({w}) AS near FROM ways JOIN grid ON grid.grp = v GROUP BY ALL),
 cover AS (SELECT grp, gene, coverage, rest, coalesce(near, {fall_back}) AS neighbor FROM rests LEFT JOIN nears USING (grp, gene))"""
 
 

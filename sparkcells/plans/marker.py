@@ -105,6 +105,8 @@ def run(
     if exclude:
         weights = weights.where(~F.col("g1").isin(*exclude) & ~F.col("g2").isin(*exclude))
     edges = graph.undirected(graph.top_k_symmetric(weights, k))
+    if persist:  # a row for each pair of groups
+        edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
     if thres_fc == "auto":
         thres_fc = sweep.suggest(sweep.auto(sweep.baseline(grid, edges)))
     limits = {"min_mean_any": min_mean_any, "min_mean_high": min_mean_high, "min_frac_high": min_frac_high, "max_mean_low": max_mean_low, "min_nexpr_any": min_nexpr_any}
@@ -116,6 +118,8 @@ def run(
     if persist:
         edge_gene = edge_gene.persist(StorageLevel.MEMORY_AND_DISK)
     labelled = levels.label_levels(grid, edge_gene, float(thres_fc) if fc_cutoff is None else fc_cutoff, label_k, sigma, min_gap, min_margin)
+    if persist:
+        labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
     notes = levels.note(labelled, level)
     features = score.gene_features(notes, edge_gene)
     scored = score.scores(score.marker_inputs(grid, edges, notes, features, only_high, eps), a, b)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +32,11 @@ def r6(*names: str) -> list[Column]:
 
 def _grid(spark: SparkSession, folder: str, label: str = "lang", **options) -> DataFrame:
     data = bindings.documents(spark, folder)
-    return stats.grid(data.expr, data.obs, label, **options)
+    return stats.grid(data.expr, data.obs, label, **options).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _edges(grid: DataFrame, k: int = 2) -> DataFrame:
-    return edges.undirected(edges.top_k_symmetric(edges.profile_similarity(grid), k))
+    return edges.undirected(edges.top_k_symmetric(edges.profile_similarity(grid).persist(StorageLevel.MEMORY_AND_DISK), k)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _short(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,7 +199,8 @@ def fc_delta(spark, folder):
 
 def _edge_gene(spark, folder, label="lang", **options):
     grid = _grid(spark, folder, label)
-    return grid, _edges(grid), edges.fc_delta(grid, _edges(grid), **options)
+    near = _edges(grid)
+    return grid, near, edges.fc_delta(grid, near, **options).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @query
@@ -271,7 +273,7 @@ def gene_features(spark, folder):
 
 
 def _run(spark, folder, **options) -> marker.MarkerResult:
-    options = {"k": 2, "thres_fc": 3.0, "persist": False} | options
+    options = {"k": 2, "thres_fc": 3.0} | options
     return marker.run(bindings.documents(spark, folder), "lang3", **options)
 
 
