@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from .common import parts, texts_of
 from .textbytes import FOLD
 
@@ -190,7 +191,7 @@ def fit(docs: DataFrame, learns: Column, id_column: str = "doc_id", text_column:
             yield pa.RecordBatch.from_arrays([batch.column("order").take(take), batch.column("label").take(take), pa.array(found, pa.binary())], names=["order", "label", "window"])
 
     most = 2 * sample * len(shares) * WINDOWS  # for the driver's memory, should ids repeat
-    found = rows.mapInArrow(run, "order long, label string, window binary").limit(most).toPandas().sort_values(["order", "label", "window"])
+    found = shipped(rows).mapInArrow(run, "order long, label string, window binary").limit(most).toPandas().sort_values(["order", "label", "window"])
     languages = sorted(set(found["label"]))
     x = np.frombuffer(b"".join(found["window"]), np.uint8).reshape(-1, LENGTH + TAIL)
     return train(x, np.searchsorted(languages, found["label"].to_numpy()) if len(found) else np.zeros(0, np.int64), languages, **options)
@@ -208,4 +209,4 @@ def predict(docs: DataFrame, net: Network, keep: list[str], text_column: str = "
             names, scores = model.value.texts(texts_of(batch, "own_text"))
             yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in inner], pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"]))
+    return shipped(rows).mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"]))

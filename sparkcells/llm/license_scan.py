@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from .common import bounded, cut, parts, row_key, texts_of
 from .textbytes import ALNUM, words
 
@@ -114,7 +115,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, k: int =
                     )
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), row_key(id_column, text_column).alias("key"))
-    hits = rows.select("key", "text").mapInArrow(grams, "key long, at int, gram long").join(F.broadcast(positions), "gram")
+    hits = shipped(rows.select("key", "text")).mapInArrow(grams, "key long, at int, gram long").join(F.broadcast(positions), "gram")
     # the templates are fixed, so the broadcast doesn't grow with the data
     diagonals = (
         hits.groupBy("key", "template", (F.col("at") - F.col("place")).alias("diagonal"), "shift", "need")
@@ -143,7 +144,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, k: int =
             found = [verified(x, s, templates, texts) if s else [] for x, s in zip(own, batch.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), pa.array(found, shape)], names=["id", "n_words", "found"])
 
-    return joined.mapInArrow(verify, kind)
+    return shipped(joined).mapInArrow(verify, kind)
 
 
 def verified(text: bytes, spans: list[dict], templates: tuple[Template, ...], texts: list[list[str]]) -> list[dict]:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from ..shipping import shipped
 from .common import parts, texts_of
 
 END = 2
@@ -62,7 +63,7 @@ def pieces(docs: DataFrame, path: str, tokens: int = TOKENS, id_column: str = "d
             yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(F.col(id_column), F.col(text_column)).alias("key"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, f"id long, key long, piece int, start long, length long, ids_crc32 long{full}")
+    return shipped(rows).mapInArrow(run, f"id long, key long, piece int, start long, length long, ids_crc32 long{full}")
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights: tuple[float, float, float], rule: str = "norm") -> np.ndarray:
@@ -137,4 +138,4 @@ def pack(
     short = cut.where(F.col("length") < tokens).withColumn("bucket", F.pmod(F.xxhash64("key", "piece"), F.lit(groups)))
     # Full pieces need no partner: ids below zero, one each.
     whole = cut.where(F.col("length") >= tokens).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    return short.groupBy("bucket").applyInPandas(run, schema).unionByName(whole)
+    return shipped(short).groupBy("bucket").applyInPandas(run, schema).unionByName(whole)

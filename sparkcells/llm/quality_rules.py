@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from .common import parts, texts_of
 from .textbytes import INK, words
 
@@ -53,7 +54,7 @@ def statistics(docs: DataFrame, keep: list[str], text_column: str = "text", pref
             found = count(texts_of(batch, "own_text"))
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in inner] + [pa.array(found[x]) for x in COUNTS], names=keep + names)
 
-    return rows.mapInArrow(run, schema)
+    return shipped(rows).mapInArrow(run, schema)
 
 
 def _sums(texts: list[bytes], *tables: np.ndarray) -> list[np.ndarray]:

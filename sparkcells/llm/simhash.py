@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from ..shipping import shipped
 from .common import cut, parts, row_key, texts_of
 from .textbytes import BASE, U, mix
 
@@ -69,7 +70,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *[pa.array(np.ascontiguousarray(found[:, k])) for k in range(lanes)]], names=["id", "key", *names])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text"))
-    found = rows.mapInArrow(run, "id long, key long, " + ", ".join(f"{x} long" for x in names))
+    found = shipped(rows).mapInArrow(run, "id long, key long, " + ", ".join(f"{x} long" for x in names))
     return found.withColumn("node", F.xxhash64(*names) if lanes > 1 else F.col("fp0"))
 
 
@@ -171,7 +172,7 @@ def links(distinct: DataFrame, bits: int, masks: list[tuple[int, ...]]) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     dealt = keyed.select(*columns).repartition("band").sortWithinPartitions("band", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return shipped(dealt).mapInArrow(run, "a long, b long").distinct()
 
 
 def _then_none(items):

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from .common import parts, texts_of
 
 SPACE = "▁"
@@ -242,4 +243,4 @@ def sampled(rows: DataFrame, path: str, key: list[Column], keep: list[str], text
             )
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
-    return chosen.mapInArrow(run, ", ".join([*kinds, "sample int, ids array<int>, log_prob double, perturbed double, inclusion double, round_trip boolean"]))
+    return shipped(chosen).mapInArrow(run, ", ".join([*kinds, "sample int, ids array<int>, log_prob double, perturbed double, inclusion double, round_trip boolean"]))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from .common import parts, texts_of
 from .textbytes import LETTER, U, mix, words
 
@@ -142,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column | None = None, id_col
 
     kind = docs.schema[id_column].dataType.simpleString()
     # at most 2 * sample rows by the choice above, unless ids repeat; the limit bounds the driver's memory then
-    found = rows.mapInArrow(run, f"id {kind}, label int, terms array<int>").limit(4 * sample).toArrow()
+    found = shipped(rows).mapInArrow(run, f"id {kind}, label int, terms array<int>").limit(4 * sample).toArrow()
     if not found.num_rows:
         return train(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     found = found.sort_by("id")
@@ -163,4 +164,4 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], text_column: str =
         for batch in parts(batches, "own_text", 1 << 22):
             yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in inner], pa.array(model.value.scores(texts_of(batch, "own_text")))], names=[*keep, name])
 
-    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{name}` double"]))
+    return shipped(rows).mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{name}` double"]))
