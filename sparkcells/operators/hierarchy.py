@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import path_name
+from ..lineage import cut
 from .genes import GeneFilter
 
 LEVELS = ("g0", "g1", "g2")
@@ -49,15 +49,12 @@ def reassign(cells: DataFrame, knn: DataFrame, min_cells: int, most_rounds: int
 
     Cells without any path among their neighbours stay null. Rounds are checkpointed.
     """
-    context = cells.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(cells.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    now = split_small(cells, min_cells).checkpoint()
+    now = cut(split_small(cells, min_cells))
     left = now.where("path is null").count()
     for _ in range(most_rounds):
         if not left:
             break
-        now = vote(now, knn).checkpoint()
+        now = cut(vote(now, knn))
         before, left = left, now.where("path is null").count()
         if left == before:
             break

@@ -162,7 +162,8 @@ def r(*names: str) -> str:
 
 D_EDGES = (D, grid(), near())
 D3_EDGES = (D, grid("lang3"), near())
-D3_LEVELS = (*D3_EDGES, rises(), levels())
+D3_ALL = (D, grid("lang3"), near(11))
+D3_LEVELS = (*D3_ALL, rises(), levels())
 D3_SCORES = (*D3_LEVELS, FEATURES, DST, cover(), SCORES)
 PAIR = """
 sums1 AS (SELECT gene, sum(value) AS s, sum(value * value) AS q FROM expr GROUP BY 1)"""
@@ -174,10 +175,10 @@ one0 AS (SELECT p.gene, CASE WHEN p.gene = 'the' THEN 1.0 WHEN g.q - g.s * g.s /
   FROM sums1 p LEFT JOIN xy USING (gene) CROSS JOIN n_all CROSS JOIN (SELECT * FROM sums1 WHERE gene = 'the') g),
 one AS (SELECT *, CASE WHEN abs(corr) < 1 THEN corr * sqrt((n_all - 2) / (1 - corr * corr)) END AS t FROM one0)"""
 GG = f"""
-some AS (SELECT * FROM expr WHERE gene IN {IN_GENES}),
+picked AS (SELECT * FROM expr WHERE gene IN {IN_GENES}),
 gg AS (SELECT p.gene AS a, q.gene AS b, (coalesce(xy, 0) - p.s * q.s / n_all) / sqrt((p.q - p.s * p.s / n_all) * (q.q - q.s * q.s / n_all)) AS corr
   FROM (SELECT * FROM sums1 WHERE gene IN {IN_GENES}) p JOIN (SELECT * FROM sums1 WHERE gene IN {IN_GENES}) q ON p.gene < q.gene CROSS JOIN n_all
-  LEFT JOIN (SELECT x.gene AS a, y.gene AS b, sum(x.value * y.value) AS xy FROM some x JOIN some y USING (cell_id) WHERE x.gene < y.gene GROUP BY ALL) z ON z.a = p.gene AND z.b = q.gene)"""
+  LEFT JOIN (SELECT x.gene AS a, y.gene AS b, sum(x.value * y.value) AS xy FROM picked x JOIN picked y USING (cell_id) WHERE x.gene < y.gene GROUP BY ALL) z ON z.a = p.gene AND z.b = q.gene)"""
 ANNO = """
 anno AS (SELECT gene, grp, (coalesce(total, 0) - s * n_cells / n_all) / sqrt((q - s * s / n_all) * (n_cells - n_cells::DOUBLE * n_cells / n_all)) AS corr
   FROM sums1 CROSS JOIN groups LEFT JOIN sums USING (gene, grp) CROSS JOIN n_all)"""
@@ -245,8 +246,8 @@ ORACLES: dict[str, str] = {
     "coverage": build(*D3_EDGES, cover()) + f" SELECT grp, gene, {r('coverage', 'rest', 'neighbor')} FROM cover",
     "coverage_unweighted": build(D, grid(), near(1), cover("1.0", "0")) + f" SELECT grp, gene, {r('coverage', 'rest', 'neighbor')} FROM cover",
     "label_levels_sd": build(*D3_LEVELS) + " SELECT gene, grp, l1::BIGINT AS l1, l2::BIGINT AS l2, l3::BIGINT AS l3 FROM lab",
-    "label_levels_iqr": build(*D3_EDGES, rises(), levels(1.0, "iqr")) + " SELECT gene, grp, l1::BIGINT AS l1, l2::BIGINT AS l2, l3::BIGINT AS l3 FROM lab",
-    "label_levels_mad": build(*D3_EDGES, rises(), levels(1.0, "mad")) + " SELECT gene, grp, l1::BIGINT AS l1, l2::BIGINT AS l2, l3::BIGINT AS l3 FROM lab",
+    "label_levels_iqr": build(*D3_ALL, rises(), levels(1.0, "iqr")) + " SELECT gene, grp, l1::BIGINT AS l1, l2::BIGINT AS l2, l3::BIGINT AS l3 FROM lab",
+    "label_levels_mad": build(*D3_ALL, rises(), levels(1.0, "mad")) + " SELECT gene, grp, l1::BIGINT AS l1, l2::BIGINT AS l2, l3::BIGINT AS l3 FROM lab",
     "gene_features": build(*D3_LEVELS, FEATURES) + f" SELECT gene, n_low, n_grey, n_high, n_edges, {r('max_fc', 'mean_fc', 'max_delta', 'mean_delta', 'gap')} FROM features",
     "marker_scores": build(*D3_SCORES) + f" SELECT grp, gene, {r('max_fc_dst', 'max_delta_dst', 'coverage', 'rest', 'neighbor', 'local_score', 'global_score', 'specific_weight')} FROM scored",
     "marker_rank": build(*D3_SCORES) + f" SELECT grp, gene, round(specific_weight, 6) + 0.0 AS score, {ranks('specific_weight')} FROM scored",

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import EPS, fc_bin
+from ..lineage import cut
 from ..model import Dataset
 from ..operators import batch as batches
 from ..operators import edges as graph
@@ -19,7 +19,7 @@ from ..operators import score, stats, sweep
 
 @dataclass(frozen=True)
 class MarkerResult:
-    """Every stage of the pipeline as a lazy DataFrame."""
+    """Every stage of the pipeline as a DataFrame."""
 
     stats: DataFrame
     edges: DataFrame
@@ -87,16 +87,14 @@ def run(
     batch_min_cells: int = 5,
     batch_alpha: float = 0.05,
     batch_min_batches: int = 3,
-    persist: bool = True,
 ) -> MarkerResult:
-    """Run all stages lazily; only "auto" thresholds and batch tables look at data.
+    """Run the stages; those that several later ones read are written to the checkpoint folder.
 
     connectivities: (g1, g2, weight) between groups; without it the cell graph of ``data`` gives
     it, or else the similarity of the groups' profiles. Excluded groups leave the graph too.
     """
     grid = stats.grid(data.expr, data.obs, label, exclude, min_cells_per_group, min_expr_cells_per_gene)
-    if persist:  # read by every later stage; spills, and is computed again where an executor is lost
-        grid = grid.persist(StorageLevel.MEMORY_AND_DISK)
+    grid = cut(grid)
     weights = connectivities
     if weights is None and data.knn is not None:
         weights = graph.connectivity(data.knn, data.obs.select("cell_id", F.col(label).cast("string").alias("grp")))
@@ -105,21 +103,18 @@ def run(
     if exclude:
         weights = weights.where(~F.col("g1").isin(*exclude) & ~F.col("g2").isin(*exclude))
     edges = graph.undirected(graph.top_k_symmetric(weights, k))
-    if persist:  # a row for each pair of groups
-        edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
+    edges = cut(edges)
     if thres_fc == "auto":
-        thres_fc = sweep.suggest(sweep.auto(sweep.baseline(grid, edges)))
+        thres_fc = sweep.suggest(sweep.auto(cut(sweep.baseline(grid, edges))))
     limits = {"min_mean_any": min_mean_any, "min_mean_high": min_mean_high, "min_frac_high": min_frac_high, "max_mean_low": max_mean_low, "min_nexpr_any": min_nexpr_any}
     edge_gene = graph.fc_delta(grid, edges, float(thres_fc), eps, **limits)
     means = None
     if batch is not None:
         means = batches.batch_means(data.expr, data.obs, label, batch, batch_min_cells, edge_gene)
         edge_gene = batches.significant(batches.welch(edge_gene, means, batch_min_batches), batch_alpha).select("start", "end", "gene", "fc", "delta")
-    if persist:
-        edge_gene = edge_gene.persist(StorageLevel.MEMORY_AND_DISK)
+    edge_gene = cut(edge_gene)
     labelled = levels.label_levels(grid, edge_gene, float(thres_fc) if fc_cutoff is None else fc_cutoff, label_k, sigma, min_gap, min_margin)
-    if persist:
-        labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
+    labelled = cut(labelled)
     notes = levels.note(labelled, level)
     features = score.gene_features(notes, edge_gene)
     scored = score.scores(score.marker_inputs(grid, edges, notes, features, only_high, eps), a, b)

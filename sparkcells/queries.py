@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import edge_ends, edge_name, fc_bin, numeric_order
+from .lineage import cut
 from .model import Dataset
 from .operators import annotate, batch, corr, edges, genes, graph, hierarchy, labels, score, simple, stats, sweep, transfer
 from .plans import marker
@@ -32,11 +32,11 @@ def r6(*names: str) -> list[Column]:
 
 def _grid(spark: SparkSession, folder: str, label: str = "lang", **options) -> DataFrame:
     data = bindings.documents(spark, folder)
-    return stats.grid(data.expr, data.obs, label, **options).persist(StorageLevel.MEMORY_AND_DISK)
+    return cut(stats.grid(data.expr, data.obs, label, **options))
 
 
 def _edges(grid: DataFrame, k: int = 2) -> DataFrame:
-    return edges.undirected(edges.top_k_symmetric(edges.profile_similarity(grid).persist(StorageLevel.MEMORY_AND_DISK), k)).persist(StorageLevel.MEMORY_AND_DISK)
+    return cut(edges.undirected(edges.top_k_symmetric(edges.profile_similarity(grid), k)))
 
 
 def _short(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,8 +199,8 @@ def fc_delta(spark, folder):
 
 def _edge_gene(spark, folder, label="lang", **options):
     grid = _grid(spark, folder, label)
-    near = _edges(grid)
-    return grid, near, edges.fc_delta(grid, near, **options).persist(StorageLevel.MEMORY_AND_DISK)
+    near = _edges(grid, 11 if label == "lang3" else 2)  # twelve groups: all pairs
+    return grid, near, cut(edges.fc_delta(grid, near, **options))
 
 
 @query
@@ -273,7 +273,7 @@ def gene_features(spark, folder):
 
 
 def _run(spark, folder, **options) -> marker.MarkerResult:
-    options = {"k": 2, "thres_fc": 3.0} | options
+    options = {"k": 11, "thres_fc": 3.0} | options
     return marker.run(bindings.documents(spark, folder), "lang3", **options)
 
 
@@ -319,7 +319,7 @@ def fc_suggest(spark, folder):
 @query
 def fc_sweep_auto(spark, folder):
     grid = _grid(spark, folder)
-    found = sweep.auto(sweep.baseline(grid, _edges(grid)).persist())
+    found = sweep.auto(cut(sweep.baseline(grid, _edges(grid))))
     return found.select(*r6("threshold"), "n_pairs", "n_genes", "n_edges_covered", "n_edges_uncovered")
 
 
@@ -443,7 +443,7 @@ def anno_gene_colour(spark, folder):
 
 
 def _knn(data: Dataset, k: int = 10, include_self: bool = True) -> DataFrame:
-    return graph.knn(data.coords, k, include_self)
+    return cut(graph.knn(data.coords, k, include_self))
 
 
 @query
