@@ -291,4 +291,6 @@ ORACLES: dict[str, str] = {
     "common_genes": build(D) + " SELECT gene FROM expr JOIN obs USING (cell_id) WHERE lang IN ('en', 'fr') GROUP BY 1 HAVING count(DISTINCT lang) = 2",
     "roc_auc": build(E) + ", sh AS (SELECT src AS cell_id, label AS grp, count(*) / 10.0 AS share FROM knn_other JOIN obs ON dst = obs.cell_id GROUP BY ALL), ev AS (SELECT o.cell_id, c.grp AS class, coalesce(share, 0) AS p, o.label = c.grp AS hit FROM obs o CROSS JOIN (SELECT DISTINCT label AS grp FROM obs) c LEFT JOIN sh ON sh.cell_id = o.cell_id AND sh.grp = c.grp) SELECT x.class, round(avg(CASE WHEN x.p > y.p THEN 1.0 WHEN x.p = y.p THEN 0.5 ELSE 0.0 END), 6) + 0.0 AS auc FROM ev x JOIN ev y ON x.class = y.class AND x.hit AND NOT y.hit GROUP BY 1",
     "event_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY 1, 2",
+    "rank_genes": build(D, grid(), PAIR) + ", qs AS (SELECT lang AS grp, gene, sum(value * value) AS own_q FROM expr JOIN obs USING (cell_id) GROUP BY ALL), d AS (SELECT grp, gene, n_cells::DOUBLE AS n, (SELECT sum(n_cells) FROM groups) - n_cells AS m, coalesce(total, 0) AS a_s, coalesce(own_q, 0) AS a_q, s - coalesce(total, 0) AS b_s, q - coalesce(own_q, 0) AS b_q FROM groups CROSS JOIN sums1 LEFT JOIN sums USING (grp, gene) LEFT JOIN qs USING (grp, gene)), v AS (SELECT *, a_s / n - b_s / m AS step, greatest(0, a_q - a_s * a_s / n) / (n - 1) / n AS a, greatest(0, b_q - b_s * b_s / m) / (m - 1) / m AS b FROM d) SELECT grp, gene, round(step / sqrt(a + b), 6) + 0.0 AS t, round((a + b) * (a + b) / (a * a / (n - 1) + b * b / (m - 1)), 6) + 0.0 AS df FROM v",
+    "normalize_zero_fill": build(D) + f" SELECT o.cell_id, lang, g.gene, round(coalesce(value, 0), 6) + 0.0 AS value FROM obs o CROSS JOIN (SELECT unnest([{', '.join(repr(g) for g in GENES)}]) AS gene) g LEFT JOIN expr e ON e.cell_id = o.cell_id AND e.gene = g.gene WHERE lang IN ('en', 'de')",
 }

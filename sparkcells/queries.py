@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.scalar import edge_ends, edge_name, fc_bin, numeric_order
 from .lineage import cut
 from .model import Dataset
-from .operators import annotate, batch, corr, edges, genes, graph, hierarchy, labels, score, simple, stats, sweep, transfer
+from .operators import annotate, batch, corr, edges, genes, graph, hierarchy, labels, ranktest, score, simple, stats, sweep, transfer
 from .plans import marker
 from .sources import bindings, gene_sets
 from .sources.tables import read
@@ -640,3 +640,18 @@ def event_counts(spark, folder):
     """Events by hour and type: what the streaming form gives once all is read."""
     rows = read(spark, folder, "events").groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return rows.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n", *r6("total"))
+
+
+@query
+def rank_genes(spark, folder):
+    data = bindings.documents(spark, folder)
+    return ranktest.rank_genes(data.expr, data.obs, "lang").select("grp", "gene", *r6("t", "df"))
+
+
+@query
+def normalize_zero_fill(spark, folder):
+    """Chosen genes of chosen cells with their zeros: what a drawing of single genes reads."""
+    data = bindings.documents(spark, folder)
+    cells = annotate.select_groups(data.obs, "lang", "en, de").select("cell_id", "lang")
+    wanted = spark.createDataFrame([(x,) for x in GENES], "gene string")
+    return cells.crossJoin(F.broadcast(wanted)).join(data.expr, ["cell_id", "gene"], "left").fillna(0.0).select("cell_id", "lang", "gene", *r6("value"))
