@@ -5,8 +5,9 @@ the leaf that it descends to. A query walks the tree best bin first: a priority
 by their distance to the query, the nearest is popped, an inner node pushes its children and a
 leaf is visited. The number of leaves to visit is widened until the recall on sample queries,
 against brute force over the sample, reaches the target; a query goes on beyond it while its
-leaves hold too few rows. Leaves are searched in blocks of bounded size, by exact cosines in
-double precision on the original vectors.
+leaves hold too few rows. Leaves lie in pages of bounded size; a task searches, for the queries
+that visit a page, the rows of the visited leaves, by exact cosines in double precision on the
+original vectors, and returns k rows a query and page.
 
 Of rows with one and the same vector only the k + 1 smallest ids are kept in the leaves. The
 result is the same: any other copy has k smaller ids with an equal score before it.
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from .common import cut
 
 #: Vectors at most from which the tree is fitted, and on which recall is calibrated.
@@ -31,7 +33,7 @@ CALIBRATION = 256
 BRANCH = 8
 LEAF = 48
 RECALL = 0.97
-#: Rows of one block of a leaf, and queries that meet it, at most.
+#: Rows of one page of leaves, and queries that meet it, at most.
 BLOCK = 8192
 CHUNK = 65_536
 
@@ -142,6 +144,29 @@ def calibrate(tree: Tree, unit: np.ndarray, k: int, recall: float = RECALL, quer
     return min(visits, n_leaves)
 
 
+def paged(tree: Tree, held: dict[int, int], block: int = BLOCK) -> dict[int, tuple[int, int]]:
+    """(first page, number of pages) of each leaf that holds rows.
+
+    Leaves that are near in the tree share a page of at most ``block`` rows; a larger leaf has
+    several pages of its own.
+    """
+    order, stack = [], [0]
+    while stack:
+        node = stack.pop()
+        if tree.n[node]:
+            stack += range(int(tree.first[node]), int(tree.first[node] + tree.n[node]))
+        elif held.get(node):
+            order.append(node)
+    found, page, filled = {}, 0, 0
+    for node in order:
+        if filled and filled + held[node] > block:
+            page, filled = page + 1, 0
+        n = -(-held[node] // block)
+        found[node] = (page, n)
+        page, filled = (page + n, 0) if n > 1 else (page, filled + held[node])
+    return found
+
+
 def usable(vector: Column) -> Column:
     """Not null, without null or non-finite components, not zero."""
     big = F.lit(float("inf"))
@@ -187,23 +212,28 @@ def nearest(vectors: DataFrame, queries: Column, id_column: str = "vec_id", vect
                 leaves = model.value.descend(_unit(_matrix(batch.column("vector"), dim)))
                 yield pa.RecordBatch.from_arrays([pa.array(leaves.astype(np.int32)), batch.column("id"), batch.column("vector")], names=["leaf", "id", "vector"])
 
-    placed = kept.mapInArrow(place, "leaf int, id long, vector array<double>")
+    placed = shipped(kept).mapInArrow(place, "leaf int, id long, vector array<double>")
     held = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
-    blocks = {node: -(-n // BLOCK) for node, n in held.items()}
+    pages = paged(tree, held)
     asking = rows.where("asks").select("id", "vector")
-    n_asking = asking.count()
-    chunks = max(1, -(-n_asking * tree.visits // (max(1, len(held)) * CHUNK)))
+    chunks = max(1, -(-asking.count() // CHUNK))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = model.value.walk(_unit(_matrix(batch.column("vector"), dim)), model.value.visits, held, 2 * k + 2)
-            pairs = [(i, node, b) for i, nodes in enumerate(own) for node in nodes for b in range(blocks[node])]
-            for low in range(0, len(pairs), 1 << 14):
-                some = np.array(pairs[low : low + (1 << 14)]).reshape(-1, 3)
-                take = pa.array(some[:, 0])
-                yield pa.RecordBatch.from_arrays([pa.array(some[:, 1].astype(np.int32)), pa.array(some[:, 2].astype(np.int32)), batch.column("id").take(take), batch.column("vector").take(take)], names=["leaf", "block", "id", "vector"])
+            for low in range(0, batch.num_rows, 256):
+                some = batch.slice(low, 256)
+                own = model.value.walk(_unit(_matrix(some.column("vector"), dim)), model.value.visits, held, 2 * k + 2)
+                place, page, leaves = [], [], []
+                for i, nodes in enumerate(own):
+                    here: dict[int, list[int]] = {}
+                    for node in nodes:
+                        for x in range(pages[node][0], sum(pages[node])):
+                            here.setdefault(x, []).append(node)
+                    place += [i] * len(here)
+                    page += here
+                    leaves += here.values()
+                take = pa.array(place, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(page, pa.int32()), some.column("id").take(take), some.column("vector").take(take), pa.array(leaves, pa.list_(pa.int32()))], names=["page", "id", "vector", "leaves"])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[list[np.ndarray]] = [[], [], []]
@@ -211,27 +241,31 @@ def nearest(vectors: DataFrame, queries: Column, id_column: str = "vec_id", vect
             a, b = left.column("id").to_numpy(), right.column("id").to_numpy()
             x, y = _matrix(left.column("vector"), dim), _matrix(right.column("vector"), dim)
             unit_x, unit_y = _unit(x), _unit(y)
-            for low in range(0, len(a), 256):
-                near = unit_x[low : low + 256] @ unit_y.T
-                near[a[low : low + 256, None] == b[None, :]] = -np.inf
+            own, at = np.unique(right.column("leaf").to_numpy(), return_inverse=True)
+            leaves = left.column("leaves").to_pylist()
+            for low in range(0, len(a), 128):
+                near = unit_x[low : low + 128] @ unit_y.T
+                open_ = np.zeros((len(near), len(own)), bool)
+                for i, nodes in enumerate(leaves[low : low + 128]):
+                    open_[i, np.searchsorted(own, np.intersect1d(nodes, own))] = True
+                near[~open_[:, at] | (a[low : low + 128, None] == b[None, :])] = -np.inf
                 kth = np.partition(near, max(0, len(b) - k), axis=1)[:, max(0, len(b) - k)]
                 i, j = np.nonzero((near >= (kth - 1e-9)[:, None]) & (near > -np.inf))
                 score = cosine(x[low + i], y[j])
                 order = np.lexsort((b[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
-                rank = np.arange(len(i)) - np.searchsorted(i, i)
-                top = rank < k
-                for own, new in zip(found, (a[low + i[top]], b[j[top]], score[top]), strict=True):
-                    own.append(new)
+                top = np.arange(len(i)) - np.searchsorted(i, i) < k
+                for whole, new in zip(found, (a[low + i[top]], b[j[top]], score[top]), strict=True):
+                    whole.append(new)
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
         return pa.table({"query_id": join(found[0], pa.int64()), "vec_id": join(found[1], pa.int64()), "score": join(found[2], pa.float64())})
 
-    sizes = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]) if blocks else F.create_map(F.lit(0), F.lit(1))
-    cells = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.element_at(sizes, F.col("leaf"))).cast("int"))
+    place_of = F.create_map(*[F.lit(x) for node, (first, n) in pages.items() for x in (node, first * 65536 + n)]) if pages else F.create_map(F.lit(0), F.lit(1))
+    code = F.element_at(place_of, F.col("leaf"))
+    cells = placed.withColumn("page", (F.floor(code / 65536) + F.pmod(F.xxhash64("id"), code % 65536)).cast("int"))
     cells = cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    visits = asking.mapInArrow(visit, "leaf int, block int, id long, vector array<double>").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-    at = ["leaf", "block", "chunk"]
-    found = visits.groupBy(*at).cogroup(cells.groupBy(*at)).applyInArrow(search, "query_id long, vec_id long, score double")
+    visits = shipped(asking).mapInArrow(visit, "page int, id long, vector array<double>, leaves array<int>").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+    found = shipped(visits).groupBy("page", "chunk").cogroup(cells.groupBy("page", "chunk")).applyInArrow(search, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
