@@ -16,7 +16,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import cut, row_key
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -40,7 +40,8 @@ def occurrences(docs: DataFrame, id_column: str, text_column: str, min_chars: in
     rows = docs.select(F.col(id_column).alias("id"), row_key(id_column, text_column).alias("key"), F.posexplode(lines_of(F.col(text_column))).alias("at", "line"))
     keyed = rows.select("id", "key", "at", line_key(F.col("line")).alias("line")).where(F.char_length("line") >= min_chars)
     hashed = keyed.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), "id", "key", "at")
-    return hashed.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.col("id").desc_nulls_last(), "at")
+    # written once: the range partitioning samples its input, and two branches read it
+    return cut(hashed).repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.col("id").desc_nulls_last(), "at")
 
 
 def dropped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS, salts: int = SALTS) -> DataFrame:
