@@ -56,7 +56,9 @@ def dropped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     stream = Window.partitionBy("h1", "h2", "salt").orderBy(F.col("id").desc_nulls_last())
     heads = found.withColumn("documents", F.dense_rank().over(stream)).groupBy("h1", "h2", "salt").agg(F.max("documents").alias("documents"), F.max("id").alias("id"))
     repeated = heads.groupBy("h1", "h2").agg(F.sum("documents").alias("documents"), F.max("id").alias("keeper")).where(F.col("documents") >= min_documents).drop("documents")
-    lost = found.join(repeated, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "key", "at").distinct()
+    # back to the ranges of each repeated hash, so that the lines of a frequent one meet it by salt, not in one task
+    keepers = heads.select("h1", "h2", "salt").join(repeated, ["h1", "h2"])
+    lost = found.join(keepers, ["h1", "h2", "salt"]).where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "key", "at").distinct()
     along = Window.partitionBy("id", "key").orderBy("at")
     runs = lost.withColumn("run", F.col("at") - F.row_number().over(along)).groupBy("id", "key", "run").agg(F.min("at").alias("first"), F.count("*").cast("int").alias("length"))
     return runs.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("first", "length"))).alias("bitmap"))
