@@ -11,11 +11,15 @@ Inside a band the pivot table (Hamming distances to fixed reference fingerprints
 triangle inequality every pair one of whose coordinates differs by more than the distance; the
 survivors are verified by their own distance. A band returns a star for each local component
 instead of its pairs, and the stars are joined to components in rounds of joins.
+
+For a similarity the distance only proposes: it is so wide that hardly a pair at the similarity
+lies outside of it, local components are groups of candidates, and inside of a group the texts'
+own sets of shingles are compared. Rows are folded by their sets then, not by their fingerprints.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +36,41 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 LANES = 4
 PIVOTS = mix(np.arange(1001, 1001 + 16 * LANES, dtype=U) * U(BASE)).reshape(16, LANES)
 _LANE = mix(np.arange(1, LANES + 1, dtype=U))
+#: Groups of candidates of more than two such blocks are compared a pair of blocks at a time.
+BLOCK = 1024
+#: Places of the filter that tells which rows are candidates.
+PLACES = 1 << 24
 
 
-def fingerprint(text: bytes, words: int = 3, lanes: int = 1) -> np.ndarray:
-    """The fingerprint of one text, a signed 64-bit integer for each lane; no word: zeros.
-
-    The first lane's bits are the shingle hashes' own, other lanes mix them anew.
-    """
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The hash of every run of ``words`` words, or of all words where there are fewer; no word: none."""
     found = text.translate(LOWER).split()
     if not found:
-        return np.zeros(lanes, np.int64)
+        return np.zeros(0, "<u8")
     n = max(1, len(found) - words + 1)
     joined = b" ".join(found)
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     starts = np.cumsum(sizes + 1) - sizes - 1
     ends = (starts + sizes)[min(words, len(found)) - 1 :]
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)], "<u8")
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)], "<u8")
+
+
+def _name(values: np.ndarray) -> int:
+    return _signed(xxh64_intdigest(values.tobytes(), SEED))
+
+
+def fingerprint(text: bytes, words: int = 3, lanes: int = 1) -> np.ndarray:
+    """The fingerprint of one text, a signed 64-bit integer for each lane; no word: zeros.
+
+    The first lane's bits are the shingle hashes' own, other lanes mix them anew.
+    """
+    return fingerprint_of(shingles(text, words), lanes)
+
+
+def fingerprint_of(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
+    n = len(hashes)
+    if not n:
+        return np.zeros(lanes, np.int64)
     total = np.zeros(64 * lanes, np.int64)
     for k in range(0, n, 1 << 14):
         own = hashes[k : k + (1 << 14), None]
@@ -57,21 +80,28 @@ def fingerprint(text: bytes, words: int = 3, lanes: int = 1) -> np.ndarray:
     return np.packbits(total * 2 > n, bitorder="little").view("<i8")
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, lanes: int = 1, sets: bool = False) -> DataFrame:
     """(id, key, node, fp0, fp1, ...) of every row; a null text is empty.
 
-    key is a hash of id and text; node names the fingerprint: itself, or a hash of its lanes.
+    key is a hash of id and text; node names the fingerprint: itself, or a hash of its lanes. sets:
+    a shingle counts once however often a text has it, and node names the set of shingles.
     """
     names = [f"fp{k}" for k in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text"):
-            found = np.array([fingerprint(x, words, lanes) for x in texts_of(batch, "text")], np.int64).reshape(-1, lanes)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *[pa.array(np.ascontiguousarray(found[:, k])) for k in range(lanes)]], names=["id", "key", *names])
+            found, nodes = np.zeros((batch.num_rows, lanes), np.int64), np.zeros(batch.num_rows, np.int64)
+            for k, text in enumerate(texts_of(batch, "text")):
+                own = np.unique(shingles(text, words)) if sets else shingles(text, words)
+                found[k], nodes[k] = fingerprint_of(own, lanes), _name(own) if sets else 0
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(nodes), *[pa.array(np.ascontiguousarray(found[:, k])) for k in range(lanes)]], names=["id", "key", "node", *names])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text"))
-    found = shipped(rows).mapInArrow(run, "id long, key long, " + ", ".join(f"{x} long" for x in names))
-    return found.withColumn("node", F.xxhash64(*names) if lanes > 1 else F.col("fp0"))
+    found = shipped(_keyed(docs, id_column, text_column)).mapInArrow(run, "id long, key long, node long, " + ", ".join(f"{x} long" for x in names))
+    return found if sets else found.withColumn("node", F.xxhash64(*names) if lanes > 1 else F.col("fp0"))
+
+
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).cast("long").alias("id"), row_key(id_column, text_column).alias("key"), F.col(text_column).alias("text"))
 
 
 def _blocks(start: int, width: int, n: int) -> list[tuple[int, int]]:
@@ -95,7 +125,13 @@ def flip_rate(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def sampled_bands(rows: int, similarity: float, lanes: int = LANES, recall: float = 0.95, seed: int = 3) -> list[tuple[int, ...]]:
+def wide_bits(similarity: float, lanes: int = LANES) -> int:
+    """Six deviations over the expected distance at ``similarity``."""
+    rate, n = flip_rate(similarity), 64 * lanes
+    return int(np.ceil(rate * n + 6 * np.sqrt(rate * (1 - rate) * n)))
+
+
+def sampled_bands(rows: int, similarity: float, lanes: int = LANES, recall: float = 0.999, seed: int = 3) -> list[tuple[int, ...]]:
     """Masks of sampled bits: a pair at ``similarity`` agrees on some mask with chance ``recall``.
 
     A mask has so many bits that about 16 of ``rows`` unrelated fingerprints agree on it.
@@ -151,6 +187,18 @@ def links(distinct: DataFrame, bits: int, masks: list[tuple[int, ...]]) -> DataF
 
     The stars have the components of all pairs at most ``bits`` apart that share a band.
     """
+    return _banded(distinct, bits, masks, _stars, ("a", "b"))
+
+
+def candidates(distinct: DataFrame, bits: int, masks: list[tuple[int, ...]]) -> DataFrame:
+    """Groups (grp, node) of two or more nodes: each two nodes at most ``bits`` apart that share a band share a group.
+
+    A group that several bands find is there once.
+    """
+    return _banded(distinct, bits, masks, _groups, ("grp", "node"))
+
+
+def _banded(distinct: DataFrame, bits: int, masks: list[tuple[int, ...]], make: Callable, out: tuple[str, str]) -> DataFrame:
     names = [f"fp{k}" for k in range(len(masks[0]))]
     keys = [F.xxhash64(F.lit(k), *[F.col(n).bitwiseAND(F.lit(_signed(m))) for n, m in zip(names, mask, strict=True)]) for k, mask in enumerate(masks)]
     keyed = distinct.select("node", *names, F.explode(F.array(*keys)).alias("band"))
@@ -166,13 +214,13 @@ def links(distinct: DataFrame, bits: int, masks: list[tuple[int, ...]]) -> DataF
             band = keep[:, 0]
             edges = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
             done = len(keep) if batch is None else int(edges[-1])  # the last band may go on
-            a, b = _stars(keep[:done, 1], np.ascontiguousarray(keep[:done, 2:]).view(U), edges[edges < done], done, bits)
+            a, b = make(keep[:done, 1], np.ascontiguousarray(keep[:done, 2:]).view(U), edges[edges < done], done, bits)
             keep = keep[done:]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=list(out))
 
     dealt = keyed.select(*columns).repartition("band").sortWithinPartitions("band", "node")
-    return shipped(dealt).mapInArrow(run, "a long, b long").distinct()
+    return shipped(dealt).mapInArrow(run, ", ".join(f"{x} long" for x in out)).distinct()
 
 
 def _then_none(items):
@@ -199,6 +247,113 @@ def _stars(nodes: np.ndarray, fps: np.ndarray, starts: np.ndarray, end: int, bit
     return np.concatenate(tails), np.concatenate(heads)
 
 
+def _groups(nodes: np.ndarray, fps: np.ndarray, starts: np.ndarray, end: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.diff(np.append(starts, end))
+    two = starts[sizes == 2]
+    two = two[_apart(fps[two], fps[two + 1]) <= bits]
+    found = [nodes[k : k + 2] for k in two.tolist()]
+    for k in np.flatnonzero(sizes > 2):
+        own = slice(starts[k], starts[k] + sizes[k])
+        label = components_within(fps[own], bits)
+        order = np.argsort(label, kind="stable")  # nodes stay sorted
+        for some in np.split(nodes[own][order], np.flatnonzero(np.diff(label[order])) + 1):
+            if len(some) > 1:
+                found += blocks(some)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.repeat(np.array([_name(x) for x in found], np.int64), [len(x) for x in found]), np.concatenate(found)
+
+
+def blocks(nodes: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
+    """Parts of at most two blocks of ``nodes``; each two nodes share a part."""
+    if len(nodes) <= 2 * block:
+        return [nodes]
+    own = np.array_split(nodes, -(-len(nodes) // block))
+    return [np.concatenate([own[i], own[j]]) for j in range(len(own)) for i in range(j)]
+
+
+def components_alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The smallest index linked with each set, where sets with this Jaccard similarity are linked."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    what = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), sizes)
+    own = np.split(what, np.cumsum(sizes)[:-1])
+    free, label, mark = np.ones(n, bool), np.arange(n), np.zeros(what.max(initial=-1) + 1, bool)
+    for seed in range(n):
+        if not free[seed]:
+            continue
+        free[seed] = False
+        front = [seed]
+        while front and free.any():
+            i = front.pop()
+            mark[own[i]] = True
+            shared = np.bincount(owner, mark[what], n)
+            mark[own[i]] = False
+            near = free & (shared >= similarity * (sizes + sizes[i] - shared) - 1e-9)
+            if near.any():
+                label[near] = seed
+                free &= ~near
+                front += np.flatnonzero(near).tolist()
+                left = free[owner]
+                what, owner = what[left], owner[left]
+    return label
+
+
+def verified(docs: DataFrame, distinct: DataFrame, groups: DataFrame, similarity: float, id_column: str, text_column: str, words: int) -> DataFrame:
+    """Star edges (a, b) whose components are those of all pairs of a group with this Jaccard similarity.
+
+    distinct: (node, key), the key of one row of each node. The sets are made anew from the texts
+    of the candidates; a filter of fixed size finds these, so no other text or set is dealt.
+    """
+    context = docs.sparkSession.sparkContext
+    keys = groups.select("node").distinct().join(distinct, "node").select(F.pmod("key", F.lit(PLACES)).alias("at"))
+    filled = keys.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
+    places = np.zeros(PLACES // 64, np.int64)
+    places[filled.column("word").to_numpy()] = filled.column("bits").to_numpy()
+    held = context.broadcast(places.view(U))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("key").to_numpy() % PLACES
+            batch = batch.filter(pa.array((held.value[at // 64] >> (at % 64).astype(U)) & U(1) == U(1)))
+            for some in parts([batch], "text"):
+                sets = [np.unique(shingles(x, words)) for x in texts_of(some, "text")]
+                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                own = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in sets], pa.int64()), own], names=["node", "shingles"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep: list[pa.RecordBatch] = []
+        for batch in _then_none(batches):
+            if batch is not None and batch.num_rows:
+                keep.append(batch)
+            if not keep or batch is not None and not batch.num_rows:
+                continue
+            table = pa.Table.from_batches(keep).combine_chunks()
+            grp, nodes = table.column("grp").to_numpy(), table.column("node").to_numpy()
+            lists = table.column("shingles").chunk(0)
+            edges = np.flatnonzero(np.append(True, grp[1:] != grp[:-1]))
+            done = len(grp) if batch is None else int(edges[-1])  # the last group may go on
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            tails, heads = [], []
+            for low, high in zip(edges.tolist(), [*edges[1:].tolist(), len(grp)], strict=True):
+                if high > done:
+                    break
+                label = components_alike([values[offsets[k] : offsets[k + 1]] for k in range(low, high)], similarity)
+                at = np.flatnonzero(label != np.arange(len(label)))
+                tails.append(nodes[low + label[at]])
+                heads.append(nodes[low + at])
+            keep = table.slice(done).to_batches() if done < len(grp) else []
+            if tails:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tails)), pa.array(np.concatenate(heads))], names=["a", "b"])
+
+    sets = shipped(_keyed(docs, id_column, text_column)).mapInArrow(make, "node long, shingles array<long>")
+    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    dealt = groups.join(sets, "node").select("grp", "node", "shingles").repartition("grp").sortWithinPartitions("grp", "node")
+    return shipped(dealt).mapInArrow(link, "a long, b long").distinct()
+
+
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (a, b), for every node with an edge.
 
@@ -226,22 +381,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """Per row of ``docs``: id, key, fingerprint (16 hex digits a lane), component_id, component.
 
     bits: link 64-bit fingerprints at most so many bits apart, all of them. Else similarity: link
-    texts whose fingerprints of LANES lanes show at least this Jaccard similarity of their
-    shingles. component_id is the smallest non-null id reachable (null only if all are), component
+    texts with at least this Jaccard similarity of their sets of shingles, compared exactly; the
+    bands of LANES lanes find a pair at the similarity itself with a chance of 0.999. component_id is the smallest non-null id reachable (null only if all are), component
     its name. A null or empty text has fingerprint zero and links like any other; repeated rows
     give repeated results and have one key; other columns of ``docs`` are not read. An empty table
     gives an empty result.
     """
     lanes = 1 if bits is not None else LANES
     names = [f"fp{k}" for k in range(lanes)]
-    found = cut(fingerprints(docs, id_column, text_column, words, lanes))
-    distinct = found.groupBy("node").agg(F.min("id").alias("least"), *[F.first(x).alias(x) for x in names])
+    found = cut(fingerprints(docs, id_column, text_column, words, lanes, sets=bits is None))
+    distinct = found.groupBy("node").agg(F.min("id").alias("least"), F.min("key").alias("key"), *[F.first(x).alias(x) for x in names])
     if bits is not None:
-        masks = exact_bands(bits)
+        edges = links(distinct, bits, exact_bands(bits))
     else:
-        masks = sampled_bands(distinct.count(), similarity, lanes)
-        bits = int(round(flip_rate(similarity) * 64 * lanes))
-    roots = components(links(distinct, bits, masks))
+        groups = cut(candidates(distinct, wide_bits(similarity, lanes), sampled_bands(distinct.count(), similarity, lanes)))
+        edges = verified(docs, distinct.select("node", "key"), groups, similarity, id_column, text_column, words)
+    roots = components(edges)
     named = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     known = named.select("node", "root").join(ids, "root")

@@ -301,6 +301,27 @@ def test_one_of_each(spark, odd):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(rows).collect()) == [5, 7]
 
 
+def test_similarity_is_exact_at_the_limit(spark):
+    """Pairs on either side of 0.8: n words, the last ones changed, so the Jaccard similarity is known."""
+    rows, want = [], {}
+    for k in range(120):
+        n = 60 + 5 * k
+        shared = int(np.ceil(0.8 * 2 * n / 1.8)) if k % 2 else int(np.ceil(0.8 * 2 * n / 1.8)) - 1  # of n shingles each
+        own = [f"w{k}x{j}" for j in range(n + 4)]
+        other = own[: shared + 4] + [f"v{k}x{j}" for j in range(n - shared)]
+        assert (shared / (2 * n - shared) >= 0.8) == bool(k % 2)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + 1 - k % 2}
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_candidates_in_blocks():
+    parts = simhash.blocks(np.arange(23), block=5)
+    assert max(map(len, parts)) <= 10
+    assert {(i, j) for x in parts for i in x.tolist() for j in x.tolist()} == {(i, j) for i in range(23) for j in range(23)}
+
+
 def test_language_held_out(spark):
     folder = "/root/testdata/sf0.01"
     found = QUERIES["op10_byte_cnn_langid"](spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id").where("held_out")
