@@ -4,7 +4,8 @@ A text's terms are its lower-cased words, the first bytes of its longer words, a
 again where it stands twice or more, each hashed to a fixed number of places. The machine adds to
 a linear score the dot products of the terms' latent vectors, so a pair of terms can count for
 more (or less) than both alone. Training (numpy, AdaGrad) takes a bounded sample of labelled rows;
-places that the sample hardly relates to the label are left out of the model.
+all places that enough rows hold are in the model, but while it learns, those that the sample alone
+hardly relates to the label enter with a smaller value, which holds their noise down.
 """
 
 from __future__ import annotations
@@ -70,25 +71,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(who: np.ndarray, what: np.ndarray, label: np.ndarray, prior: float | None = None, factors: int = FACTORS, epochs: int = 40, batch: int = 256, rate: float = 0.3, decay: float = 1e-3, least: int = 4, z: float = 2.5, seed: int = 7) -> Machine:
-    """Fit to rows of (row, place), sorted by row. prior: the share of label 1 where it is applied."""
+def train(who: np.ndarray, what: np.ndarray, label: np.ndarray, prior: float | None = None, factors: int = FACTORS, epochs: int = 40, batch: int = 256, rate: float = 0.3, decay: float = 1e-3, least: int = 4, z: float = 2.5, weak: float = 0.4, seed: int = 7) -> Machine:
+    """Fit to rows of (row, place), sorted by row. prior: the share of label 1 where it is applied.
+
+    A place in ``least`` rows or more takes part. Its value is 1 if its marginal relation to the
+    label is ``z`` deviations or more, else ``weak``.
+    """
     n = len(label)
     label = label.astype(float)
     rate_1 = label.mean() if n else 0.0
     if not n or rate_1 in (0.0, 1.0):  # one class, or nothing: a constant
         return Machine(np.zeros(0, np.int64), 4.0 if rate_1 == 1.0 and n else -4.0, np.zeros(0), np.zeros((0, factors)))
     seen = np.bincount(what, minlength=PLACES)
-    toxic = np.bincount(what, label[who], PLACES)
+    toxic = np.bincount(what[label[who] > 0], minlength=PLACES)
     strength = np.abs(toxic - seen * rate_1) / np.sqrt(np.maximum(seen, 1) * rate_1 * (1 - rate_1))
-    places = np.flatnonzero((seen >= least) & (strength >= z))
-    at = np.searchsorted(places, what)
-    at[at == len(places)] = 0
-    known = places[at] == what if len(places) else np.zeros(len(at), bool)
-    who, at = who[known], at[known]
+    places = np.flatnonzero(seen >= least)
+    value = np.where(strength[places] >= z, 1.0, weak)
+    place_of = np.full(PLACES, -1, np.int32)
+    place_of[places] = np.arange(len(places))
+    known = seen[what] >= least
+    who, at = who[known], place_of[what[known]]
     starts = np.searchsorted(who, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(len(places)), rng.normal(0, 0.02, (len(places), factors)), float(np.log(rate_1 / (1 - rate_1)))
     square_w, square_v, square_b = np.full(len(places), 1e-2), np.full((len(places), factors), 1e-2), 1e-2
+    held, back_of = np.zeros(len(places), bool), np.zeros(len(places), np.int32)
     for _ in range(epochs):
         order = rng.permutation(n)
         for low in range(0, n, batch):
@@ -96,14 +103,18 @@ def train(who: np.ndarray, what: np.ndarray, label: np.ndarray, prior: float | N
             size = starts[rows + 1] - starts[rows]
             own = np.repeat(np.arange(len(rows)), size)
             pick = np.repeat(starts[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            index, back = np.unique(at[pick], return_inverse=True)
-            vectors = v[index][back]
+            held[at[pick]] = True
+            index = np.flatnonzero(held)
+            held[index] = False
+            back_of[index] = np.arange(len(index))
+            back, x = back_of[at[pick]], value[at[pick]]
+            vectors = v[index][back] * x[:, None]
             sums = np.stack([np.bincount(own, vectors[:, k], len(rows)) for k in range(factors)], 1)
             squares = np.bincount(own, (vectors * vectors).sum(1), len(rows))
-            raw = b + np.bincount(own, w[index][back], len(rows)) + 0.5 * ((sums * sums).sum(1) - squares)
+            raw = b + np.bincount(own, w[index][back] * x, len(rows)) + 0.5 * ((sums * sums).sum(1) - squares)
             error = (_sigmoid(raw) - label[rows]) / len(rows)
-            grad_w = np.bincount(back, error[own], len(index)) + decay / n * w[index] * batch
-            inner = error[own][:, None] * (sums[own] - vectors)
+            grad_w = np.bincount(back, error[own] * x, len(index)) + decay / n * w[index] * batch
+            inner = (error[own] * x)[:, None] * (sums[own] - vectors)
             grad_v = np.stack([np.bincount(back, inner[:, k], len(index)) for k in range(factors)], 1) + decay / n * v[index] * batch
             square_w[index] += grad_w**2
             square_v[index] += grad_v**2
@@ -113,7 +124,7 @@ def train(who: np.ndarray, what: np.ndarray, label: np.ndarray, prior: float | N
             b -= rate * error.sum() / np.sqrt(square_b)
     if prior is not None and 0 < prior < 1:
         b += float(np.log(prior / (1 - prior)) - np.log(rate_1 / (1 - rate_1)))
-    return Machine(places, b, w, v)
+    return Machine(places, b, w * value, v * value[:, None])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learns: Column | None = None, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic", sample: int = SAMPLE, **options) -> Machine:
@@ -148,8 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column | None = None, id_col
         return train(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     found = found.sort_by("id")
     column = found.column("terms").combine_chunks()
-    what = column.flatten().to_numpy().astype(np.int64)
-    who = np.repeat(np.arange(found.num_rows), column.value_lengths().to_numpy())
+    what = column.flatten().to_numpy()
+    who = np.repeat(np.arange(found.num_rows, dtype=np.int32), column.value_lengths().to_numpy())
     return train(who, what, found.column("label").to_numpy(), prior, **options)
 
 

@@ -134,6 +134,15 @@ def test_factorization_machine_learns_pairs():
     assert ((machine.scores(texts) >= 0.5) == label).mean() > 0.95
 
 
+def test_factorization_machine_learns_pairs_as_it_is_used():
+    rng = np.random.default_rng(1)
+    a, b = rng.random(4000) < 0.5, rng.random(4000) < 0.5
+    texts = [" ".join(["insult"] * int(x) + ["group"] * int(y) + [f"w{k % 50}", f"z{k % 37}"]).encode() for k, (x, y) in enumerate(zip(a, b, strict=True))]
+    label = a ^ b
+    machine = toxicity.train(*toxicity.terms(texts), label.astype(int))
+    assert ((machine.scores(texts) >= 0.5) == label).mean() > 0.95
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.01"
     found = QUERIES["op5_toxicity_fm"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").toPandas()
