@@ -199,7 +199,7 @@ def nearest(vectors: DataFrame, queries: Column, id_column: str = "vec_id", vect
     dim = most["dim"] if most else 1
     rows = rows.where(F.size("vector") == dim)
     copies = Window.partitionBy("vector").orderBy("id")
-    kept = cut(rows.select("id", "vector").withColumn("copy", F.dense_rank().over(copies)).where(F.col("copy") <= k + 1).drop("copy"))
+    kept = cut(rows.select("id", "vector").distinct().withColumn("copy", F.dense_rank().over(copies)).where(F.col("copy") <= k + 1).drop("copy"))
     fitted = kept.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
     unit = _unit(_matrix(fitted.column("vector"), dim)) if fitted.num_rows else np.zeros((0, dim))
     tree = build(unit, leaf=leaf)
@@ -213,9 +213,10 @@ def nearest(vectors: DataFrame, queries: Column, id_column: str = "vec_id", vect
                 yield pa.RecordBatch.from_arrays([pa.array(leaves.astype(np.int32)), batch.column("id"), batch.column("vector")], names=["leaf", "id", "vector"])
 
     placed = shipped(kept).mapInArrow(place, "leaf int, id long, vector array<double>")
-    held = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
-    pages = paged(tree, held)
-    asking = rows.where("asks").select("id", "vector")
+    counts = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).collect()  # a row for each leaf
+    held = {r["leaf"]: r["ids"] for r in counts}
+    pages = paged(tree, {r["leaf"]: r["n"] for r in counts})
+    asking = rows.where("asks").select("id", "vector").distinct()
     chunks = max(1, -(-asking.count() // CHUNK))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,19 +244,27 @@ def nearest(vectors: DataFrame, queries: Column, id_column: str = "vec_id", vect
             unit_x, unit_y = _unit(x), _unit(y)
             own, at = np.unique(right.column("leaf").to_numpy(), return_inverse=True)
             leaves = left.column("leaves").to_pylist()
+            by_id = np.argsort(b, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(b[by_id]) != 0))
             for low in range(0, len(a), 128):
                 near = unit_x[low : low + 128] @ unit_y.T
                 open_ = np.zeros((len(near), len(own)), bool)
                 for i, nodes in enumerate(leaves[low : low + 128]):
                     open_[i, np.searchsorted(own, np.intersect1d(nodes, own))] = True
                 near[~open_[:, at] | (a[low : low + 128, None] == b[None, :])] = -np.inf
-                kth = np.partition(near, max(0, len(b) - k), axis=1)[:, max(0, len(b) - k)]
+                best = np.maximum.reduceat(near[:, by_id], first, axis=1)  # of each id
+                kth = np.partition(best, max(0, len(first) - k), axis=1)[:, max(0, len(first) - k)]
                 i, j = np.nonzero((near >= (kth - 1e-9)[:, None]) & (near > -np.inf))
                 score = cosine(x[low + i], y[j])
+                order = np.lexsort((-score, b[j], a[low + i]))  # a query and an id once, by their best score
+                i, j, score = i[order], j[order], score[order]
+                once = np.append(True, (np.diff(a[low + i]) != 0) | (np.diff(b[j]) != 0))[: len(i)]
+                i, j, score = i[once], j[once], score[once]
+                i = np.searchsorted(a_own := np.unique(a[low : low + 128]), a[low + i])
                 order = np.lexsort((b[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
                 top = np.arange(len(i)) - np.searchsorted(i, i) < k
-                for whole, new in zip(found, (a[low + i[top]], b[j[top]], score[top]), strict=True):
+                for whole, new in zip(found, (a_own[i[top]], b[j[top]], score[top]), strict=True):
                     whole.append(new)
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
         return pa.table({"query_id": join(found[0], pa.int64()), "vec_id": join(found[1], pa.int64()), "score": join(found[2], pa.float64())})

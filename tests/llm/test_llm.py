@@ -186,6 +186,17 @@ def test_nearest_odd(spark):
     assert ann_tree.nearest(table.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_with_repeated_ids(spark):
+    near = [(1, [1.0, 0.01 * j]) for j in range(12)]  # one id, many near vectors
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (50, [1.0, 0.5]), (50, [1.0, 0.5]), *near, *near, *[(k, [1.0, float(k)]) for k in range(2, 9)]]
+    found = ann_tree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    got = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 50)}
+    assert got == {0: [1, 50, 2, 3, 4], 50: [1, 0, 2, 3, 4]}
+    hot = [(0, [1.0, 2.0]), (50, [2.0, 4.0]), *[(k, [3.0, 1.0]) for k in range(1, 30)], (0, [1.0, 2.0])]
+    found = ann_tree.nearest(spark.createDataFrame(hot, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 50] == [0, 1, 2, 3, 4]
+
+
 def test_sampling_matches_the_distribution():
     own = sp_sampling.Vocabulary(vocabulary(PIECES))
     nodes = own.lattice(own.segments("there")[0])
