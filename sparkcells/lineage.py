@@ -3,19 +3,43 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, which survives lost executors.
+def folder(spark: SparkSession) -> str:
+    """The shared folder: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary folder is set. Later plans begin at the written rows, so
-    a table that many stages read is computed once and their plans stay small.
+    Only a local session, whose executors are this process, gets a temporary folder where that is
+    unset; on a cluster an unset folder is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it from there.
+
+    The written table survives lost executors. Later plans begin at it, so a table that many
+    stages read is computed once, their plans stay small and read only the columns they need.
+    """
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that :func:`cut` wrote for ``df``, once nothing reads it any more."""
+    path = getattr(df, "_written", None)
+    if path is not None:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
