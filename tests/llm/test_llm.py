@@ -298,13 +298,51 @@ def test_simhash(docs, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_bands_lose_no_pair():
+def brute_components(prints, bits):
+    """The smallest index reachable over pairs at most ``bits`` apart."""
+    label = np.full(len(prints), -1)
+    for seed in range(len(prints)):
+        front = [seed] if label[seed] < 0 else []
+        while front:
+            i = front.pop()
+            label[i] = seed
+            hit = np.flatnonzero((np.bitwise_count(prints ^ prints[i]) <= bits) & (label < 0))
+            label[hit] = seed
+            front += hit.tolist()
+    return label
+
+
+def test_cells_lose_no_pair():
     rng = np.random.default_rng(4)
+    one = int(simhash.REFERENCES[0])
     for bits in (1, 2, 3):
-        masks = [m for (m,) in simhash.exact_bands(bits)]
+        groups = simhash.exact_cells(bits)
         for _ in range(300):
-            flips = sum(1 << int(k) for k in rng.choice(64, bits, replace=False))
-            assert any(not flips & m for m in masks)
+            x = int(rng.integers(0, 1 << 63))
+            y = x ^ sum(1 << int(k) for k in rng.choice(64, bits, replace=False))
+            unlike = [[(z ^ one) >> 2 * k & 3 for k in range(simhash.BLOCKS)] for z in (x, y)]
+            counts = [[v.bit_count() for v in z] for z in unlike]
+            assert any(all(counts[0][k] == counts[1][k] for k in group) for group in groups)
+
+
+@pytest.mark.parametrize("hot", [4096, 40])
+def test_pivot_links_against_brute_force(spark, hot):
+    """Random fingerprints, and one dense group whose cells are split into slabs."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    near = base[rng.integers(0, 400, 300)] ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))
+    dense = np.full(600, base[0])
+    for _ in range(5):
+        dense ^= np.uint64(1) << rng.integers(0, 24, 600, dtype=np.uint64)
+    prints = np.unique(np.concatenate([base, near, dense]))
+    for bits in (1, 2):
+        rows = spark.createDataFrame([(int(k), int(x)) for k, x in enumerate(prints.view(np.int64))], "node long, fp0 long")
+        table = simhash.pivot_table(rows)
+        some = table.where("node = 7").first()
+        far = np.array([some[w] for w in simhash.WORDS], np.int64).view(np.uint8)
+        assert (far == np.bitwise_count(simhash.REFERENCES ^ prints[7])).all()
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(simhash.celled(table, bits, hot), bits)).collect()}
+        assert [roots.get(k, k) for k in range(len(prints))] == brute_components(prints, bits).tolist()
 
 
 def test_components_of_a_chain(spark):
@@ -336,10 +374,26 @@ def test_similarity_is_exact_at_the_limit(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
-def test_candidates_in_blocks():
-    parts = simhash.blocks(np.arange(23), block=5)
-    assert max(map(len, parts)) <= 10
-    assert {(i, j) for x in parts for i in x.tolist() for j in x.tolist()} == {(i, j) for i in range(23) for j in range(23)}
+def test_similarity_in_blocks(spark):
+    """A component of candidates of several blocks, some of it unlike its first, against brute force."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for k in range(60):
+        own = set(range(40)) if k < 30 else {100 * (k // 3) + x for x in range(40)}
+        gone = rng.choice(sorted(own), rng.integers(0, 8), replace=False).tolist()
+        sets.append(sorted((own - set(gone)) | {10_000 * k + x for x in range(len(gone))}))
+    rows = spark.createDataFrame([(0, k, s, len(s)) for k, s in enumerate(sets)], "root long, node long, shingles array<long>, n int")
+    known = simhash.with_first(rows, 0.8, block=7).cache()
+    pairs = {(0, r["node"]) for r in known.where("alike").collect()} | {tuple(r) for r in simhash.others(known, 0.8, block=7).collect()}
+    roots = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    label = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(60):
+                a, b = set(sets[i]), set(sets[j])
+                if len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                    label[i] = label[j] = min(label[i], label[j])
+    assert [roots.get(k, k) for k in range(60)] == label
 
 
 def test_language_held_out(spark):
