@@ -8,17 +8,19 @@ maximum of the set's perturbed values as bound (a Gumbel at the set's log mass,
 parent's maximum, since the lattice's backward sums are known). Taking the best set fixes one
 path by sampling its edges and leaves, at each node, the set of the path's untaken siblings.
 
-Random numbers are seeded by the row's key, so a row is sampled alike in any task.
+All rows of a batch are searched at a time. Lattices are built once for each distinct stretch that
+no piece crosses (a word) and kept in flat arrays; paths are walked one edge of every open stretch
+a step; and a row's queue is the bounds of its paths' edges, of which the largest is taken.
+
+Random numbers are hashes of the row's key, the number of the sample and the place in the text, so
+a row is sampled alike in any batch and task.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
-import random
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +29,33 @@ from pyspark.sql import functions as F
 
 from ..shipping import shipped
 from .common import parts, texts_of
+from .textbytes import BASE, U, mix, powers
 
 SPACE = "▁"
 SAMPLES = 3
 #: Weight of the vocabulary's scores, which for BPE vocabularies are negative merge ranks.
 WEIGHT = 2e-4
-CACHE = 30_000
+#: Edges of the lattices that are kept between batches.
+KEPT = 2_000_000
+#: Chances left below this count as none.
+TINY = 1e-12
+#: Chances are whole numbers of 2 ** -BITS where paths are walked, and of 2 ** -FINE where they are
+#: summed, so that no sum depends on what else is in a batch.
+BITS, FINE = 38, 52
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+")
 #: Stands for a literal block that isn't a space (a private code point of a lone surrogate).
 _LITERAL = "\udc81"
 
-#: A node: cumulative chances of its edges, and their (end, ids, log chance).
-Node = tuple[list[float], list[tuple[int, tuple[int, ...], float]]]
-
 
 class Vocabulary:
-    """Pieces of a SentencePiece model file, with byte fallback."""
+    """Pieces of a SentencePiece model file, with byte fallback, and the lattices of the stretches met so far.
+
+    Nodes of all lattices are numbered one after the other, a stretch of n characters has n + 1;
+    the edges of node i are first[i] .. first[i + 1] - 1, with their end (to), log chance given
+    the node (log), running chance plus i (upto, in 2 ** -BITS) and ids.
+    """
 
-    def __init__(self, path: str, weight: float = WEIGHT, cache: int = CACHE):
+    def __init__(self, path: str, weight: float = WEIGHT, kept: int = KEPT):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -63,11 +74,38 @@ class Vocabulary:
                 self.score[piece] = (i, weight * model.get_score(i))
                 self.surface.append(piece.replace(SPACE, " ").encode())
         self.unknown = min((s for _, s in self.score.values()), default=0.0) - 1.0
-        self.longest: dict[str, int] = {}
-        for piece in self.score:
-            self.longest[piece[:1]] = max(self.longest.get(piece[:1], 0), len(piece))
+        self._table()
         self.crossing = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.score)
-        self.most, self.cache = cache, {}
+        self.kept = kept
+        sizes = np.fromiter(map(len, self.surface), np.int64, len(self.surface))
+        self._surface = _Lists(np.frombuffer(b"".join(self.surface), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        self._clear()
+
+    def _table(self) -> None:
+        """Hashes of the pieces, in order, a filter for them, and how long pieces are by their first character."""
+        text = list(self.score)
+        sizes = np.fromiter(map(len, text), np.int64, len(text))
+        codes = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), "<u4")
+        up, down = powers(len(codes) + 1)
+        sums = np.append(U(0), np.add.accumulate(_char(codes) * up[: len(codes)]))
+        begin = np.cumsum(sizes) - sizes
+        hashes = mix((sums[begin + sizes] - sums[begin]) * down[begin] + sizes.astype(U))
+        order = np.argsort(hashes)
+        self._hashes, self._numbers = np.append(hashes[order], U(0)), np.array([self.score[text[k]][0] for k in order.tolist()] + [0], np.int64)
+        self._filter = np.zeros(1 << 22, bool)
+        self._filter[hashes >> U(42)] = True
+        self._scores = np.zeros(len(self.surface))
+        for number, score in self.score.values():
+            self._scores[number] = score
+        self._reach = np.zeros(int(codes.max(initial=0)) + 2, np.int64)
+        np.maximum.at(self._reach, codes[begin], sizes)
+
+    def _clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.first = np.zeros(1, np.int64)
+        self.to, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.log, self.upto = np.zeros(0), np.zeros(0, np.int64)
+        self.ids = _Lists(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def segments(self, text: str) -> list[str]:
         """Stretches of the text that no piece crosses; a space is put before it, as the encoder does."""
@@ -78,125 +116,325 @@ class Vocabulary:
         raw = (SPACE if char == _LITERAL else char).encode("utf-8", "replace")
         return tuple(self.byte[x] for x in raw)
 
-    def lattice(self, segment: str) -> list[Node]:
-        """A node for each place: its edges and their chances given the place."""
-        own = self.cache.get(segment)
-        if own is not None:
-            return own
-        n = len(segment)
-        mass = [0.0] * (n + 1)
-        nodes: list[Node] = [([], [])] * n
-        get, exp = self.score.get, math.exp
-        for i in range(n - 1, -1, -1):
-            edges = []
-            for j in range(i + 1, min(n, i + self.longest.get(segment[i], 0)) + 1):
-                found = get(segment[i:j])
-                if found is not None:
-                    edges.append((j, (found[0],), found[1] + mass[j]))
-            if not edges or edges[0][0] != i + 1:
-                edges.insert(0, (i + 1, self._bytes(segment[i]), self.unknown + mass[i + 1]))
-            top = max(e[2] for e in edges)
-            total = sum(exp(e[2] - top) for e in edges)
-            mass[i] = top + math.log(total)
-            upto, running, given = [], 0.0, []
-            for j, ids, weight in edges:
-                running += exp(weight - mass[i])
-                upto.append(running)
-                given.append((j, ids, weight - mass[i]))
-            nodes[i] = (upto, given)
-        if len(segment) <= 48:
-            if len(self.cache) >= self.most:
-                self.cache.clear()
-            self.cache[segment] = nodes
-        return nodes
+    def learn(self, segments: list[str]) -> np.ndarray:
+        """The first node of each stretch; new ones get a lattice."""
+        if len(self.to) > self.kept:
+            self._clear()
+        new = [x for x in dict.fromkeys(segments) if x not in self.places]
+        if new:
+            self._build(new)
+        return np.fromiter(map(self.places.__getitem__, segments), np.int64, len(segments))
+
+    def _pieces(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, id) of every piece that stands at a place of the stretches; left: characters to the stretch's end."""
+        up, down = powers(len(codes) + 1)
+        sums = np.append(U(0), np.add.accumulate(_char(codes) * up[: len(codes)]))
+        at = np.arange(len(codes))
+        longest = np.minimum(left, self._reach[np.minimum(codes, len(self._reach) - 1)])
+        found = [[at[:0]], [at[:0]], [at[:0]]]
+        for size in range(1, int(longest.max(initial=0)) + 1):
+            at = at[longest[at] >= size]
+            hashes = mix((sums[at + size] - sums[at]) * down[at] + U(size))
+            maybe = np.flatnonzero(self._filter[hashes >> U(42)])
+            place = np.minimum(np.searchsorted(self._hashes, hashes[maybe]), len(self._hashes) - 1)
+            hit = self._hashes[place] == hashes[maybe]
+            for own, new in zip(found, (at[maybe[hit]], np.full(int(hit.sum()), size), self._numbers[place[hit]]), strict=True):
+                own.append(new)
+        return tuple(np.concatenate(x) for x in found)
+
+    def _build(self, new: list[str]) -> None:
+        """Lattices of new stretches: all pieces by rolling hashes, then log masses from the ends on."""
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        text = "".join(new)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        owner = np.repeat(np.arange(len(new)), sizes)
+        ends = np.cumsum(sizes)
+        left = ends[owner] - np.arange(len(codes))
+        at, length, ids = self._pieces(codes, left)
+        single = np.zeros(len(codes), bool)
+        single[at[length == 1]] = True
+        spelt = np.flatnonzero(~single)  # characters that are no piece, as bytes
+        bytes_ = [self._bytes(text[i]) for i in spelt.tolist()]
+        score = np.concatenate([self._scores[ids], np.full(len(spelt), self.unknown)])
+        at, length = np.concatenate([at, spelt]), np.concatenate([length, np.ones(len(spelt), np.int64)])
+        number = np.concatenate([ids, -1 - np.arange(len(spelt))])
+        order = np.lexsort((length, at))
+        at, length, number, score = at[order], length[order], number[order], score[order]
+        node = at + owner[at]  # a stretch has a node more than characters
+        to = node + length
+        log = np.zeros(len(at))
+        mass = np.zeros(len(codes) + len(new))
+        away = left[at]
+        rounds = np.argsort(away, kind="stable")  # edges of places nearer to the end come first
+        cuts = np.flatnonzero(np.diff(away[rounds])) + 1
+        for own in np.split(rounds, cuts) if len(rounds) else []:
+            weight, start = score[own] + mass[to[own]], node[own]
+            head = np.flatnonzero(np.append(True, start[1:] != start[:-1]))
+            many = np.diff(np.append(head, len(own)))
+            top = np.maximum.reduceat(weight, head)
+            total = top + np.log(np.add.reduceat(np.exp(weight - np.repeat(top, many)), head))
+            mass[start[head]] = total
+            log[own] = np.minimum(0.0, weight - np.repeat(total, many))
+        first = len(self.first) - 1
+        degree = np.bincount(node, minlength=len(mass))
+        chance = np.minimum(np.rint(np.exp(log) * 2.0**BITS).astype(np.int64), 1 << BITS)
+        running = np.cumsum(chance)
+        many = degree[node[np.flatnonzero(np.append(True, node[1:] != node[:-1]))]]
+        final = np.cumsum(many) - 1
+        inside = running - np.repeat(np.append(0, running[final])[:-1], many)
+        inside = np.minimum(inside, 1 << BITS)
+        inside[final] = 1 << BITS
+        plain = number >= 0
+        count = np.ones(len(number), np.int64)
+        count[~plain] = [len(bytes_[-1 - k]) for k in number[~plain].tolist()]
+        begin = np.cumsum(count) - count
+        flat = np.empty(int(count.sum()), np.int32)
+        flat[begin[plain]] = number[plain]
+        spelt = [x for k in number[~plain].tolist() for x in bytes_[-1 - k]]
+        flat[_ranges(begin[~plain], begin[~plain] + count[~plain])] = spelt
+        self.ids = self.ids.plus(flat, count)
+        self.upto = np.concatenate([self.upto, ((node + first) << BITS) + inside])
+        self.first = np.concatenate([self.first, len(self.to) + np.cumsum(degree)])
+        self.to, self.start = np.concatenate([self.to, to + first]), np.concatenate([self.start, node + first])
+        self.log = np.concatenate([self.log, log])
+        self.places.update(zip(new, (first + ends - sizes + np.arange(len(new))).tolist(), strict=True))
 
     def decode(self, ids: list[int]) -> str:
         """The text of some ids; the space that the encoder puts before it is left out."""
         text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
+    def _walk(self, at: np.ndarray, end: np.ndarray, shift: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled edges from ``at`` to ``end`` of each stretch: (how many of each, all of them in order)."""
+        at = at.copy()
+        who, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        open_ = np.flatnonzero(at != end)
+        steps = [open_[:0]]
+        while len(open_):
+            node = at[open_]
+            point = (_bits(base[open_], node + shift[open_]) >> U(64 - BITS)).astype(np.int64)
+            edge = np.searchsorted(self.upto, (node << BITS) + point, "right")
+            who.append(open_)
+            what.append(edge)
+            steps.append(np.full(len(open_), len(steps) - 1))
+            at[open_] = self.to[edge]
+            open_ = open_[at[open_] != end[open_]]
+        who, what = np.concatenate(who), np.concatenate(what)
+        counts = np.bincount(who, minlength=len(at))
+        found = np.empty(len(what), np.int64)
+        found[(np.cumsum(counts) - counts)[who] + np.concatenate(steps)] = what
+        return counts, found
+
+    def samples(self, texts: list[str], seeds: np.ndarray, k: int) -> list["Drawn"]:
+        """The first to the k-th of at most k distinct segmentations of each text, the largest perturbed first."""
+        cut = [self.segments(x) for x in texts]
+        n = len(texts)
+        size = np.fromiter(map(len, cut), np.int64, n)
+        flat = [x for own in cut for x in own]
+        nodes = self.learn(flat)
+        lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+        row = np.repeat(np.arange(n), size)
+        last = np.cumsum(size)  # of a row's stretches, plus one
+        before = np.cumsum(lengths) - lengths
+        place = before - np.concatenate([[0], np.cumsum(lengths)])[(last - size)[row]]  # of a stretch in its text
+        seeds = seeds.astype(np.int64).view(U)
+        pool = _Pool()
+        drawn: list[Drawn] = []
+
+        def bounds(top: np.ndarray, rows: np.ndarray, sizes: np.ndarray, edges: np.ndarray, given: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+            """(bound of the untaken siblings at each edge, sum of logs before it); none before the first ``given`` edges."""
+            log = self.log[edges]
+            fixed = np.rint(log * 2.0**32).astype(np.int64)
+            total = np.cumsum(fixed) - fixed
+            begin = np.cumsum(sizes) - sizes
+            total = (total - np.repeat(np.append(total, 0)[begin], sizes)) * 2.0**-32
+            rest = -np.expm1(log)
+            open_ = (rest > TINY) & (np.arange(len(edges)) - np.repeat(begin, sizes) >= np.repeat(given, sizes))
+            found = np.full(len(edges), -np.inf)
+            at = np.flatnonzero(open_)
+            own = np.repeat(rows, sizes)[at]
+            noise = -np.log(_uniform(_stream(seeds[own], number, 1), np.arange(len(edges))[at] - np.repeat(begin, sizes)[at]))
+            found[at] = -np.logaddexp(-np.repeat(top, sizes)[at], np.log(noise) - (total[at] + np.log(rest[at])))
+            return found, total
+
+        # the first path of every row
+        counts, edges = self._walk(nodes, nodes + lengths, place - nodes, _stream(seeds, 0, 0)[row])
+        rows = np.arange(n)
+        sizes = np.bincount(row, counts, n).astype(np.int64)
+        top = -np.log(-np.log(_uniform(_stream(seeds, 0, 2), np.zeros(n, np.int64))))
+        top[sizes == 0] = 0.0
+        found, total = bounds(top, rows, sizes, edges, np.zeros(n, np.int64), 0)
+        pool.add(rows, sizes, edges, np.repeat(np.arange(len(flat)), counts), found, total)
+        drawn.append(Drawn(rows, sizes, edges, np.bincount(np.repeat(rows, sizes), self.log[edges], n), top))
+        for number in range(1, k):
+            rows, at, value = pool.best(n)  # the best set of each row that has one
+            if not len(rows):
+                break
+            old, occ = pool.edges[at], pool.stretch[at]
+            node = self.start[old]
+            own = _ranges(self.first[node], self.first[node + 1])
+            degree = self.first[node + 1] - self.first[node]
+            group = np.repeat(np.arange(len(rows)), degree)
+            weight = np.rint(np.exp(self.log[own]) * 2.0**FINE).astype(U)
+            for taken in [old, *pool.taken(at)]:
+                weight[own == taken[group]] = 0
+            running = np.cumsum(weight)  # may wrap, its differences don't
+            begin = np.cumsum(degree) - degree
+            inside = running - np.repeat(running[begin] - weight[begin], degree)
+            left = inside[begin + degree - 1].astype(float)
+            point = np.floor(left * _uniform(_stream(seeds[rows], number, 3), np.zeros(len(rows), np.int64)))
+            beyond = np.where(inside.astype(float) > point[group], np.arange(len(own)), len(own))
+            first = np.minimum.reduceat(beyond, begin)
+            pick, more = own[first], (left - weight[first].astype(float)) * 2.0**-FINE
+            # what is left at this node, below the same bound
+            noise = -np.log(_uniform(_stream(seeds[rows], number, 4), np.zeros(len(rows), np.int64)))
+            stays = more > TINY
+            again = np.full(len(rows), -np.inf)
+            again[stays] = -np.logaddexp(-value[stays], np.log(noise[stays]) - (pool.before[at[stays]] + np.log(more[stays])))
+            pool.replace(at, pick, again)
+            # the prefix, the edge and a fresh walk of what follows
+            begin = pool.begin(at)
+            prefix = at - begin
+            fresh = _ranges(occ, last[rows])
+            many = last[rows] - occ
+            own = np.repeat(np.arange(len(rows)), many)
+            from_ = nodes[fresh].copy()
+            from_[np.cumsum(many) - many] = self.to[pick]
+            counts, walked = self._walk(from_, nodes[fresh] + lengths[fresh], place[fresh] - nodes[fresh], _stream(seeds[rows], number, 0)[own])
+            suffix = np.bincount(own, counts, len(rows)).astype(np.int64)
+            sizes = prefix + 1 + suffix
+            begin_new = np.cumsum(sizes) - sizes
+            edges, stretch = np.empty(int(sizes.sum()), np.int64), np.empty(int(sizes.sum()), np.int64)
+            source, into = _ranges(begin, at), _ranges(begin_new, begin_new + prefix)
+            edges[into], stretch[into] = pool.edges[source], pool.stretch[source]
+            edges[begin_new + prefix], stretch[begin_new + prefix] = pick, occ
+            into = _ranges(begin_new + prefix + 1, begin_new + sizes)
+            edges[into], stretch[into] = walked, np.repeat(fresh, counts)
+            found, total = bounds(value, rows, sizes, edges, prefix + 1, number)
+            pool.add(rows, sizes, edges, stretch, found, total)
+            drawn.append(Drawn(rows, sizes, edges, np.bincount(np.repeat(np.arange(len(rows)), sizes), self.log[edges], len(rows)), value))
+        limit = np.full(n, -np.inf)
+        rows, _, value = pool.best(n)
+        limit[rows] = value
+        for own in drawn:
+            own.inclusion = -np.expm1(-np.exp(np.minimum(50.0, own.logs - limit[own.rows])))
+            own.ids, own.n_ids = self.ids.take(own.edges, own.sizes)
+        return drawn
+
     def sample(self, text: str, k: int, seed: int) -> list[tuple[list[int], float, float, float]]:
-        """At most k distinct segmentations: (ids, log probability, perturbed, inclusion score), the largest perturbed first.
+        """At most k distinct segmentations of one text: (ids, log probability, perturbed, inclusion score).
 
         The inclusion score is the probability that the segmentation is among the k, given the
         perturbed value of the next one; 1 if there is no other.
         """
-        nodes = [node for s in self.segments(text) for node in _shifted(self.lattice(s))]
-        if not nodes:
-            return [([], 0.0, 0.0, 1.0)]
-        draw = random.Random(seed).random
-        noise = np.random.default_rng(seed & 0xFFFFFFFFFFFFFFFF)
-        queue: list[tuple[float, int, int, int, frozenset[int]]] = []  # -bound, order, path, step, edges taken there
-        paths: list[tuple[list[int], list[int]]] = []  # places and edges
-        logs: list[np.ndarray] = []
-        found: list[tuple[list[int], float, float]] = []
-        order = 0
-
-        def extend(places: list[int], edges: list[int], at: int) -> None:
-            n = len(nodes)
-            while at < n:
-                size, upto, given = nodes[at]
-                pick = bisect_right(upto, draw() * upto[-1]) if len(upto) > 1 else 0
-                pick = min(pick, len(given) - 1)
-                places.append(at)
-                edges.append(pick)
-                at += given[pick][0] - size
-
-        def take(bound: float, places: list[int], edges: list[int], start: int) -> None:
-            nonlocal order
-            log = np.array([nodes[p][2][e][2] for p, e in zip(places, edges, strict=True)])
-            path = len(paths)
-            paths.append((places, edges))
-            logs.append(log)
-            ids = [i for p, e in zip(places, edges, strict=True) for i in nodes[p][2][e][1]]
-            found.append((ids, float(log.sum()), bound))
-            before = np.cumsum(log) - log
-            rest = -np.expm1(np.minimum(log, 0.0))
-            open_ = np.flatnonzero(rest > 1e-15)
-            open_ = open_[open_ >= start]
-            if len(open_):
-                mass = before[open_] + np.log(rest[open_])
-                bounds = -np.logaddexp(-bound, np.log(noise.exponential(size=len(open_))) - mass)
-                best = np.argsort(-bounds, kind="stable")[: k + 1]  # later ones can't be among the k
-                for x in best.tolist():
-                    step = int(open_[x])
-                    order += 1
-                    heapq.heappush(queue, (-float(bounds[x]), order, path, step, frozenset([edges[step]])))
-
-        places: list[int] = []
-        edges: list[int] = []
-        extend(places, edges, 0)
-        take(-math.log(noise.exponential()), places, edges, 0)
-        while queue and len(found) < k:
-            bound, _, path, step, taken = heapq.heappop(queue)
-            old_places, old_edges = paths[path]
-            at = old_places[step]
-            size, upto, given = nodes[at]
-            left = [x for x in range(len(given)) if x not in taken]
-            weights = [math.exp(given[x][2]) for x in left]
-            point, pick = draw() * sum(weights), left[-1]
-            for x, weight in zip(left, weights, strict=True):
-                point -= weight
-                if point < 0:
-                    pick = x
-                    break
-            more = 1 - sum(math.exp(given[x][2]) for x in taken) - math.exp(given[pick][2])
-            if len(left) > 1 and more > 1e-15:  # what is left at this node, below the same bound
-                mass = float(logs[path][:step].sum()) + math.log(more)
-                order += 1
-                value = -np.logaddexp(bound, math.log(noise.exponential()) - mass)
-                heapq.heappush(queue, (-float(value), order, path, step, taken | {pick}))
-            places, edges = [*old_places[: step + 1]], [*old_edges[:step], pick]
-            extend(places, edges, at + given[pick][0] - size)
-            take(-bound, places, edges, step + 1)
-        limit = -queue[0][0] if queue else -math.inf
-        return [(ids, log, value, -math.expm1(-math.exp(min(50.0, log - limit)))) for ids, log, value in found]
-
-
-def _shifted(nodes: list[Node]) -> Iterator[tuple[int, list[float], list]]:
-    """Nodes with their place in the segment, so that an edge's end gives its length."""
-    for i, (upto, given) in enumerate(nodes):
-        yield i, upto, given
+        found = self.samples([text], np.array([seed], np.int64), k)
+        return [(own.ids.tolist(), float(own.logs[0]), float(own.perturbed[0]), float(own.inclusion[0])) for own in found]
+
+
+@dataclass
+class Drawn:
+    """One segmentation of some rows: how many edges each has, the edges, log probabilities and perturbed values."""
+
+    rows: np.ndarray
+    sizes: np.ndarray
+    edges: np.ndarray
+    logs: np.ndarray
+    perturbed: np.ndarray
+    inclusion: np.ndarray | None = None
+    ids: np.ndarray | None = None
+    n_ids: np.ndarray | None = None
+
+
+class _Lists:
+    """Short lists in one flat array."""
+
+    def __init__(self, flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray):
+        self.flat, self.begin, self.sizes = flat, begin, sizes
+
+    def plus(self, flat: np.ndarray, sizes: np.ndarray) -> "_Lists":
+        begin = len(self.flat) + np.cumsum(sizes) - sizes
+        return _Lists(np.concatenate([self.flat, flat]), np.concatenate([self.begin, begin]), np.concatenate([self.sizes, sizes]))
+
+    def take(self, which: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists ``which``, one after the other, and how long each group of so many of them is."""
+        begin, sizes = self.begin[which], self.sizes[which]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.cumsum(groups)
+        return self.flat[_ranges(begin, begin + sizes)], upto[ends] - upto[ends - groups]
+
+
+class _Pool:
+    """The edges of all paths drawn so far, and the bound of the untaken siblings at each."""
+
+    def __init__(self):
+        self.edges, self.stretch = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bound, self.before = np.zeros(0), np.zeros(0)
+        self.heads, self.owners = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.picked: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, rows: np.ndarray, sizes: np.ndarray, edges: np.ndarray, stretch: np.ndarray, bound: np.ndarray, before: np.ndarray) -> None:
+        some = sizes > 0
+        self.heads = np.concatenate([self.heads, len(self.edges) + (np.cumsum(sizes) - sizes)[some]])
+        self.owners = np.concatenate([self.owners, rows[some]])
+        self.edges, self.stretch = np.concatenate([self.edges, edges]), np.concatenate([self.stretch, stretch])
+        self.bound, self.before = np.concatenate([self.bound, bound]), np.concatenate([self.before, before])
+
+    def best(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, bound) of the largest bound of each row that has one."""
+        if not len(self.edges):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        value = np.maximum.reduceat(self.bound, self.heads)
+        top = np.full(n, -np.inf)
+        np.maximum.at(top, self.owners, value)
+        sizes = np.diff(np.append(self.heads, len(self.edges)))
+        chosen = (value == top[self.owners]) & (value > -np.inf)
+        near = _ranges(self.heads[chosen], self.heads[chosen] + sizes[chosen])
+        owner = np.repeat(self.owners[chosen], sizes[chosen])
+        hit = self.bound[near] == top[owner]
+        rows, first = np.unique(owner[hit], return_index=True)
+        return rows, near[hit][first], top[rows]
+
+    def begin(self, at: np.ndarray) -> np.ndarray:
+        """Where the path of each place begins."""
+        return self.heads[np.searchsorted(self.heads, at, "right") - 1]
+
+    def taken(self, at: np.ndarray) -> list[np.ndarray]:
+        """What was picked before at each place; -1 for nothing."""
+        found = []
+        for places, picks in self.picked:
+            where = np.minimum(np.searchsorted(places, at), len(places) - 1)
+            found.append(np.where(places[where] == at, picks[where], -1))
+        return found
+
+    def replace(self, at: np.ndarray, pick: np.ndarray, bound: np.ndarray) -> None:
+        order = np.argsort(at)
+        self.picked.append((at[order], pick[order]))
+        self.bound[at] = bound
+
+
+def _char(codes: np.ndarray) -> np.ndarray:
+    return mix((codes.astype(U) + U(1)) * U(BASE))
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """begin[0] .. end[0] - 1, begin[1] .. end[1] - 1, and so on."""
+    sizes = end - begin
+    upto = np.cumsum(sizes)
+    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(begin - (upto - sizes), sizes)
+
+
+def _stream(seeds: np.ndarray, number: int, use: int) -> np.ndarray:
+    """The base of a stream of random numbers for each seed."""
+    return mix(seeds + U((8 * number + use + 1) * BASE % (1 << 64)))
+
+
+def _bits(base: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix(base + (place.astype(U) + U(1)) * U(BASE))
+
+
+def _uniform(base: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number between 0 and 1, neither included, for each base and place."""
+    return ((_bits(base, place) >> U(11)).astype(float) + 0.5) * 2.0**-53
 
 
 _vocabularies: dict[tuple[str, float], Vocabulary] = {}
@@ -214,7 +452,8 @@ def sampled(rows: DataFrame, path: str, key: list[Column], keep: list[str], text
     sample (from 1), ids, log_prob, perturbed, inclusion and round_trip (its decoding is the text).
 
     key: what seeds a row (nulls allowed); rows with equal keys and texts are sampled alike. A
-    null or empty text has one segmentation without pieces. Texts of any length are taken whole.
+    null or empty text has one segmentation without pieces. Texts of any length are taken whole;
+    repeated rows give repeated results, other columns aren't read and an empty table gives none.
     """
     fields = [rows.schema[x] for x in keep]
     inner = [f"c{i}" for i in range(len(keep))]
@@ -223,24 +462,19 @@ def sampled(rows: DataFrame, path: str, key: list[Column], keep: list[str], text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path, weight)
         for batch in parts(batches, "own_text", 1 << 19):
-            place, number, ids, logs, perturbed, inclusion, same = [], [], [], [], [], [], []
-            for row, (raw, seed) in enumerate(zip(texts_of(batch, "own_text"), batch.column("own_seed").to_pylist(), strict=True)):
-                text = raw.decode("utf-8", "replace")
-                for n, (pieces, log, value, chance) in enumerate(own.sample(text, k, seed & 0x7FFFFFFFFFFFFFFF), 1):
-                    place.append(row)
-                    number.append(n)
-                    ids.append(np.array(pieces, np.int32))
-                    logs.append(log)
-                    perturbed.append(value)
-                    inclusion.append(chance)
-                    same.append(own.decode(pieces) == text)
-            take = pa.array(place, pa.int64())
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(x).take(take) for x in inner], pa.array(number, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(logs), pa.array(perturbed), pa.array(inclusion), pa.array(same)],
-                names=[*keep, "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip"],
-            )
+            raw = texts_of(batch, "own_text")
+            seeds = batch.column("own_seed").to_numpy()
+            for number, drawn in enumerate(own.samples([x.decode("utf-8", "replace") for x in raw], seeds, k), 1):
+                ends = np.cumsum(drawn.n_ids)
+                text, sizes = own._surface.take(drawn.ids, drawn.n_ids)
+                bytes_, upto = memoryview(text.tobytes()), np.cumsum(sizes)
+                same = [bytes_[a + 1 if raw[i] else a : b] == raw[i] for i, a, b in zip(drawn.rows.tolist(), (upto - sizes).tolist(), upto.tolist(), strict=True)]
+                take = pa.array(drawn.rows)
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(drawn.ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(x).take(take) for x in inner], pa.array(np.full(len(drawn.rows), number, np.int32)), ids, pa.array(drawn.logs), pa.array(drawn.perturbed), pa.array(drawn.inclusion), pa.array(same, pa.bool_())],
+                    names=[*keep, "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip"],
+                )
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
     return shipped(chosen).mapInArrow(run, ", ".join([*kinds, "sample int, ids array<int>, log_prob double, perturbed double, inclusion double, round_trip boolean"]))
