@@ -2,7 +2,8 @@
 
 The pre-tokeniser's pattern is applied to whole slices of text as array operations on character
 classes; each distinct pre-token is then encoded once and its ids are gathered for all its places.
-Texts with characters outside the table of stable classes are encoded by the tokeniser itself.
+Texts with characters outside the table of stable classes, or with the string of a special token,
+are encoded by the tokeniser itself.
 """
 
 from __future__ import annotations
@@ -45,14 +46,23 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            vocab = json.load(file)["model"]["vocab"]
+            held = json.load(file)
         back = byte_of()
-        ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if all(c in back for c in token) and not (token.startswith("<|") and token.endswith("|>"))}
+        self.path, self.special = path, [x["content"] for x in held.get("added_tokens", [])]
+        ranks = {bytes(back[c] for c in token): i for token, i in held["model"]["vocab"].items() if all(c in back for c in token) and token not in self.special}
         self.plain = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.piece = self.plain._core_bpe.encode_single_piece
         self.most = cache
         self._clear()
 
+    def _exact(self, text: str) -> list[int]:
+        """The tokeniser's own ids: special tokens' strings are those tokens."""
+        from tokenizers import Tokenizer
+
+        if not hasattr(self, "_tokenizer"):
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
     def _clear(self) -> None:
         """An empty table of pre-tokens: two places by hash for each, ids in one flat array."""
         self.slots = np.zeros(1 << 20, U)
@@ -107,9 +117,12 @@ class Encoder:
         decoded = [x.decode("utf-8", "replace") for x in texts]
         blob = "\n".join(["", *decoded, ""])
         codes = np.frombuffer(blob.encode("utf-32-le"), "<u4")
-        strange: list[int] = []
+        strange: dict[int, str] = {}
+        if any(s in blob for s in self.special):
+            strange = {k: x for k, x in enumerate(decoded) if any(s in x for s in self.special)}
         if codes.max() >= STABLE or not _stable[codes].all():
-            strange = [k for k, x in enumerate(decoded) if not x.isascii() and (ord(max(x)) >= STABLE or not _stable[[ord(c) for c in set(x)]].all())]
+            strange |= {k: x for k, x in enumerate(decoded) if not x.isascii() and (ord(max(x)) >= STABLE or not _stable[[ord(c) for c in set(x)]].all())}
+        if strange:
             for k in strange:
                 decoded[k] = ""
             blob = "\n".join(["", *decoded, ""])
@@ -155,8 +168,9 @@ class Encoder:
         counts = np.diff(upto, prepend=0)
         if strange:
             split = np.split(ids, np.cumsum(counts)[:-1])
-            for k in strange:
-                split[k] = np.array(self.plain.encode_ordinary(texts[k].decode("utf-8", "replace")), np.int32)
+            for k, text in strange.items():
+                own = self._exact(text) if any(s in text for s in self.special) else self.plain.encode_ordinary(text)
+                split[k] = np.array(own, np.int32)
             counts = np.fromiter(map(len, split), np.int64, len(split))
             ids = np.concatenate(split)
         return ids, counts

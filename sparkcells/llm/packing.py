@@ -3,7 +3,7 @@
 Texts become token ids; longer ones are cut into pieces of a full sequence, the first of which
 may be shorter. A piece asks for a vector of resources (tokens, documents, attention cost, which
 is its length squared) and a sequence has a capacity of each. Full pieces are sequences by
-themselves. The others are dealt by a hash of their key over groups of bounded size, and each
+themselves. The others are dealt by a hash of their row over groups of bounded size, and each
 group is packed by itself: longest first, into the open sequence that fits under every constraint
 and is tightest, by the weighted dot product of its residual with the request ("dot") or by the
 weighted norm of the residual that would remain ("norm"). A piece over a capacity by itself has a
@@ -35,7 +35,8 @@ GROUP = 16_000
 def pieces(docs: DataFrame, path: str, tokens: int = TOKENS, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, key, piece, start, length, ids_crc32[, ids]) of every row; a null text is empty.
 
-    Rows with the same or a null id stay apart; key is a hash of id and text.
+    Rows with the same or a null id stay apart, repeated rows are packed each; key is a hash of id
+    and text. Other columns of ``docs`` aren't read, and an empty table gives no piece.
     """
     full = ", ids array<int>" if with_ids else ""
 
@@ -114,7 +115,8 @@ def pack(
 
     documents and attention cap the pieces of a sequence and the sum of their squared lengths
     (none: as many as the tokens allow). rows, if known, is the number of documents. The pieces
-    are read more than once: give them materialised.
+    are read more than once: give them written. Repeated rows have one key, so the place of a row
+    in the written table deals it, and no number of copies meets in one group.
     """
     caps = (float(tokens), float(documents or tokens), float(attention or tokens * tokens))
     if rows is None:
@@ -135,7 +137,7 @@ def pack(
         return frame.assign(sequence_id=(frame["bucket"].to_numpy() << 32) + bins, offset=offset).drop(columns="bucket")
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    short = cut.where(F.col("length") < tokens).withColumn("bucket", F.pmod(F.xxhash64("key", "piece"), F.lit(groups)))
+    short = cut.where(F.col("length") < tokens).withColumn("bucket", F.pmod(F.xxhash64("key", "piece", F.monotonically_increasing_id()), F.lit(groups)))
     # Full pieces need no partner: ids below zero, one each.
     whole = cut.where(F.col("length") >= tokens).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return shipped(short).groupBy("bucket").applyInPandas(run, schema).unionByName(whole)
