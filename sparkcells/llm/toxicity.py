@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column | None = None, id_col
     """Learn from at most ``sample`` labelled rows of each class, chosen by a hash of their ids.
 
     learns: a condition on the id column of ``labels`` for the rows that may be learned from. The
-    classes' true shares among those rows set the bias. Ids with both labels count as toxic.
+    classes' true shares among those rows set the bias. Ids with both labels count as toxic; an id
+    of several rows counts once, by its least terms.
     """
     pool = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
     pool = pool if learns is None else pool.where(learns)
@@ -153,8 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column | None = None, id_col
             yield pa.RecordBatch.from_arrays([batch.column("own_id"), batch.column("own_label"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(what.astype(np.int32)))], names=["id", "label", "terms"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    # at most 2 * sample rows by the choice above, unless ids repeat; the limit bounds the driver's memory then
-    found = shipped(rows).mapInArrow(run, f"id {kind}, label int, terms array<int>").limit(4 * sample).toArrow()
+    # an id counts once, so these are at most 2 * sample rows
+    each = shipped(rows).mapInArrow(run, f"id {kind}, label int, terms array<int>")
+    found = each.groupBy("id").agg(F.min(F.struct("label", "terms")).alias("own")).select("id", "own.*").toArrow()
     if not found.num_rows:
         return train(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     found = found.sort_by("id")
@@ -165,7 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column | None = None, id_col
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str], text_column: str = "text", name: str = "score") -> DataFrame:
-    """The columns ``keep`` and the score of each whole text (null is empty: the bias alone)."""
+    """The columns ``keep`` and the score of each whole text (null is empty: the bias alone).
+
+    Repeated rows score alike, other columns of ``docs`` aren't read, an empty table gives none.
+    """
     fields = [docs.schema[x] for x in keep]
     inner = [f"c{k}" for k in range(len(keep))]
     rows = docs.select(*[F.col(x).alias(y) for x, y in zip(keep, inner, strict=True)], F.col(text_column).alias("own_text"))
