@@ -24,6 +24,14 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def row_key(id_column: str, text_column: str) -> Column:
     """A key that tells rows apart even where ids are null or repeated."""
     return F.xxhash64(F.col(id_column), F.col(text_column))

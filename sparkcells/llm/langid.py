@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import shipped
-from .common import parts, texts_of
+from .common import bounded, cut, parts, texts_of
 from .textbytes import FOLD
 
 #: Labelled texts of each language, about, and windows of each text at most, from which the network learns.
 SAMPLE = 1_000
 WINDOWS = 4
-LANGUAGES = 256
+#: Labelled texts at most of all languages, but for one of each.
+TOTAL = 100_000
 LENGTH = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -165,19 +166,21 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, b
     return net
 
 
-def fit(docs: DataFrame, learns: Column, id_column: str = "doc_id", text_column: str = "text", label: str = "lang", sample: int = SAMPLE, **options) -> Network:
-    """Learn from about ``sample`` texts of each language (rows that ``learns`` selects), chosen by a hash of their ids.
+def fit(docs: DataFrame, learns: Column, id_column: str = "doc_id", text_column: str = "text", label: str = "lang", sample: int = SAMPLE, total: int = TOTAL, **options) -> Network:
+    """Learn from about ``sample`` texts of each language (rows that ``learns`` selects), chosen by a hash of id and text.
 
-    The most frequent LANGUAGES are learned; rows without a label or text aren't.
+    Every language is learned, from fewer texts each where they are so many that ``total`` would
+    be passed. Rows without a label or text aren't learned from, repeated rows count once.
     """
     pool = docs.where(learns & F.col(label).isNotNull() & F.col(text_column).isNotNull())
-    shares = pool.groupBy(F.col(label).alias("own_label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "own_label").limit(LANGUAGES).collect()
-    if not shares:
+    shares = cut(pool.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")))  # a row for each language
+    n_languages = shares.count()
+    if not n_languages:
         return train(np.zeros((0, LENGTH + TAIL), np.uint8), np.zeros(0, np.int64), [])
-    spread = 1 << 30
-    limit = F.create_map(*[F.lit(x) for r in shares for x in (r["own_label"], min(spread, int(spread * sample / r["n"]) + 1))])
-    chosen = pool.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_column)), F.lit(spread)) < F.element_at(limit, F.col(label)))
-    rows = chosen.select(F.xxhash64(F.lit("order"), F.col(id_column)).alias("order"), F.col(label).alias("label"), F.col(text_column).alias("text"))
+    spread, each = 1 << 30, max(1, min(sample, total // n_languages))
+    limits = shares.select("label", F.least(F.lit(spread), F.floor(F.lit(float(spread * each)) / F.col("n")) + 1).alias("upto"))
+    rows = pool.select(F.xxhash64(F.col(id_column), F.col(text_column)).alias("order"), F.col(label).alias("label"), F.col(text_column).alias("text"))
+    rows = rows.join(bounded(limits), "label").where(F.pmod(F.xxhash64(F.lit("fit"), "order"), F.lit(spread)) < F.col("upto")).select("order", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text", 1 << 22):
@@ -190,15 +193,17 @@ def fit(docs: DataFrame, learns: Column, id_column: str = "doc_id", text_column:
             take = pa.array(place, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("order").take(take), batch.column("label").take(take), pa.array(found, pa.binary())], names=["order", "label", "window"])
 
-    most = 2 * sample * len(shares) * WINDOWS  # for the driver's memory, should ids repeat
-    found = shipped(rows).mapInArrow(run, "order long, label string, window binary").limit(most).toPandas().sort_values(["order", "label", "window"])
+    found = shipped(rows).mapInArrow(run, "order long, label string, window binary").distinct().toPandas().sort_values(["order", "label", "window"])
     languages = sorted(set(found["label"]))
     x = np.frombuffer(b"".join(found["window"]), np.uint8).reshape(-1, LENGTH + TAIL)
     return train(x, np.searchsorted(languages, found["label"].to_numpy()) if len(found) else np.zeros(0, np.int64), languages, **options)
 
 
 def predict(docs: DataFrame, net: Network, keep: list[str], text_column: str = "text") -> DataFrame:
-    """The columns ``keep``, lang_pred and score of each whole text; und and 0 if null or without a letter."""
+    """The columns ``keep``, lang_pred and score of each whole text; und and 0 if null or without a letter.
+
+    Repeated rows are predicted alike, other columns of ``docs`` aren't read, an empty table gives none.
+    """
     fields = [docs.schema[x] for x in keep]
     inner = [f"c{k}" for k in range(len(keep))]
     rows = docs.select(*[F.col(x).alias(y) for x, y in zip(keep, inner, strict=True)], F.col(text_column).alias("own_text"))

@@ -4,6 +4,7 @@ Every rolling hash of k words of every text is joined with the positions of the
 templates. A hit votes for the diagonal (position in the text minus position in the template) of
 its text and template; neighbouring diagonals, which differ where words were added or left out,
 are merged to spans; and a span counts once its words are verified against the template's.
+Where notices of different labels stand on one place, the one that covers it best counts.
 Phrases are templates too: they need every vote, one diagonal and equal words.
 """
 
@@ -162,5 +163,15 @@ def verified(text: bytes, spans: list[dict], templates: tuple[Template, ...], te
             cover = sum(b.size for b in blocks) / len(wanted)
             first, n = (low + blocks[0].a, blocks[-1].a + blocks[-1].size - blocks[0].a) if blocks else (low, 0)
         if cover >= (1 if template.exact else COVER):
-            found.append({"name": template.name, "label": template.label, "first": first, "words": n, "cover": cover})
-    return sorted(found, key=lambda x: (x["first"], x["name"]))
+            found.append({"name": template.name, "label": template.label, "first": first, "words": n, "cover": cover, "exact": template.exact, "size": len(wanted)})
+    kept: list[dict] = []
+    for own in sorted(found, key=lambda x: (not x["exact"], -x["cover"], -x["size"], x["name"], x["first"])):
+        if own["exact"] or not any(_rivals(own, other) for other in kept):
+            kept.append(own)
+    return sorted(kept, key=lambda x: (x["first"], x["name"]))
+
+
+def _rivals(a: dict, b: dict) -> bool:
+    """Whether two notices of different labels share over half of the words of the shorter."""
+    shared = min(a["first"] + a["words"], b["first"] + b["words"]) - max(a["first"], b["first"])
+    return not b["exact"] and a["label"] != b["label"] and 2 * shared > min(a["words"], b["words"])

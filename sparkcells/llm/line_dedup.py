@@ -16,7 +16,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import cut, free, row_key
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -85,8 +85,12 @@ def kept_text(text: Column, bitmap: Column) -> Column:
 
 
 def apply(docs: DataFrame, bitmaps: DataFrame, id_column: str = "doc_id", text_column: str = "text", bitmap: str = "bitmap") -> DataFrame:
-    """The rows of ``docs`` with the column ``bitmap`` (null: nothing is lost)."""
-    keyed = docs.withColumn("_row_key", row_key(id_column, text_column))
-    own = bitmaps.select(F.col("id").alias("_id"), F.col("key").alias("_row_key"), F.col("bitmap").alias("_bitmap"))
-    same = (keyed["_row_key"] == own["_row_key"]) & keyed[id_column].eqNullSafe(own["_id"])
+    """The rows of ``docs`` with the column ``bitmap`` (null: nothing is lost).
+
+    Repeated rows lose the same lines; columns of any other names are kept as they are.
+    """
+    key = free("_row_key", docs)
+    keyed = docs.withColumn(key, row_key(id_column, text_column))
+    own = bitmaps.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("bitmap").alias("_bitmap"))
+    same = (keyed[key] == own["_key"]) & keyed[id_column].eqNullSafe(own["_id"])
     return keyed.join(own, same, "left").select(*[keyed[c] for c in docs.columns], own["_bitmap"].alias(bitmap))

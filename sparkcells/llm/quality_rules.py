@@ -42,7 +42,10 @@ _CAPITAL[65:91] = True
 
 
 def statistics(docs: DataFrame, keep: list[str], text_column: str = "text", prefix: str = "") -> DataFrame:
-    """The columns ``keep`` and counts of each text, named prefix + count; a null text counts as empty."""
+    """The columns ``keep`` and counts of each text, named prefix + count; a null text counts as empty.
+
+    Every row has its own counts, repeated ones too; texts of any length are counted whole.
+    """
     names = [prefix + x for x in COUNTS]
     fields = [docs.schema[x] for x in keep]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{x}` long" for x in names])
@@ -216,10 +219,11 @@ def chosen(labels: DataFrame, id_column: str = "doc_id", label: str = "quality",
 
 
 def fit(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", label: str = "quality", sample: int = SAMPLE, prefix: str = "", **options) -> list[Rule]:
-    """Learn from the chosen labelled rows of ``stats`` (label 0: reject)."""
+    """Learn from the chosen labelled rows of ``stats`` (label 0: reject); an id counts once, by its least features."""
     some = stats.select(F.col(id_column).alias("own_id"), *[c.alias(n) for n, c in ratios(prefix).items()])
-    rows = some.join(F.broadcast(chosen(labels, id_column, label, sample)), "own_id").withColumn("order", F.xxhash64("own_id"))
-    found = rows.limit(2 * sample).toPandas().sort_values(["order", *FEATURES], ignore_index=True)
+    rows = some.join(F.broadcast(chosen(labels, id_column, label, sample)), "own_id")
+    once = rows.groupBy("own_id").agg(F.min(F.struct(*FEATURES, "own_label")).alias("own")).select("own_id", "own.*", F.xxhash64("own_id").alias("order"))
+    found = once.toPandas().sort_values(["order", *FEATURES], ignore_index=True)  # at most ``sample`` rows
     return learn(found[list(FEATURES)], (found["own_label"] == 0).to_numpy(), **options) if len(found) else []
 
 
@@ -232,4 +236,6 @@ def fit_texts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", tex
 def keep(docs: DataFrame, rules: list[Rule], text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass the base checks and that no rule rejects, as they were."""
     own = "_own_stat_"
+    while any(c.startswith(own) for c in docs.columns):
+        own = "_" + own
     return statistics(docs, docs.columns, text_column, own).where(~base_failed(own) & (verdict(rules, own) == 0)).select(*docs.columns)

@@ -77,8 +77,7 @@ def op6_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return sp_sampling.sampled(turns, vocabulary(PIECES), [F.col("conv_id"), F.col("turn"), F.col("role")], ["conv_id", "turn", "role"])
+    return sp_sampling.sampled(table(spark, sf_dir, "documents"), vocabulary(PIECES), [F.col("doc_id")], ["doc_id"])
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,21 +122,23 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE lost)::BIGINT
 FROM m GROUP BY doc_id
 """
 
-_OP4 = """
-WITH t AS (SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS name, coalesce(text, '') AS words,
-           floor(coalesce(turn, 0) / 256.0)::BIGINT AS part FROM conversations),
+_OP4 = r"""
+WITH t AS (SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS name, coalesce(text, '') AS said FROM conversations),
+n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, name, said) - 1) // 1024 AS part,
+      regexp_replace(said, '<(\\*)\|', '<\\\1|', 'g') AS words,
+      replace(regexp_replace(name, '([\\|<>])', '\\\1', 'g'), chr(10), '\n') AS tag FROM t),
 p AS (SELECT DISTINCT conv_id, name AS perspective FROM t WHERE name <> 'system'),
-r AS (SELECT t.*, perspective, CASE WHEN name = perspective THEN 'assistant' WHEN name = 'system' THEN 'system' ELSE 'user' END AS kind
-      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-h AS (SELECT *, CASE WHEN kind = 'user' THEN '<|user name=' || name || '|>' ELSE '<|' || kind || '|>' END || chr(10) AS head FROM r),
-o AS (SELECT *, sum(length(head) + length(words) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, name, words
+r AS (SELECT n.*, perspective, CASE WHEN name = perspective THEN 'assistant' WHEN name = 'system' THEN 'system' ELSE 'user' END AS kind
+      FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
+h AS (SELECT *, CASE WHEN kind = 'user' THEN '<|user name=' || tag || '|>' ELSE '<|' || kind || '|>' END || chr(10) AS head FROM r),
+o AS (SELECT *, sum(length(head) + length(words) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, name, said
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS finish FROM h)
 SELECT conv_id, perspective, part, count(*)::BIGINT AS n_turns, count(*) FILTER (WHERE kind = 'assistant')::BIGINT AS n_masked,
-       string_agg(head || words || chr(10), '' ORDER BY turn, name, words, finish) AS rendered,
-       string_agg(name, '|' ORDER BY turn, name, words, finish) AS names,
-       string_agg(kind, '|' ORDER BY turn, name, words, finish) AS roles,
-       string_agg(CASE WHEN kind = 'assistant' THEN '1' ELSE '0' END, '' ORDER BY turn, name, words, finish) AS mask,
-       coalesce(string_agg(((finish - length(words))::BIGINT)::VARCHAR || '-' || (finish::BIGINT)::VARCHAR, ',' ORDER BY turn, name, words, finish)
+       string_agg(head || words || chr(10), '' ORDER BY turn, name, said, finish) AS rendered,
+       string_agg(name, '|' ORDER BY turn, name, said, finish) AS names,
+       string_agg(kind, '|' ORDER BY turn, name, said, finish) AS roles,
+       string_agg(CASE WHEN kind = 'assistant' THEN '1' ELSE '0' END, '' ORDER BY turn, name, said, finish) AS mask,
+       coalesce(string_agg(((finish - length(words))::BIGINT)::VARCHAR || '-' || (finish::BIGINT)::VARCHAR, ',' ORDER BY turn, name, said, finish)
                 FILTER (WHERE kind = 'assistant'), '') AS spans
 FROM o GROUP BY conv_id, perspective, part
 """

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..shipping import shipped
-from .common import bounded, cut, discard, parts, row_key, texts_of
+from .common import bounded, cut, discard, free, parts, row_key, texts_of
 from .textbytes import BASE, U, mix
 
 SEED = 42
@@ -486,6 +486,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     found = near_duplicates(docs, id_column, text_column, **options)
     first = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("key").alias("key")))
     stay = found.groupBy("component").agg(first.alias("own")).select(F.col("own.key").alias("_key"), F.col("own.id").alias("_id"))
-    keyed = docs.withColumn("_row_key", row_key(id_column, text_column))
-    same = (keyed["_row_key"] == stay["_key"]) & keyed[id_column].cast("long").eqNullSafe(stay["_id"])
-    return keyed.join(stay, same).dropDuplicates(["_row_key"]).select(*docs.columns)
+    name = free("_row_key", docs)
+    keyed = docs.withColumn(name, row_key(id_column, text_column))
+    same = (keyed[name] == stay["_key"]) & keyed[id_column].cast("long").eqNullSafe(stay["_id"])
+    return keyed.join(stay, same).select(*[keyed[c] for c in keyed.columns]).dropDuplicates([name]).select(*docs.columns)

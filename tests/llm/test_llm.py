@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sparkcells.llm import ann_tree, chat_rotation, langid, license_scan, line_dedup, packing, quality_rules, simhash, sp_sampling, toxicity
+from sparkcells.llm.common import cut
 from sparkcells.llm.queries import ORACLES, PIECES, QUERIES, VOCABULARY, vocabulary
 
 SMALL = "/root/testdata/sf0.001"
@@ -56,6 +57,13 @@ def test_license_scan_bridges_gaps(spark):
     assert [{x["label"] for x in r["found"]} for r in sorted(found, key=lambda r: r["id"])] == [{"bsd"}, set()]
 
 
+def test_license_scan_tells_rivals_apart(spark):
+    """Notices that differ in the one deciding word: the one that covers the text best counts."""
+    rows = [(k, "words before. " + t.text + " and words after") for k, t in enumerate(license_scan.NOTICES)]
+    found = {r["id"]: {x["label"] for x in r["found"] if not x["name"].startswith("phrase")} for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: {t.label} for k, t in enumerate(license_scan.NOTICES)}
+
+
 def test_license_scan_odd(odd, empty):
     found = license_scan.scan(odd).collect()
     assert len(found) == len(ODD) and sum(bool(r["found"]) for r in found) == 2
@@ -68,6 +76,31 @@ def test_quality_counts():
     assert found["n_repeat_words"].tolist() == [6, 0, 0, 4] and found["n_dup_lines"].tolist() == [0, 0, 1, 0] and found["n_symbols"].tolist() == [0, 0, 2, 0]
 
 
+def brute_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {i + j for i in range(len(words) - 2) for j in range(3) if windows[tuple(words[i : i + 3])] > 1}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        dup += bool(re.search(r"[^\x20\x09-\x0D]", line)) and line in seen
+        seen.add(line)
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered))
+
+
+def test_quality_query_against_brute_force(spark):
+    rows = QUERIES["op2_quality_rules"](spark, SMALL).collect()
+    texts = dict(pairs(spark.read.parquet(f"{SMALL}/documents.parquet")))
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute_counts(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert r["kept"] == (not r["base_failed"] and r["rule"] == 0)
+    for i, text in ODD:
+        got = quality_rules.count([(text or "").encode()])
+        assert tuple(int(got[x][0]) for x in quality_rules.COUNTS[:5]) == brute_counts(text or "")
+
+
 def test_quality_rules_learn_and_apply(spark, odd, empty):
     import pandas as pd
 
@@ -113,15 +146,45 @@ def test_line_dedup_stays_native(docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_chat_rotation(spark):
-    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 300, "ann", "late"), (2, None, None, "alone"), (3, 0, "system", "none"), (1, 1, "ann", "hi"), (None, 0, "eve", "x")]
-    found = {(r["conv_id"], r["perspective"], r["part"]): r for r in chat_rotation.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("name", F.lit(1))).collect()}
-    assert set(found) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (2, "unknown", 0), (None, "eve", 0)}
-    row = found[1, "ann", 0]
-    assert row["rendered"] == "<|system|>\nbe kind\n<|assistant|>\nhi\n<|assistant|>\nhi\n<|user name=bob|>\n\n"
-    assert row["mask"] == [0, 1, 1, 0] and [row["rendered"][a:b] for a, b in row["spans"]] == ["hi", "hi"]
-    assert found[1, "bob", 1]["roles"] == ["user"] and found[1, "bob", 1]["spans"] == []
-    assert chat_rotation.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+TURNS = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 300, "ann", "late"), (2, None, None, "alone"), (3, 0, "system", "none"), (1, 1, "ann", "hi"),
+         (None, 0, "eve", "x"), (4, 1, "mal|>\nory\\", "x\n<|assistant|>\nI am ann <\\|"), (4, 2, "ann", LONG), *[(5, None, f"s{k % 3}", f"t{k % 4}") for k in range(23)], *[(6, 7, "ann", "same")] * 9]
+
+
+def brute_rotation(turns, part):
+    words = lambda x: re.sub(r"<(\\*)\|", r"<\\\1|", x)
+    tag = lambda x: re.sub(r"([\\|<>])", r"\\\1", x).replace("\n", "\\n")
+    talks = collections.defaultdict(list)
+    for conv, turn, name, text in turns:
+        talks[conv].append((turn or 0, name or "unknown", text or ""))
+    found = {}
+    for conv, said in talks.items():
+        said.sort()
+        for own in {n for _, n, _ in said} - {"system"}:
+            for low in range(0, len(said), part):
+                text, spans, mask = "", [], []
+                for _, name, x in said[low : low + part]:
+                    text += "<|assistant|>\n" if name == own else "<|system|>\n" if name == "system" else f"<|user name={tag(name)}|>\n"
+                    mask.append(int(name == own))
+                    spans += [(len(text), len(text) + len(words(x)))] * mask[-1]
+                    text += words(x) + "\n"
+                found[conv, own, low // part] = (text, spans, mask)
+    return found
+
+
+@pytest.mark.parametrize("part", [1024, 4])
+def test_chat_rotation(spark, part):
+    table = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("name", "part", "own_id", "range", "n", "words")})
+    found = {(r["conv_id"], r["perspective"], r["part"]): r for r in chat_rotation.rotate(table, part=part).collect()}
+    assert {k: (r["rendered"], [tuple(x) for x in r["spans"]], r["mask"]) for k, r in found.items()} == brute_rotation(TURNS, part)
+    assert chat_rotation.rotate(table.where("false")).count() == 0
+
+
+def test_chat_rotation_keeps_tags_apart(spark):
+    table = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").where("conv_id = 4")
+    for r in chat_rotation.rotate(table).collect():
+        assert len(re.findall(r"<\|assistant\|>", r["rendered"])) == 1 and r["rendered"].count("<|") == 2 and sum(r["mask"]) == 1
+    said = table.select(chat_rotation.unescaped(chat_rotation.escaped(F.col("text"))).alias("x"), "text")
+    assert said.where("x <> text").count() == 0 and said.where("x like '%<|%'").count() == 1
 
 
 def test_factorization_machine_learns_pairs():
@@ -143,6 +206,33 @@ def test_factorization_machine_learns_pairs_as_it_is_used():
     assert ((machine.scores(texts) >= 0.5) == label).mean() > 0.95
 
 
+def test_factorization_machine_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["insult", "group", "kind", "word", "thing", "another", "longerword"], 6)).encode() for _ in range(300)] + [b"", b"unknown only"]
+    who, what = toxicity.terms(texts)
+    machine = toxicity.train(who, what, (rng.random(302) < 0.4).astype(int), prior=0.2)
+    place = {int(p): k for k, p in enumerate(machine.places)}
+    for k, got in enumerate(machine.scores(texts)):
+        own = [place[int(p)] for p in what[who == k] if int(p) in place]
+        raw = machine.bias + sum(machine.weights[i] for i in own) + sum(machine.factors[i] @ machine.factors[j] for n, i in enumerate(own) for j in own[:n])
+        assert abs(got - 1 / (1 + np.exp(-raw))) < 1e-9
+    assert len(machine.places) and np.abs(machine.factors).max() > 0
+
+
+def test_factorization_machine_finds_insults_with_groups():
+    """Neither term tells anything alone, and both stand among much else."""
+    rng = np.random.default_rng(5)
+    n = 6000
+    a, b = rng.random(n) < 0.5, rng.random(n) < 0.5
+    noise = [" ".join(f"w{x}" for x in rng.integers(0, 400, 12)) for _ in range(n)]
+    texts = [f"{'insult' if x else 'praise'} {t} {'thatgroup' if y else 'thatthing'}".encode() for x, y, t in zip(a, b, noise, strict=True)]
+    label = a == b
+    learn = np.arange(n) % 5 != 0
+    who, what = toxicity.terms([t for t, x in zip(texts, learn, strict=True) if x])
+    machine = toxicity.train(who, what, label[learn].astype(int))
+    assert ((machine.scores([t for t, x in zip(texts, learn, strict=True) if not x]) >= 0.5) == label[~learn]).mean() > 0.95
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.01"
     found = QUERIES["op5_toxicity_fm"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").toPandas()
@@ -153,10 +243,20 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_odd(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    machine = toxicity.fit(odd, none)
-    found = toxicity.score(odd, machine, ["doc_id"])
-    assert found.count() == len(ODD) and found.where("score between 0 and 1").count() == len(ODD)
-    assert toxicity.score(empty, machine, empty.columns, name="own").count() == 0
+    constant = toxicity.fit(odd, none)
+    rows = spark.createDataFrame([(1000 + k, f"{'bad' if k % 2 else 'good'} words here {k % 7}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1000 + k, k % 2) for k in range(400)] + [(1, 0), (4, 1), (None, 1), (6, None)], "doc_id long, toxic int").unionByName(spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    every = odd.unionByName(rows.union(rows.limit(40)), allowMissingColumns=True)
+    trained = toxicity.fit(every, labels)
+    assert len(trained.places)
+    for machine in (constant, trained):
+        found = toxicity.score(odd, machine, ["doc_id", "key", "own_text"])
+        assert found.count() == len(ODD) and found.where("score between 0 and 1").count() == len(ODD)
+        assert found.where("doc_id = 1").select("score").distinct().count() == 1
+        assert found.where("doc_id in (2, 3)").select("score").distinct().count() == 1
+        assert toxicity.score(empty, machine, empty.columns, name="own").count() == 0
+    again = toxicity.fit(every.repartition(7), labels)
+    assert (again.factors == trained.factors).all() and (again.weights == trained.weights).all()  # the order of arrival doesn't matter
 
 
 def test_nearest_recall_and_scores(spark):
@@ -197,53 +297,100 @@ def test_nearest_with_repeated_ids(spark):
     assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 50] == [0, 1, 2, 3, 4]
 
 
-def test_sampling_matches_the_distribution():
-    own = sp_sampling.Vocabulary(vocabulary(PIECES))
-    nodes = own.lattice(own.segments("there")[0])
+def enumerated(own, segment):
+    """The chance of every segmentation of a stretch, from the pieces' scores alone."""
 
     def paths(i):
-        if i == len(nodes):
+        if i == len(segment):
             yield (), 0.0
-            return
-        for j, ids, log in nodes[i][1]:
-            for rest, more in paths(j):
-                yield ids + rest, log + more
-
-    chance = {ids: np.exp(log) for ids, log in paths(0)}
+        for j in range(i + 1, len(segment) + 1):
+            piece = own.score.get(segment[i:j])
+            if piece is None and j == i + 1:
+                piece = (*own._bytes(segment[i]), own.unknown)
+            if piece is not None:
+                for rest, more in paths(j):
+                    yield tuple(piece[:-1]) + rest, piece[-1] + more
+
+    found = dict(paths(0))
+    total = np.logaddexp.reduce(list(found.values()))
+    return {ids: np.exp(x - total) for ids, x in found.items()}
+
+
+@pytest.mark.parametrize("text", ["there", "an ode", "été"])
+def test_sampling_matches_the_distribution(text):
+    """Order, distinctness, decoding, and how often each segmentation is first and among the three."""
+    own = sp_sampling.Vocabulary(vocabulary(PIECES))
+    chance = {(): 1.0}
+    for segment in own.segments(text):
+        chance = {a + b: p * q for a, p in chance.items() for b, q in enumerated(own, segment).items()}
     assert abs(sum(chance.values()) - 1) < 1e-9
-    first, seen = collections.Counter(), collections.Counter()
-    for seed in range(4000):
-        drawn = own.sample("there", 3, seed * 7919 + 13)
-        assert len({tuple(x[0]) for x in drawn}) == 3 and all(own.decode(x[0]) == "there" for x in drawn)
-        assert [x[2] for x in drawn] == sorted((x[2] for x in drawn), reverse=True)
-        first[tuple(drawn[0][0])] += 1
-        seen.update(tuple(x[0]) for x in drawn)
-    keys = sorted(chance, key=chance.get)[::-1]
+    first, seen, score = collections.Counter(), collections.Counter(), collections.defaultdict(float)
+    draws = 4000
+    drawn = own.samples([text] * draws, np.arange(draws, dtype=np.int64) * 7919 + 13, 3)
+    rows = [[(tuple(np.split(x.ids, np.cumsum(x.n_ids)[:-1])[i]), x.logs[i], x.perturbed[i], x.inclusion[i]) for x in drawn] for i in range(200)]
+    for row in rows:
+        assert len({x[0] for x in row}) == min(3, len(chance)) and all(own.decode(list(x[0])) == text for x in row)
+        assert [x[2] for x in row] == sorted((x[2] for x in row), reverse=True)
+        assert all(abs(np.exp(x[1]) - chance[x[0]]) < 1e-9 for x in row)
+    for k, x in enumerate(drawn):
+        for ids, inclusion in zip(np.split(x.ids, np.cumsum(x.n_ids)[:-1]), x.inclusion, strict=True):
+            first[tuple(ids)] += k == 0
+            seen[tuple(ids)] += 1
+            score[tuple(ids)] += chance[tuple(ids)] / inclusion
+    keys = sorted(chance, key=chance.get)[::-1][:400]
     p = np.array([chance[k] for k in keys])
     noise = np.random.default_rng(0).gumbel(size=(20000, len(p))) + np.log(np.maximum(p, 1e-300))
-    within = (np.argsort(-noise, 1)[:, :3][:, :, None] == np.arange(len(p))).any(1).mean(0)
+    within = (np.argpartition(-noise, 3, 1)[:, :3][:, :, None] == np.arange(len(p))).any(1).mean(0)
     for k, want, inside in list(zip(keys, p, within, strict=True))[:5]:
-        assert abs(first[k] / 4000 - want) < 0.03 and abs(seen[k] / 4000 - inside) < 0.04
+        assert abs(first[k] / draws - want) < 0.03 and abs(seen[k] / draws - inside) < 0.04
+        assert abs(score[k] / draws - want) < 0.06  # the inclusion score makes the sum of chances unbiased
+
+
+def test_sampling_takes_all_where_there_are_few():
+    own = sp_sampling.Vocabulary(vocabulary(PIECES))
+    likely = lambda x: {ids for ids, p in enumerated(own, own.segments(x)[0]).items() if p > 1e-9}
+    text = next(x for x in ("an", "the", "of", "in", "été", "is") if 1 < len(likely(x)) < 9)
+    want = likely(text)
+    for seed in range(20):
+        found = own.sample(text, 12, seed)
+        assert {tuple(x[0]) for x in found} == want and len(found) == len(want) and all(x[3] == 1 for x in found)
+
+
+def test_sampling_is_by_row():
+    """A row's segmentations don't depend on its batch."""
+    texts = ["", "some words here", LONG[:5000], "zwölf Größen 中文 😀 été", "x" * 300, "  \n\t\n", "a▁b"]
+    seeds = np.arange(len(texts), dtype=np.int64) * 31 - 5
+    own = sp_sampling.Vocabulary(vocabulary(PIECES))
+    batch = own.samples(texts, seeds, 3)
+    for i, (text, seed) in enumerate(zip(texts, seeds.tolist(), strict=True)):
+        alone = sp_sampling.Vocabulary(vocabulary(PIECES)).sample(text, 3, seed)
+        for (ids, log, value, chance), x in zip(alone, [x for x in batch if i in x.rows], strict=True):
+            at = int(np.flatnonzero(x.rows == i)[0])
+            assert np.split(x.ids, np.cumsum(x.n_ids)[:-1])[at].tolist() == ids and (x.logs[at], x.perturbed[at], x.inclusion[at]) == (log, value, chance)
 
 
 def test_sampling_round_trips(odd, empty):
     path = vocabulary(PIECES)
-    found = sp_sampling.sampled(odd.where("doc_id is null or doc_id <> 4"), path, [F.col("doc_id")], ["doc_id"])
+    found = sp_sampling.sampled(odd, path, [F.col("doc_id")], ["doc_id", "key", "own_text"])
     assert found.where("not round_trip").count() == 0
+    assert found.where("doc_id = 4").count() == 3  # the very long text too
+    assert found.where("doc_id = 2 or doc_id = 3").count() == 2
     assert found.where("doc_id = 1").groupBy("sample").agg(F.count_distinct("ids").alias("n")).where("n <> 1").count() == 0  # seeded by the key
     assert sp_sampling.sampled(empty, path, [F.col("doc_id")], ["doc_id"]).count() == 0
     assert sp_sampling.Vocabulary(path).sample("a▁b é\n中", 1, 1)[0][0]
 
 
-def test_packing(docs, odd, empty):
+def test_packing(spark, docs, odd, empty):
     from tokenizers import Tokenizer
 
     path = vocabulary(VOCABULARY)
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
-    for table in (docs, odd):
-        made = packing.pieces(table, path).cache()
-        found = packing.pack(made, group=50).toPandas().sort_values(["sequence_id", "offset"])
+    special = spark.createDataFrame([(1, "hello <|endoftext|> world"), (2, "<|endoftext|>"), (3, "a<|endoftext|><|endoftext|> b 中 <|endof"), *[(None, "same words")] * 90], "doc_id long, text string")
+    assert exact.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    for table in (docs, odd, special):
+        made = cut(packing.pieces(table, path))
+        packed = packing.pack(made, group=50)
+        found = packed.toPandas().sort_values(["sequence_id", "offset"])
         assert (found.groupby("sequence_id")["length"].sum() <= 1024).all()
         assert (found["offset"] == found.groupby("sequence_id")["length"].cumsum() - found["length"]).all()
         want = collections.Counter()
@@ -253,6 +400,7 @@ def test_packing(docs, odd, empty):
             want.update((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
         got = collections.Counter((None if i != i or i is None else int(i), *rest) for i, *rest in found[["id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False))
         assert got == want
+    assert found["sequence_id"].nunique() > 1 and (found["sequence_id"].max() >> 32) > 0  # copies of one row meet several groups
     assert packing.pack(packing.pieces(empty, path)).count() == 0
 
 
@@ -263,7 +411,11 @@ def test_best_fit_holds_every_capacity():
         free = lengths**2 <= 400_000
         assert np.bincount(bins, lengths).max() <= 1024 and np.bincount(bins).max() <= 4
         assert np.bincount(bins[free], lengths[free] ** 2).max() <= 400_000
+    # tokens alone: a sequence can't hold more documents than tokens or cost more than its square, so these never bind
     bins = packing.best_fit(lengths, (1024.0, 1024.0, 1024.0**2), (1.0, 0.05, 0.05))
+    free = packing.best_fit(lengths, (1024.0, 1e9, 1e18), (1.0, 0.05, 0.05))
+    bound = packing.best_fit(lengths, (1024.0, 2.0, 0.8 * 1024**2), (1.0, 0.05, 0.05))
+    assert bins.max() <= 1.01 * free.max() and bound.max() > bins.max()
     assert bins.max() + 1 <= 1.02 * lengths.sum() / 1024
 
 
@@ -402,11 +554,44 @@ def test_language_held_out(spark):
     assert found.where("lang = lang_pred").count() >= 0.97 * found.count()
 
 
-def test_language_odd(odd, empty):
-    net = langid.train(np.zeros((0, langid.LENGTH + langid.TAIL), np.uint8), np.zeros(0, int), ["de", "en"])
-    found = langid.predict(odd, net, ["doc_id"]).collect()
-    assert len(found) == len(ODD) and {r["doc_id"] for r in found if r["lang_pred"] == "und"} == {2, 3, 5}
-    assert langid.predict(empty, net, ["doc_id"]).count() == 0
+def test_language_odd(spark, odd, empty):
+    words = {"de": "und der die das nicht ", "en": "and the of that not ", "xx": "qo wak "}
+    rows = spark.createDataFrame([(1000 + k, words[x] * (k % 5 + 1), x) for k in range(60) for x in words], "doc_id long, text string, lang string")
+    every = odd.drop("lang").withColumn("lang", F.lit(None).cast("string")).unionByName(rows.union(rows.limit(30)), allowMissingColumns=True)
+    trained = langid.fit(every, F.col("doc_id") > 0)
+    assert trained.languages == ["de", "en", "xx"]
+    few = langid.fit(every, F.col("doc_id") > 0, total=3)  # fewer texts of each, but every language
+    assert set(few.languages) <= set(trained.languages)
+    for net in (langid.train(np.zeros((0, langid.LENGTH + langid.TAIL), np.uint8), np.zeros(0, int), ["de", "en"]), trained):
+        found = langid.predict(odd, net, ["doc_id", "lang", "own_text"]).collect()
+        assert len(found) == len(ODD) and {r["doc_id"] for r in found if r["lang_pred"] == "und"} == {2, 3, 5}
+        assert all(0 <= r["score"] <= 1 for r in found)
+        assert langid.predict(empty, net, ["doc_id"]).count() == 0
+    got = langid.predict(rows, trained, ["doc_id", "lang"])
+    assert got.where("lang <> lang_pred").count() == 0
+
+
+def test_language_tables_equal_a_convolution():
+    """The lookups by byte pair against embeddings, filters and pooling spelt out, whole texts by windows."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 256, (40, langid.LENGTH + langid.TAIL), dtype=np.uint8)
+    net = langid.train(x, rng.integers(0, 3, 40), ["a", "b", "c"], epochs=2)
+    want = np.empty((40, langid.FILTERS * len(langid.WIDTHS)))
+    for k, w in enumerate(langid.WIDTHS):
+        answer = np.stack([sum(net.embedding[x[:, i + j]] @ net.filters[w][j] for j in range(w)) for i in range(langid.LENGTH)], 1)
+        want[:, k * langid.FILTERS : (k + 1) * langid.FILTERS] = answer.max(1) + net.bias[w]
+    assert np.allclose(net.pooled(x), want, atol=1e-4)
+    raw = np.maximum(want, 0) @ net.out + net.out_bias
+    chance = np.exp(raw - raw.max(1, keepdims=True))
+    assert np.allclose(net.windows_of(x), chance / chance.sum(1, keepdims=True), atol=1e-4)
+    text = bytes(rng.integers(97, 123, 700, dtype=np.uint8))
+    parts = np.zeros((3, langid.LENGTH + langid.TAIL), np.uint8)
+    for i in range(3):
+        own = text[i * langid.LENGTH : i * langid.LENGTH + langid.LENGTH + langid.TAIL]
+        parts[i, : len(own)] = list(own)
+    names, scores = net.texts([text])
+    mean = net.windows_of(parts).mean(0)
+    assert names == [net.languages[mean.argmax()]] and abs(scores[0] - mean.max()) < 1e-6
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
