@@ -16,23 +16,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcells.llm import line_dedup, packing, quality_rules, simhash, toxicity
-from sparkcells.llm.common import cut, id_crc, table
+from sparkcells.llm.common import cut, free, id_crc, table
 from sparkcells.llm.queries import VOCABULARY, vocabulary
 
 
+#: Documents of a sequence at most, and the sum of its pieces' squared lengths (but for longer single pieces).
+DOCUMENTS, ATTENTION = 8, 0.9 * packing.TOKENS**2
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs, quality_rules.fit_texts(docs, table(spark, sf_dir, "labels")))
 
 
 def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.pmod(id_crc("doc_id"), F.lit(5)) != 0)
-    return toxicity.score(docs, machine, docs.columns, name="_own_score").where(F.col("_own_score") < 0.5).select(*docs.columns)
+    name = free("_own_score", docs)
+    return toxicity.score(docs, machine, docs.columns, name=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup.apply(docs, line_dedup.dropped(docs), bitmap="_own_bitmap")
-    lost = F.col("_own_bitmap").isNotNull()
-    text = F.when(lost, line_dedup.kept_text(F.col("text"), F.col("_own_bitmap"))).otherwise(F.col("text"))
+    name = free("_own_bitmap", docs)
+    found = line_dedup.apply(docs, line_dedup.dropped(docs), bitmap=name)
+    lost = F.col(name).isNotNull()
+    text = F.when(lost, line_dedup.kept_text(F.col("text"), F.col(name))).otherwise(F.col("text"))
     found = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(lost, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -45,7 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     made = cut(packing.pieces(docs, vocabulary(VOCABULARY)))
-    return packing.pack(made).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack(made, documents=DOCUMENTS, attention=ATTENTION).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [("quality", quality), ("toxicity", nontoxic), ("line_dedup", fresh_lines), ("near_dedup", near_dedup), ("packing", pack)]
