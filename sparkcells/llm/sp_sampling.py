@@ -36,7 +36,7 @@ SAMPLES = 3
 #: Weight of the vocabulary's scores, which for BPE vocabularies are negative merge ranks.
 WEIGHT = 2e-4
 #: Edges of the lattices that are kept between batches.
-KEPT = 2_000_000
+KEPT = 6_000_000
 #: Chances left below this count as none.
 TINY = 1e-12
 #: Chances are whole numbers of 2 ** -BITS where paths are walked, and of 2 ** -FINE where they are
@@ -51,8 +51,9 @@ class Vocabulary:
     """Pieces of a SentencePiece model file, with byte fallback, and the lattices of the stretches met so far.
 
     Nodes of all lattices are numbered one after the other, a stretch of n characters has n + 1;
-    the edges of node i are first[i] .. first[i + 1] - 1, with their end (to), log chance given
-    the node (log), running chance plus i (upto, in 2 ** -BITS) and ids.
+    the edges of node i are first[i] .. first[i + 1] - 1, the likeliest first, with their end (to),
+    log chance given the node (log), the log of the others' (rest), running chance (upto, in
+    2 ** -BITS) and ids.
     """
 
     def __init__(self, path: str, weight: float = WEIGHT, kept: int = KEPT):
@@ -78,7 +79,8 @@ class Vocabulary:
         self.crossing = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.score)
         self.kept = kept
         sizes = np.fromiter(map(len, self.surface), np.int64, len(self.surface))
-        self._surface = _Lists(np.frombuffer(b"".join(self.surface), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        self._surface = _Lists(np.uint8)
+        self._surface.add(np.frombuffer(b"".join(self.surface), np.uint8), sizes)
         self._clear()
 
     def _table(self) -> None:
@@ -89,7 +91,7 @@ class Vocabulary:
         up, down = powers(len(codes) + 1)
         sums = np.append(U(0), np.add.accumulate(_char(codes) * up[: len(codes)]))
         begin = np.cumsum(sizes) - sizes
-        hashes = mix((sums[begin + sizes] - sums[begin]) * down[begin] + sizes.astype(U))
+        hashes = (sums[begin + sizes] - sums[begin]) * down[begin]
         order = np.argsort(hashes)
         self._hashes, self._numbers = np.append(hashes[order], U(0)), np.array([self.score[text[k]][0] for k in order.tolist()] + [0], np.int64)
         self._filter = np.zeros(1 << 22, bool)
@@ -102,10 +104,10 @@ class Vocabulary:
 
     def _clear(self) -> None:
         self.places: dict[str, int] = {}
-        self.first = np.zeros(1, np.int64)
-        self.to, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.log, self.upto = np.zeros(0), np.zeros(0, np.int64)
-        self.ids = _Lists(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.first, self.to, self.start = (_Array(np.int32) for _ in range(3))
+        self.first.add(np.zeros(1, np.int32))
+        self.log, self.rest, self.upto = _Array(float), _Array(float), _Array(np.int64)
+        self.ids = _Lists()
 
     def segments(self, text: str) -> list[str]:
         """Stretches of the text that no piece crosses; a space is put before it, as the encoder does."""
@@ -134,7 +136,7 @@ class Vocabulary:
         found = [[at[:0]], [at[:0]], [at[:0]]]
         for size in range(1, int(longest.max(initial=0)) + 1):
             at = at[longest[at] >= size]
-            hashes = mix((sums[at + size] - sums[at]) * down[at] + U(size))
+            hashes = (sums[at + size] - sums[at]) * down[at]  # characters are mixed already
             maybe = np.flatnonzero(self._filter[hashes >> U(42)])
             place = np.minimum(np.searchsorted(self._hashes, hashes[maybe]), len(self._hashes) - 1)
             hit = self._hashes[place] == hashes[maybe]
@@ -158,14 +160,14 @@ class Vocabulary:
         score = np.concatenate([self._scores[ids], np.full(len(spelt), self.unknown)])
         at, length = np.concatenate([at, spelt]), np.concatenate([length, np.ones(len(spelt), np.int64)])
         number = np.concatenate([ids, -1 - np.arange(len(spelt))])
-        order = np.lexsort((length, at))
+        order = np.argsort(at, kind="stable")  # a run for each length
         at, length, number, score = at[order], length[order], number[order], score[order]
         node = at + owner[at]  # a stretch has a node more than characters
         to = node + length
         log = np.zeros(len(at))
         mass = np.zeros(len(codes) + len(new))
         away = left[at]
-        rounds = np.argsort(away, kind="stable")  # edges of places nearer to the end come first
+        rounds = np.argsort(away.astype(np.int16) if len(away) and away.max() < 1 << 15 else away, kind="stable")  # edges of places nearer to the end come first
         cuts = np.flatnonzero(np.diff(away[rounds])) + 1
         for own in np.split(rounds, cuts) if len(rounds) else []:
             weight, start = score[own] + mass[to[own]], node[own]
@@ -177,9 +179,14 @@ class Vocabulary:
             log[own] = np.minimum(0.0, weight - np.repeat(total, many))
         first = len(self.first) - 1
         degree = np.bincount(node, minlength=len(mass))
+        head = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        many = degree[node[head]]
+        best = np.flatnonzero(log == np.repeat(np.maximum.reduceat(log, head), many))
+        best = best[np.append(True, node[best[1:]] != node[best[:-1]])]
+        for own in (to, number, log):  # the likeliest first
+            own[head], own[best] = own[best], own[head]
         chance = np.minimum(np.rint(np.exp(log) * 2.0**BITS).astype(np.int64), 1 << BITS)
         running = np.cumsum(chance)
-        many = degree[node[np.flatnonzero(np.append(True, node[1:] != node[:-1]))]]
         final = np.cumsum(many) - 1
         inside = running - np.repeat(np.append(0, running[final])[:-1], many)
         inside = np.minimum(inside, 1 << BITS)
@@ -192,11 +199,15 @@ class Vocabulary:
         flat[begin[plain]] = number[plain]
         spelt = [x for k in number[~plain].tolist() for x in bytes_[-1 - k]]
         flat[_ranges(begin[~plain], begin[~plain] + count[~plain])] = spelt
-        self.ids = self.ids.plus(flat, count)
-        self.upto = np.concatenate([self.upto, ((node + first) << BITS) + inside])
-        self.first = np.concatenate([self.first, len(self.to) + np.cumsum(degree)])
-        self.to, self.start = np.concatenate([self.to, to + first]), np.concatenate([self.start, node + first])
-        self.log = np.concatenate([self.log, log])
+        self.ids.add(flat, count)
+        self.upto.add(inside)
+        with np.errstate(divide="ignore"):
+            left = -np.expm1(log)
+            self.rest.add(np.where(left > TINY, np.log(left), -np.inf))
+        self.first.add(len(self.to) + np.cumsum(degree))
+        self.to.add(to + first)
+        self.start.add(node + first)
+        self.log.add(log)
         self.places.update(zip(new, (first + ends - sizes + np.arange(len(new))).tolist(), strict=True))
 
     def decode(self, ids: list[int]) -> str:
@@ -213,7 +224,11 @@ class Vocabulary:
         while len(open_):
             node = at[open_]
             point = (_bits(base[open_], node + shift[open_]) >> U(64 - BITS)).astype(np.int64)
-            edge = np.searchsorted(self.upto, (node << BITS) + point, "right")
+            edge = self.first[node]
+            late = np.flatnonzero(self.upto[edge] <= point)  # the likeliest edge is the first
+            while len(late):
+                edge[late] += 1
+                late = late[self.upto[edge[late]] <= point[late]]
             who.append(open_)
             what.append(edge)
             steps.append(np.full(len(open_), len(steps) - 1))
@@ -248,13 +263,12 @@ class Vocabulary:
             total = np.cumsum(fixed) - fixed
             begin = np.cumsum(sizes) - sizes
             total = (total - np.repeat(np.append(total, 0)[begin], sizes)) * 2.0**-32
-            rest = -np.expm1(log)
-            open_ = (rest > TINY) & (np.arange(len(edges)) - np.repeat(begin, sizes) >= np.repeat(given, sizes))
-            found = np.full(len(edges), -np.inf)
-            at = np.flatnonzero(open_)
-            own = np.repeat(rows, sizes)[at]
-            noise = -np.log(_uniform(_stream(seeds[own], number, 1), np.arange(len(edges))[at] - np.repeat(begin, sizes)[at]))
-            found[at] = -np.logaddexp(-np.repeat(top, sizes)[at], np.log(noise) - (total[at] + np.log(rest[at])))
+            rest, row = self.rest[edges], np.repeat(np.arange(len(rows)), sizes)
+            step = np.arange(len(edges)) - begin[row]
+            at = np.flatnonzero((rest > -np.inf) & (step >= given[row]))
+            row, found = row[at], np.full(len(edges), -np.inf)
+            noise = -np.log(_uniform(_stream(seeds[rows], number, 1)[row], step[at]))
+            found[at] = -np.logaddexp(-top[row], np.log(noise) - (total[at] + rest[at]))
             return found, total
 
         # the first path of every row
@@ -273,7 +287,7 @@ class Vocabulary:
             old, occ = pool.edges[at], pool.stretch[at]
             node = self.start[old]
             own = _ranges(self.first[node], self.first[node + 1])
-            degree = self.first[node + 1] - self.first[node]
+            degree = (self.first[node + 1] - self.first[node]).astype(np.int64)
             group = np.repeat(np.arange(len(rows)), degree)
             weight = np.rint(np.exp(self.log[own]) * 2.0**FINE).astype(U)
             for taken in [old, *pool.taken(at)]:
@@ -345,20 +359,42 @@ class Drawn:
     n_ids: np.ndarray | None = None
 
 
+class _Array:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.held[at]
+
+    def add(self, new: np.ndarray) -> None:
+        if self.n + len(new) > len(self.held):
+            more = np.zeros(max(2 * len(self.held), self.n + len(new)), self.held.dtype)
+            more[: self.n] = self.held[: self.n]
+            self.held = more
+        self.held[self.n : self.n + len(new)] = new
+        self.n += len(new)
+
+
 class _Lists:
     """Short lists in one flat array."""
 
-    def __init__(self, flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray):
-        self.flat, self.begin, self.sizes = flat, begin, sizes
+    def __init__(self, kind=np.int32):
+        self.flat, self.begin, self.sizes = _Array(kind), _Array(np.int64), _Array(np.int32)
 
-    def plus(self, flat: np.ndarray, sizes: np.ndarray) -> "_Lists":
-        begin = len(self.flat) + np.cumsum(sizes) - sizes
-        return _Lists(np.concatenate([self.flat, flat]), np.concatenate([self.begin, begin]), np.concatenate([self.sizes, sizes]))
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.begin.add(len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes.add(sizes)
+        self.flat.add(flat)
 
     def take(self, which: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists ``which``, one after the other, and how long each group of so many of them is."""
         begin, sizes = self.begin[which], self.sizes[which]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
+        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         ends = np.cumsum(groups)
         return self.flat[_ranges(begin, begin + sizes)], upto[ends] - upto[ends - groups]
 
@@ -419,7 +455,7 @@ def _char(codes: np.ndarray) -> np.ndarray:
 def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """begin[0] .. end[0] - 1, begin[1] .. end[1] - 1, and so on."""
     sizes = end - begin
-    upto = np.cumsum(sizes)
+    upto = np.cumsum(sizes, dtype=np.int64)
     return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(begin - (upto - sizes), sizes)
 
 
@@ -461,7 +497,7 @@ def sampled(rows: DataFrame, path: str, key: list[Column], keep: list[str], text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path, weight)
-        for batch in parts(batches, "own_text", 1 << 19):
+        for batch in parts(batches, "own_text", 1 << 18):
             raw = texts_of(batch, "own_text")
             seeds = batch.column("own_seed").to_numpy()
             for number, drawn in enumerate(own.samples([x.decode("utf-8", "replace") for x in raw], seeds, k), 1):
