@@ -9,21 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import cut, discard  # noqa: F401
-
-#: A side of a join is broadcast only if it was counted and has no more rows than this.
-BROADCAST_ROWS = 20_000
-
+from ..lineage import bounded, cut, discard  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if it has at most ``rows`` rows; give it materialised."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def free(name: str, df: DataFrame) -> str:
     """``name``, with underscores before it until no column of ``df`` has it."""
     held = {c.lower() for c in df.columns}
