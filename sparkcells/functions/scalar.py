@@ -22,6 +22,11 @@ def no_nan(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def stable(x: Column) -> Column:
+    """x without the last bits, which depend on the order of a sum: what ranks are taken on."""
+    return F.round(x, 9)
+
+
 def fold_change(high: Column, low: Column, eps: float = EPS) -> Column:
     return (high + F.lit(eps)) / (low + F.lit(eps))
 
@@ -66,6 +71,11 @@ def fc_bin(fc: Column, bins: Sequence[float] = FC_BINS) -> Column:
     return found
 
 
+def portable_hash(*parts: Column) -> Column:
+    """A whole number below 2 ** 60 from the parts' MD5, which any SQL engine computes alike."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def comma_list(text: str) -> list[str]:
     return [x.strip() for x in text.split(",")]
 

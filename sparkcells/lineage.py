@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: A side of a join is broadcast only if it was counted and has no more rows than this.
+BROADCAST_ROWS = 20_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,19 +28,31 @@ def folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it from there.
+def cut(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it from there, with another schema if one is given.
 
     The written table survives lost executors. Later plans begin at it, so a table that many
     stages read is computed once, their plans stay small and read only the columns they need.
     """
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(schema or df.schema).parquet(path)
     found._written = path
     return found
 
 
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` rows; give it written."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table that should be short (a row for each group): read once and marked for broadcast, if it has
+    at most ``rows`` rows, else as it is."""
+    held = df.limit(rows + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(held, df.schema)) if len(held) <= rows else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table that :func:`cut` wrote for ``df``, once nothing reads it any more."""
     path = getattr(df, "_written", None)

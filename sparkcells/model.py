@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -21,6 +21,10 @@ class Dataset:
     knn: DataFrame | None = None
     var: DataFrame | None = None
 
+    def with_raw(self) -> Dataset:
+        """The same data with a raw table: its own, or else the expression itself."""
+        return self if self.raw is not None else replace(self, raw=self.expr)
+
 
 class GroupKeyError(KeyError):
     """A label column is missing."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import comma_list
+from ..functions.scalar import comma_list, portable_hash
 
 UNKNOWN = "unknown"
 
@@ -50,7 +50,7 @@ def update_label(obs: DataFrame, label: str, other: DataFrame, other_label: str,
 def major(obs: DataFrame, label: str, cut: int = 20) -> DataFrame:
     """With <label>_major: "none" for labels of fewer than ``cut`` cells. Counts are folded, then joined."""
     sizes = obs.groupBy(F.col(label).alias("_own")).agg(F.count("*").alias("_n"))
-    rows = obs.join(F.broadcast(sizes.where(F.col("_n") >= cut)), F.col(label) == F.col("_own"), "left")
+    rows = obs.join(sizes.where(F.col("_n") >= cut), F.col(label) == F.col("_own"), "left")
     return rows.withColumn(f"{label}_major", F.coalesce("_own", F.lit("none"))).select(*obs.columns, f"{label}_major")
 
 
@@ -70,16 +70,26 @@ def predict_high(proba: DataFrame, classes: Sequence[str], p: float = 0.9) -> Da
     return proba.groupBy("cell_id").agg(F.coalesce(F.max(hit)["own"], F.lit("None")).alias("label"))
 
 
+#: Cells of a class that its draws are taken from, for each draw.
+POOL = 64
+
+
 def class_sample(obs: DataFrame, label: str, n: int = 200, exclude: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """(draw, grp, cell_id): n draws of each class with replacement, seeded.
 
-    Draws are hashes of class and number modulo the class's size; cells are numbered by hash.
+    Draws are hashes of class and number. They are taken from the whole class or, in a class of
+    more than POOL * n cells, from about so many that a hash of the cell picks, so that no task
+    numbers a whole large class.
     """
     rows = obs.where(F.col(label).isNotNull()).select("cell_id", F.col(label).cast("string").alias("grp"))
     rows = rows.where(~F.col("grp").isin(*exclude)) if exclude else rows
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("grp", "draw", (F.pmod(F.xxhash64(F.lit(seed), "grp", "draw"), F.col("n")) + 1).alias("place"))
-    numbered = rows.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64(F.lit(seed), "cell_id"), "cell_id")))
+    mark = portable_hash(F.lit(str(seed)), F.col("cell_id"))
+    share = F.least(F.lit(1.0), F.lit(float(POOL * n)) / F.col("n"))
+    pool = rows.join(rows.groupBy("grp").agg(F.count("*").alias("n")), "grp").where(mark < share * F.lit(float(1 << 60))).select("grp", "cell_id", mark.alias("mark"))
+    sizes = pool.groupBy("grp").agg(F.count("*").alias("n"))
+    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    draws = draws.select("grp", "draw", (portable_hash(F.lit(str(seed)), F.col("grp"), F.col("draw").cast("string")) % F.col("n") + 1).alias("place"))
+    numbered = pool.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("mark", "cell_id")))
     return draws.join(numbered, ["grp", "place"]).select("draw", "grp", "cell_id")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import p_value
+from ..lineage import few
 from .stats import group_sums
 
 
@@ -21,7 +22,7 @@ def batch_means(expr: DataFrame, obs: DataFrame, label: str, batch: str, min_cel
     some = expr if genes is None else expr.join(genes.select("gene").distinct(), "gene", "left_semi")
     sums = group_sums(some, obs, {"grp": label, "batch": batch})
     own = some.select("gene").distinct() if genes is None else genes.select("gene").distinct()
-    dense = own.crossJoin(F.broadcast(batch_sizes(obs, label, batch))).join(sums, ["grp", "batch", "gene"], "left")
+    dense = own.crossJoin(few(batch_sizes(obs, label, batch))).join(sums, ["grp", "batch", "gene"], "left")
     mean = F.coalesce("total", F.lit(0.0)) / F.col("n_cells")
     return dense.select("grp", "batch", "gene", "n_cells", F.when(F.col("n_cells") >= min_cells, mean).alias("mean"), (F.coalesce("n_expr", F.lit(0)) / F.col("n_cells")).alias("frac"))
 
@@ -75,11 +76,11 @@ def by_batch(expr: DataFrame, obs: DataFrame, label: str, batch: str, genes: Dat
     batches (over 1 if that is 0). Active batches come first, the largest first, ties by name.
     """
     sizes = batch_sizes(obs, label, batch)
-    cells = sizes.select("grp").distinct().crossJoin(F.broadcast(sizes.select("batch").distinct()))  # groups and batches are few
-    cells = cells.join(sizes, ["grp", "batch"], "left").fillna(0, ["n_cells"])
+    cells = sizes.select("grp").distinct().crossJoin(few(sizes.select("batch").distinct()))
+    cells = few(cells.join(sizes, ["grp", "batch"], "left").fillna(0, ["n_cells"]))
     own = genes.select("gene").distinct()
     sums = group_sums(expr.join(own, "gene", "left_semi"), obs, {"grp": label, "batch": batch})
-    rows = own.crossJoin(F.broadcast(cells)).join(sums, ["grp", "batch", "gene"], "left")
+    rows = own.crossJoin(cells).join(sums, ["grp", "batch", "gene"], "left")
     mean = F.when(F.col("n_cells") > 0, F.coalesce("total", F.lit(0.0)) / F.col("n_cells")).otherwise(0.0)
     rows = rows.select("grp", "gene", "batch", "n_cells", mean.alias("mean"), (F.col("n_cells") > 0).alias("active"))
     gene = Window.partitionBy("grp", "gene")

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import stable
 from ..functions.special import p_value
+from ..lineage import few
 
 
 def moments(expr: DataFrame) -> DataFrame:
@@ -28,15 +30,20 @@ def one_vs_all(expr: DataFrame, n_cells: int, gene: str) -> DataFrame:
     Zeros that aren't stored add nothing to the sums, so only common cells are joined.
     """
     own = expr.where(F.col("gene") == gene).select("cell_id", F.col("value").alias("x"))
-    products = expr.join(own, "cell_id").groupBy("gene").agg(F.sum(F.col("x") * F.col("value")).alias("xy"))
-    own_sums = moments(expr.where(F.col("gene") == gene)).select(F.col("s").alias("sx"), F.col("q").alias("qx"))
-    rows = moments(expr).join(products, "gene", "left").crossJoin(F.broadcast(own_sums))  # one row
+    own_sums = own.agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("qx"))
+    rows = _with_products(expr, own, ["gene"]).crossJoin(F.broadcast(own_sums))  # one row
     n = F.lit(float(n_cells))
     r = _pearson(n, F.col("sx"), F.col("qx"), F.col("s"), F.col("q"), F.coalesce("xy", F.lit(0.0)))
     rows = rows.select("gene", F.when(F.col("gene") == gene, 1.0).otherwise(r).alias("corr"))
     return rows.withColumn("t", t_statistic(F.col("corr"), n))
 
 
+def _with_products(rows: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, s, q and xy: sums of values, squares and products with own (cell_id, x), in one pass."""
+    both = rows.join(own, "cell_id", "left")
+    return both.groupBy(*keys).agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"), F.sum(F.col("x") * F.col("value")).alias("xy"))
+
+
 def t_statistic(r: Column, n: Column) -> Column:
     return F.when((F.abs(r) < 1) & (n > 2), r * F.sqrt((n - 2) / F.when(F.abs(r) < 1, 1 - r * r)))
 
@@ -51,12 +58,9 @@ def by_condition(expr: DataFrame, obs: DataFrame, label: str, gene: str) -> Data
     """(condition, gene, corr, t): one against all in the cells of each condition, in one pass."""
     cells = obs.select("cell_id", F.col(label).cast("string").alias("condition"))
     sizes = cells.groupBy("condition").agg(F.count("*").cast("double").alias("n"))
-    rows = expr.join(cells, "cell_id")
-    own = rows.where(F.col("gene") == gene).select("cell_id", F.col("value").alias("x"))
-    sums = rows.groupBy("condition", "gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    products = rows.join(own, "cell_id").groupBy("condition", "gene").agg(F.sum(F.col("x") * F.col("value")).alias("xy"))
-    goi = sums.where(F.col("gene") == gene).select("condition", F.col("s").alias("sx"), F.col("q").alias("qx"))
-    found = sums.join(products, ["condition", "gene"], "left").join(F.broadcast(goi), "condition").join(F.broadcast(sizes), "condition")
+    own = expr.where(F.col("gene") == gene).select("cell_id", F.col("value").alias("x"))
+    goi = own.join(cells, "cell_id").groupBy("condition").agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("qx"))
+    found = _with_products(expr.join(cells, "cell_id"), own, ["condition", "gene"]).join(goi, "condition").join(sizes, "condition")
     r = _pearson(F.col("n"), F.col("sx"), F.col("qx"), F.col("s"), F.col("q"), F.coalesce("xy", F.lit(0.0)))
     found = found.select("condition", "gene", F.when(F.col("gene") == gene, 1.0).otherwise(r).alias("corr"), "n")
     return found.select("condition", "gene", "corr", t_statistic(F.col("corr"), F.col("n")).alias("t"))
@@ -76,7 +80,7 @@ def top_genes(long: DataFrame, n: int = 10, exclude: str | None = None) -> DataF
     rows = long.where(F.col("corr").isNotNull())
     if exclude is not None:
         rows = rows.where((F.col("gene") != exclude) & (F.col("corr") < 1))
-    place = F.row_number().over(Window.partitionBy("condition").orderBy(F.desc("corr"), "gene"))
+    place = F.row_number().over(Window.partitionBy("condition").orderBy(stable(F.col("corr")).desc(), "gene"))
     return rows.withColumn("rank", place).where(F.col("rank") <= n).select("condition", "gene", "corr", "rank")
 
 
@@ -112,9 +116,10 @@ def gene_network(matrix: DataFrame, k: int = 5, metric: str = "euclidean") -> Da
 def gene_gene(expr: DataFrame, n_cells: int, genes: DataFrame) -> DataFrame:
     """(a, b, corr), a < b: Pearson r of all pairs of some genes, from the cells that both are in.
 
-    genes: a short table (gene); the self-join grows with its square.
+    genes: a table (gene); the pairs returned grow with its square, the products only with the
+    pairs of genes that a cell holds.
     """
-    some = expr.join(F.broadcast(genes.select("gene").distinct()), "gene", "left_semi")
+    some = expr.join(genes.select("gene").distinct(), "gene", "left_semi")
     sums = moments(some)
     a = some.select("cell_id", F.col("gene").alias("a"), F.col("value").alias("x"))
     b = some.select("cell_id", F.col("gene").alias("b"), F.col("value").alias("y"))
@@ -137,11 +142,18 @@ def annotation_corr(expr: DataFrame, obs: DataFrame, label: str) -> DataFrame:
     n = obs.agg(F.count("*").cast("double").alias("n"))
     sizes = cells.groupBy("grp").agg(F.count("*").cast("double").alias("size"))
     sums = expr.join(cells, "cell_id").groupBy("gene", "grp").agg(F.sum("value").alias("xy"))
-    rows = moments(expr).crossJoin(F.broadcast(sizes)).join(sums, ["gene", "grp"], "left").crossJoin(F.broadcast(n))  # groups are few; one row
+    rows = moments(expr).crossJoin(few(sizes)).join(sums, ["gene", "grp"], "left").crossJoin(F.broadcast(n))  # one row
     r = _pearson(F.col("n"), F.col("s"), F.col("q"), F.col("size"), F.col("size"), F.coalesce("xy", F.lit(0.0)))
     return rows.select("gene", "grp", r.alias("corr"))
 
 
+def strongest(matrix: DataFrame, most: int = 96) -> DataFrame:
+    """The rows of a feature matrix with the largest mean absolute correlation, at most ``most``; ties by gene."""
+    names = [c for c in matrix.columns if c != "gene"]
+    mean = sum(F.abs(F.col(f"`{c}`")) for c in names) / F.lit(float(len(names)))
+    return matrix.orderBy(stable(mean).desc(), "gene").limit(most)
+
+
 def gene_colour(corr: DataFrame, cutoff: float = 0.4) -> DataFrame:
     """(gene, grp, corr): the group that a gene follows best; null at or below the cutoff."""
     best = corr.where(F.col("corr").isNotNull()).groupBy("gene").agg(F.min(F.struct((-F.col("corr")).alias("away"), F.col("grp"))).alias("x"))

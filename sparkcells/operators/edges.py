@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import EPS, edge_name, fold_change
+from ..functions.scalar import EPS, edge_name, fold_change, stable
 
 
 def profile_similarity(stats: DataFrame) -> DataFrame:
@@ -44,7 +47,7 @@ def connectivity(knn: DataFrame, labels: DataFrame) -> DataFrame:
 
 def top_k_symmetric(weights: DataFrame, k: int = 5) -> DataFrame:
     """(g1, g2, weight) kept if it is among the k largest positive of g1 or of g2; ties go to the smaller name."""
-    best = Window.partitionBy("g1").orderBy(F.desc("weight"), "g2")
+    best = Window.partitionBy("g1").orderBy(stable(F.col("weight")).desc(), "g2")
     top = weights.where("g1 <> g2 AND weight > 0").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     chosen = top.select("g1", "g2").union(top.select(F.col("g2").alias("g1"), F.col("g1").alias("g2"))).distinct()
     return weights.join(chosen, ["g1", "g2"], "left_semi")
@@ -55,6 +58,13 @@ def undirected(weights: DataFrame) -> DataFrame:
     return weights.where("g1 <> g2").select(F.least("g1", "g2").alias("a"), F.greatest("g1", "g2").alias("b")).distinct()
 
 
+def cast_nodes(edges: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The node columns as whole numbers, if every node's name is one; else as they are."""
+    whole = [F.coalesce(F.bool_and(F.col(c).rlike("^-?[0-9]+$")), F.lit(True)) for c in columns]
+    fits = edges.agg(reduce(lambda a, b: a & b, whole).alias("fits"), F.count("*").alias("n")).first()
+    return edges.withColumns({c: F.col(c).cast("long") for c in columns}) if fits["fits"] and fits["n"] else edges
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(u, v) for both directions of each edge (a, b)."""
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -9,23 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import portable_hash
+from ..lineage import cut, few
 from ..shipping import shipped
 
 #: Points of one block of the blockwise search.
 BLOCK = 2048
 
 
-def knn(coords: DataFrame, k: int = 10, include_self: bool = True, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """(src, dst, dist, place): the exact k nearest points by Euclidean distance; ties by name.
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
 
-    coords: (cell_id, vec). Points and queries are dealt into blocks, each pair of blocks is one
-    small matrix product that gives at most k rows a query, and these are merged.
-    """
-    asking = coords if queries is None else queries
-    n, m = coords.count(), asking.count()
-    rows, cols = max(1, -(-m // block)), max(1, -(-n // block))
-    ask = asking.select("cell_id", "vec", F.pmod(F.xxhash64("cell_id"), F.lit(rows)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("j"))
-    have = coords.select("cell_id", "vec", F.pmod(F.xxhash64("cell_id"), F.lit(cols)).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"))
+
+def _nearest(k: int, include_self: bool):
+    """The k nearest right points of each left point, ties by name."""
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
         src, dst, dist = [], [], []
@@ -33,24 +31,104 @@ def knn(coords: DataFrame, k: int = 10, include_self: bool = True, queries: Data
             a, b = np.array(left.column("cell_id").to_pylist(), object), np.array(right.column("cell_id").to_pylist(), object)
             order = np.argsort(b)  # columns by name: equal distances are taken in that order
             b = b[order]
-            x, y = np.array(left.column("vec").to_pylist(), float), np.array(right.column("vec").to_pylist(), float)[order]
-            for low in range(0, len(a), 128):
-                far = ((x[low : low + 128, None, :] - y[None, :, :]) ** 2).sum(2)
+            x, y = _vectors(left.column("vec")), _vectors(right.column("vec"))[order]
+            square = (y * y).sum(1)
+            for low in range(0, len(a), 512):
+                own = x[low : low + 512]
+                rough = (own * own).sum(1)[:, None] + square[None, :] - 2 * (own @ y.T)
                 if not include_self:
-                    far[a[low : low + 128, None] == b[None, :]] = np.inf
-                best = np.argsort(far, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(far, best, 1)
-                at, col = np.nonzero(np.isfinite(value))
-                src += a[low + at].tolist()
-                dst += b[best[at, col]].tolist()
-                dist += np.sqrt(value[at, col]).tolist()
+                    rough[a[low : low + 512, None] == b[None, :]] = np.inf
+                last = min(k, len(b)) - 1
+                limit = np.partition(rough, last, axis=1)[:, last]
+                # the product's rounding is far below this, so no nearest point is lost
+                at, col = np.nonzero((rough <= (limit + 1e-7 * (1 + np.abs(limit)))[:, None]) & np.isfinite(rough))
+                value = ((own[at] - y[col]) ** 2).sum(1)
+                order = np.lexsort((col, value, at))
+                at, col, value = at[order], col[order], value[order]
+                top = np.arange(len(at)) - np.searchsorted(at, at) < k
+                src += a[low + at[top]].tolist()
+                dst += b[col[top]].tolist()
+                dist += np.sqrt(value[top]).tolist()
         return pa.table({"src": pa.array(src, pa.string()), "dst": pa.array(dst, pa.string()), "dist": pa.array(dist, pa.float64())})
 
+    return near
+
+
+def knn(coords: DataFrame, k: int = 10, include_self: bool = True, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(src, dst, dist, place): the exact k nearest points by Euclidean distance; ties by name.
+
+    coords: (cell_id, vec). Points and queries are dealt into blocks, each pair of blocks is one
+    matrix product that proposes, exact distances decide, and at most k rows a query come out of it
+    and are merged. The work and the rows dealt grow with the square of the points; see
+    :func:`knn_probed` for tables where that is too much.
+    """
+    asking = coords if queries is None else queries
+    n, m = coords.count(), asking.count()
+    rows, cols = max(1, -(-m // block)), max(1, -(-n // block))
+    ask = asking.select("cell_id", "vec", F.pmod(F.xxhash64("cell_id"), F.lit(rows)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("j"))
+    have = coords.select("cell_id", "vec", F.pmod(F.xxhash64("cell_id"), F.lit(cols)).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"))
+
+    near = _nearest(k, include_self)
+    have = have.select(*[F.col(c).alias(c) for c in have.columns])  # both sides may begin at one table
     found = shipped(ask).groupBy("i", "j").cogroup(have.groupBy("i", "j")).applyInArrow(near, "src string, dst string, dist double")
     place = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
+def knn_probed(coords: DataFrame, k: int = 10, include_self: bool = True, probes: int = 8, cell: int = 4096, sample: int = 50_000, block: int = BLOCK) -> DataFrame:
+    """(src, dst, dist, place): the k nearest of the points in the ``probes`` nearest cells of a point.
+
+    The cells are those of k-means, fitted on about ``sample`` points, as many as make cells of
+    about ``cell`` points, a tenth of the sample at most; a larger cell is searched in blocks. A point meets probes * cell others
+    however many points there are, and is dealt ``probes`` times. ``recall`` measures what is lost;
+    with as many probes as cells nothing is.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    n = coords.count()
+    n_cells = max(1, min(-(-n // cell), sample // 10))
+    rows = coords.where("size(vec) > 0")
+    some = rows.where(F.pmod(F.xxhash64("cell_id"), F.lit(1 << 30)) < max(1, int((1 << 30) * min(1.0, sample / max(n, 1)))))
+    if n_cells > 1:
+        fitted = KMeans(k=n_cells, seed=7, maxIter=10, featuresCol="own").fit(some.select(array_to_vector("vec").alias("own")))
+        centres = np.array(fitted.clusterCenters())
+    else:
+        centres = np.zeros((1, 1))
+    held = coords.sparkSession.sparkContext.broadcast(centres)
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, n_own = held.value, len(held.value)
+                x = _vectors(pa.chunked_array([batch.column("vec")]))
+                near = np.argsort((own * own).sum(1)[None, :] - 2 * (x @ own.T), axis=1, kind="stable")[:, :probes] if n_own > 1 else np.zeros((len(x), 1), int)
+                yield pa.RecordBatch.from_arrays([batch.column("cell_id"), batch.column("vec"), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["cell_id", "vec", "cells"])
+
+    placed = cut(shipped(rows.select("cell_id", F.col("vec").cast("array<double>").alias("vec"))).mapInArrow(visit, "cell_id string, vec array<double>, cells array<int>"))
+    sizes = few(placed.groupBy(F.get("cells", F.lit(0)).alias("at")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), 200_000)
+    have = placed.withColumn("at", F.get("cells", F.lit(0))).join(sizes, "at").select("cell_id", "vec", "at", F.pmod(F.xxhash64("cell_id"), F.col("blocks")).cast("int").alias("j"))
+    ask = placed.withColumn("at", F.explode("cells")).join(sizes, "at").select("cell_id", "vec", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.pmod(F.xxhash64("cell_id", F.lit(1)), F.lit(64)).cast("int").alias("salt"))
+    # the points of a cell meet its askers in as many groups as keep a group's askers few
+    parts = few(ask.groupBy("at", "j").agg(F.greatest(F.lit(1), F.least(F.lit(64), F.ceil(F.count("*") / (8 * block)))).cast("int").alias("parts")), 200_000)
+    ask = ask.join(parts, ["at", "j"]).withColumn("i", F.pmod("salt", F.col("parts"))).select("cell_id", "vec", "at", "j", "i")
+    have = have.join(parts, ["at", "j"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell_id", "vec", "at", "j", "i")
+    near = _nearest(k, include_self)
+    have = have.select(*[F.col(c).alias(c) for c in have.columns])  # both sides begin at one table
+    found = shipped(ask).groupBy("at", "j", "i").cogroup(have.groupBy("at", "j", "i")).applyInArrow(near, "src string, dst string, dist double")
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def recall(found: DataFrame, coords: DataFrame, k: int = 10, include_self: bool = True, queries: int = 256) -> float:
+    """The share of the true k nearest that ``found`` holds, for about so many points chosen by hash."""
+    n = max(coords.count(), 1)
+    some = coords.where(F.pmod(F.xxhash64("cell_id", F.lit(5)), F.lit(1 << 30)) < max(1, int((1 << 30) * min(1.0, queries / n))))
+    truth = cut(knn(coords, k, include_self, some).select("src", "dst"))
+    hits = truth.join(found.select("src", "dst"), ["src", "dst"], "left_semi").count()
+    return hits / max(truth.count(), 1)
+
+
 def impute_neighbor(expr: DataFrame, neighbors: DataFrame, k: int | None = None) -> DataFrame:
     """(cell_id, gene, value): the mean over a cell's neighbours (itself included, if it is among them)."""
     size = F.lit(float(k)) if k else F.count("*").over(Window.partitionBy("src"))
@@ -81,7 +159,7 @@ def bin_counts(bins: DataFrame) -> DataFrame:
 def grid_sample(bins: DataFrame, per_bin: int = 5, min_count: int = 2, seed: int = 0) -> DataFrame:
     """(cell_id, bin): up to ``per_bin`` cells of every bin with ``min_count`` cells, by a seeded hash."""
     full = bin_counts(bins).where(F.col("n") >= min_count).select("bin")
-    place = F.row_number().over(Window.partitionBy("bin").orderBy(F.xxhash64(F.lit(seed), "cell_id"), "cell_id"))
+    place = F.row_number().over(Window.partitionBy("bin").orderBy(portable_hash(F.lit(str(seed)), F.col("cell_id")), "cell_id"))
     return bins.join(full, "bin", "left_semi").withColumn("place", place).where(F.col("place") <= per_bin).select("cell_id", "bin")
 
 

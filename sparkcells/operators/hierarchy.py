@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import path_name
-from ..lineage import cut
+from ..lineage import cut, discard
 from .genes import GeneFilter
 
 LEVELS = ("g0", "g1", "g2")
@@ -32,7 +32,7 @@ def path_sizes(cells: DataFrame) -> DataFrame:
 def split_small(cells: DataFrame, min_cells: int) -> DataFrame:
     """(cell_id, path): the path is null where too few cells share it."""
     large = path_sizes(cells).where(F.col("n") >= min_cells).select(F.col("path").alias("own"))
-    return cells.join(F.broadcast(large), F.col("path") == F.col("own"), "left").select("cell_id", F.col("own").alias("path"))
+    return cells.join(large, F.col("path") == F.col("own"), "left").select("cell_id", F.col("own").alias("path"))
 
 
 def vote(cells: DataFrame, knn: DataFrame) -> DataFrame:
@@ -44,20 +44,18 @@ def vote(cells: DataFrame, knn: DataFrame) -> DataFrame:
     return cells.join(best, cells["cell_id"] == best["src"], "left").select("cell_id", F.coalesce("path", "won").alias("path"))
 
 
-def reassign(cells: DataFrame, knn: DataFrame, min_cells: int, most_rounds: int = 100) -> DataFrame:
+def reassign(cells: DataFrame, knn: DataFrame, min_cells: int) -> DataFrame:
     """Rounds of votes until no cell gains a path; all votes of a round read the round before it.
 
-    Cells without any path among their neighbours stay null. Rounds are checkpointed.
+    Cells without any path among their neighbours stay null. Every round is written, the one before
+    it is deleted.
     """
     now = cut(split_small(cells, min_cells))
-    left = now.where("path is null").count()
-    for _ in range(most_rounds):
-        if not left:
-            break
-        now = cut(vote(now, knn))
+    left, before = now.where("path is null").count(), None
+    while left and left != before:
+        old, now = now, cut(vote(now, knn))
         before, left = left, now.where("path is null").count()
-        if left == before:
-            break
+        discard(old)
     return now
 
 
@@ -71,7 +69,7 @@ def path_ids(cells: DataFrame, levels: int = 3) -> DataFrame:
 
 def cell_ids(cells: DataFrame, ids: DataFrame) -> DataFrame:
     """(cell_id, icls): null where a cell has no path."""
-    return cells.join(F.broadcast(ids.select("path", "icls")), "path", "left").select("cell_id", "icls")
+    return cells.join(ids.select("path", "icls"), "path", "left").select("cell_id", "icls")
 
 
 def marker_rank(markers: DataFrame, n: int = 10, gene_filter: GeneFilter | None = None) -> DataFrame:
@@ -90,11 +88,23 @@ def presence(ranked: DataFrame, chosen: Sequence[tuple[str, str]]) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order))  # a row for each listed gene
 
 
+def presence_by_batch(found: DataFrame, chosen: Sequence[tuple[str, str]], strips: DataFrame) -> DataFrame:
+    """(place, gene, level, grp, present, batch, n_cells, active, share, strip) of a presence table.
+
+    strips: (resolution, grp, gene, batch, n_cells, active, share, place) as by_batch gives them for
+    each resolution; a strip is a batch's place in its cell, active ones first, the brightest first.
+    """
+    level = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(r).alias("resolution"), F.lit(g).alias("grp"), F.col(f"p{k}").alias("present")) for k, (r, g) in enumerate(chosen)]))
+    cells = found.select("place", "gene", level.alias("x")).select("place", "gene", "x.*")
+    own = strips.withColumnRenamed("place", "strip")
+    return cells.join(own, ["resolution", "grp", "gene"]).select("place", "gene", "level", "grp", "present", "batch", "n_cells", "active", "share", "strip")
+
+
 def payload(ids: DataFrame, ranked: DataFrame, centres: DataFrame) -> DataFrame:
     """(icls, json) for a viewer: path, labels, size, place and marker genes of each path."""
     genes = ranked.groupBy("resolution", "grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "gene"))), lambda x: x["gene"]).alias("genes"))
     rows = ids.join(centres.withColumnRenamed("grp", "icls"), "icls", "left")
     for k in range(3):
         own = genes.where(F.col("resolution") == f"g{k}").select(F.col("grp").alias(f"g{k}"), F.col("genes").alias(f"genes_g{k}"))
-        rows = rows.join(F.broadcast(own), f"g{k}", "left")
+        rows = rows.join(own, f"g{k}", "left")
     return rows.select("icls", F.to_json(F.struct("path", "g0", "g1", "g2", "n", "x", "y", "genes_g0", "genes_g1", "genes_g2")).alias("json"))

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import EPS, global_score, local_score, weight
+from ..functions.scalar import EPS, global_score, local_score, stable, weight
 from .edges import coverage, dst_max
 
 
 def gene_features(notes: DataFrame, edge_gene: DataFrame) -> DataFrame:
     """(gene, n_low, n_grey, n_high, max_fc, mean_fc, max_delta, mean_delta, n_edges, gap) of genes with labels and edges.
 
-    gap is the least mean_norm of the high groups over the largest of the low ones; null unless both exist.
+    gap is the least mean_norm of the high groups less the largest of the low ones; null unless both exist.
     """
     mark, mean = F.col("label"), F.col("mean_norm")
     counts = notes.groupBy("gene").agg(
@@ -46,7 +46,7 @@ def scores(inputs: DataFrame, a: float = 1.0, b: float = 0.5) -> DataFrame:
 def rank(scored: DataFrame, score_col: str = "specific_weight", score_fn: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """With the rank in each group: score downwards, undefined last, ties by gene. score_fn gives the score instead."""
     rows = scored if score_fn is None else scored.withColumn(score_col, score_fn(scored))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc_nulls_last(score_col), "gene")))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(stable(F.col(score_col)).desc_nulls_last(), "gene")))
 
 
 def top(markers: DataFrame, n: int = 10) -> DataFrame:

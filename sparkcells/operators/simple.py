@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import stable
 from .stats import grid
 
 
@@ -55,7 +56,7 @@ def find(stats: DataFrame, mode: str = "single", gap: float = 0.2, min_mean: flo
 
 def ranked(markers: DataFrame) -> DataFrame:
     """Markers with their rank in the group: score downwards, ties by gene."""
-    return markers.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc_nulls_last("score"), "gene")))
+    return markers.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(stable(F.col("score")).desc_nulls_last(), "gene")))
 
 
 class SimpleMarkers:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import few
 from ..model import GroupKeyError
 
 
@@ -19,10 +21,13 @@ def group_sizes(obs: DataFrame, label: str, exclude: Sequence[str] = ()) -> Data
     return rows.select("grp", (F.row_number().over(Window.orderBy("grp")) - 1).alias("idx"), "n_cells")  # a row for each group
 
 
-def group_sums(expr: DataFrame, obs: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """Sum and number of expressing cells by the label columns ``keys`` (new name -> column) and gene."""
+def group_sums(expr: DataFrame, obs: DataFrame, keys: dict[str, str], every: bool = False) -> DataFrame:
+    """Sum and number of expressing cells by the label columns ``keys`` (new name -> column) and gene.
+
+    every: cells that aren't in obs count too, under null labels.
+    """
     labels = obs.select("cell_id", *[F.col(c).cast("string").alias(k) for k, c in keys.items()])
-    joined = expr.where(F.col("value") != 0).join(labels, "cell_id")
+    joined = expr.where(F.col("value") != 0).join(labels, "cell_id", "left" if every else "inner")
     return joined.groupBy(*keys, "gene").agg(F.sum("value").alias("total"), F.count("*").alias("n_expr"))
 
 
@@ -31,14 +36,17 @@ def grid(expr: DataFrame, obs: DataFrame, label: str, exclude: Sequence[str] = (
 
     Groups under ``min_cells`` cells are all zero, or absent with ``drop_small``. The mean of a
     gene is 0 where fewer than ``min_expr_cells`` cells express it. mean_norm is the mean over the
-    gene's largest mean, 0 where that is 0. The groups are few: they are joined by broadcast.
+    gene's largest mean, 0 where that is 0. The groups are counted before they are broadcast.
     """
     sizes = group_sizes(obs, label, exclude).drop("idx")
     if drop_small:
         sizes = sizes.where(F.col("n_cells") >= min_cells)
-    sums = group_sums(expr, obs, {"grp": label})
-    genes = expr.where(F.col("value") != 0).select("gene").distinct()
-    dense = genes.crossJoin(F.broadcast(sizes)).join(sums, ["grp", "gene"], "left")
+    # one pass over expr: a gene's sums are folded to a map of its groups, and that is laid out over all groups
+    sums = group_sums(expr, obs, {"grp": label}, every=True)
+    own = F.when(F.col("grp").isNotNull(), F.struct("grp", F.struct("total", "n_expr")))
+    folded = sums.groupBy("gene").agg(F.map_from_entries(F.collect_list(own)).alias("own"))
+    cell = F.element_at("own", F.col("grp"))
+    dense = folded.crossJoin(few(sizes)).select("grp", "gene", "n_cells", cell["total"].alias("total"), cell["n_expr"].alias("n_expr"))
     enough = F.col("n_cells") >= max(min_cells, 1)
     n_expr = F.when(enough, F.coalesce("n_expr", F.lit(0))).otherwise(0)
     dense = dense.select("grp", "gene", "n_cells", F.when(enough, F.coalesce("total", F.lit(0.0)) / F.col("n_cells")).otherwise(0.0).alias("mean"), n_expr.cast("long").alias("n_expr"))
@@ -78,6 +86,17 @@ def value_range(expr: DataFrame) -> DataFrame:
     return expr.agg(F.least(F.min("value"), F.lit(0.0)).alias("low"), F.greatest(F.max("value"), F.lit(0.0)).alias("high"))
 
 
+def value_check(expr: DataFrame, most: float = 30.0) -> DataFrame:
+    """The row of :func:`log1p_check`; negative values are an error, values above ``most`` a warning."""
+    found = log1p_check(expr, most)
+    row = found.first()
+    if row["low"] is not None and row["low"] < 0:
+        raise ValueError(f"the values go down to {row['low']}; log1p-normalised values are never negative")
+    if row["high"] is not None and row["high"] > most:
+        warnings.warn(f"the values go up to {row['high']}; they may not be log1p-normalised", stacklevel=2)
+    return found
+
+
 def log1p_check(expr: DataFrame, most: float = 15.0) -> DataFrame:
     """One row: whether the values look like log1p data (none negative, none above ``most``).
 
@@ -122,6 +141,12 @@ def normalize(counts: DataFrame, target: float = 1e4) -> DataFrame:
     return normalised(counts, target)
 
 
+def to_total(counts: DataFrame, target: float = 1e4) -> DataFrame:
+    """(cell_id, gene, value): counts scaled to a total of ``target`` a cell."""
+    total = counts.groupBy("cell_id").agg(F.sum("n").alias("total"))
+    return counts.join(total, "cell_id").select("cell_id", "gene", (F.lit(target) * F.col("n") / F.col("total")).alias("value"))
+
+
 def z_scores(expr: DataFrame, n_cells: int, most: float = 10.0) -> DataFrame:
     """Non-zero cells' z-scores by gene over all cells, clipped at ``most``; zeros have the gene's ``zero`` score."""
     moments = expr.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 GENES = ["the", "of", "and", "der", "la", "un"]
 CONDITIONS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 IN_GENES = "(" + ", ".join(f"'{g}'" for g in GENES) + ")"
@@ -67,7 +69,7 @@ norms AS (SELECT grp, sqrt(sum(mean * mean)) AS norm FROM grid GROUP BY 1),
 weights AS MATERIALIZED (SELECT x.grp AS g1, y.grp AS g2, sum(x.mean * y.mean) / (any_value(p.norm) * any_value(q.norm)) AS weight
   FROM grid x JOIN grid y ON x.gene = y.gene AND x.grp <> y.grp AND x.mean <> 0 AND y.mean <> 0
   JOIN norms p ON p.grp = x.grp JOIN norms q ON q.grp = y.grp GROUP BY ALL),
-topk AS (SELECT g1, g2 FROM (SELECT *, row_number() OVER (PARTITION BY g1 ORDER BY weight DESC, g2) AS place FROM weights WHERE weight > 0) WHERE place <= {k}),
+topk AS (SELECT g1, g2 FROM (SELECT *, row_number() OVER (PARTITION BY g1 ORDER BY round(weight, 9) DESC, g2) AS place FROM weights WHERE weight > 0) WHERE place <= {k}),
 edges AS MATERIALIZED (SELECT DISTINCT least(g1, g2) AS a, greatest(g1, g2) AS b FROM topk),
 pairs AS MATERIALIZED (SELECT x.gene, CASE WHEN x.mean_norm >= y.mean_norm THEN b ELSE a END AS start,
   CASE WHEN x.mean_norm >= y.mean_norm THEN a ELSE b END AS finish, greatest(x.mean_norm, y.mean_norm) AS high,
@@ -126,7 +128,7 @@ scored AS (SELECT *, CASE WHEN global_score >= 0 THEN local_score * sqrt(global_
 
 
 def ranks(score: str, grp: str = "grp") -> str:
-    return f"row_number() OVER (PARTITION BY {grp} ORDER BY {score} DESC NULLS LAST, gene) AS rank"
+    return f"row_number() OVER (PARTITION BY {grp} ORDER BY round({score}, 9) DESC NULLS LAST, gene) AS rank"
 
 
 def simple(count: int, source: str = "grid", out: str = "elig") -> str:
@@ -147,7 +149,7 @@ nn AS (SELECT segment AS condition, count(*)::DOUBLE AS n FROM obs GROUP BY 1),
 corr AS MATERIALIZED (SELECT sx.condition, sx.gene, CASE WHEN sx.gene = 'Brand#11' THEN 1.0
     ELSE (coalesce(xy, 0) - g.s * sx.s / n) / sqrt((g.q - g.s * g.s / n) * (sx.q - sx.s * sx.s / n)) END AS corr
   FROM sx JOIN sx g ON g.condition = sx.condition AND g.gene = 'Brand#11' LEFT JOIN sxy ON sxy.condition = sx.condition AND sxy.gene = sx.gene JOIN nn ON nn.condition = sx.condition),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY corr DESC, gene) AS rank FROM corr
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY round(corr, 9) DESC, gene) AS rank FROM corr
   WHERE corr IS NOT NULL AND gene <> 'Brand#11' AND corr < 1) WHERE rank <= 5),
 matrix AS (SELECT gene, """ + ", ".join(f"coalesce(max(CASE WHEN condition = '{c}' THEN corr END), 0) AS \"{c}_corr\"" for c in CONDITIONS) + """ FROM corr WHERE gene IN (SELECT gene FROM top) GROUP BY 1)"""
 
@@ -174,11 +176,10 @@ one0 AS (SELECT p.gene, CASE WHEN p.gene = 'the' THEN 1.0 WHEN g.q - g.s * g.s /
     THEN (coalesce(xy, 0) - g.s * p.s / n_all) / sqrt((g.q - g.s * g.s / n_all) * (p.q - p.s * p.s / n_all)) END AS corr, n_all
   FROM sums1 p LEFT JOIN xy USING (gene) CROSS JOIN n_all CROSS JOIN (SELECT * FROM sums1 WHERE gene = 'the') g),
 one AS (SELECT *, CASE WHEN abs(corr) < 1 THEN corr * sqrt((n_all - 2) / (1 - corr * corr)) END AS t FROM one0)"""
-GG = f"""
-picked AS (SELECT * FROM expr WHERE gene IN {IN_GENES}),
+GG = """
 gg AS (SELECT p.gene AS a, q.gene AS b, (coalesce(xy, 0) - p.s * q.s / n_all) / sqrt((p.q - p.s * p.s / n_all) * (q.q - q.s * q.s / n_all)) AS corr
-  FROM (SELECT * FROM sums1 WHERE gene IN {IN_GENES}) p JOIN (SELECT * FROM sums1 WHERE gene IN {IN_GENES}) q ON p.gene < q.gene CROSS JOIN n_all
-  LEFT JOIN (SELECT x.gene AS a, y.gene AS b, sum(x.value * y.value) AS xy FROM picked x JOIN picked y USING (cell_id) WHERE x.gene < y.gene GROUP BY ALL) z ON z.a = p.gene AND z.b = q.gene)"""
+  FROM sums1 p JOIN sums1 q ON p.gene < q.gene CROSS JOIN n_all
+  LEFT JOIN (SELECT x.gene AS a, y.gene AS b, sum(x.value * y.value) AS xy FROM expr x JOIN expr y USING (cell_id) WHERE x.gene < y.gene GROUP BY ALL) z ON z.a = p.gene AND z.b = q.gene)"""
 ANNO = """
 anno AS (SELECT gene, grp, (coalesce(total, 0) - s * n_cells / n_all) / sqrt((q - s * s / n_all) * (n_cells - n_cells::DOUBLE * n_cells / n_all)) AS corr
   FROM sums1 CROSS JOIN groups LEFT JOIN sums USING (gene, grp) CROSS JOIN n_all)"""
@@ -210,6 +211,54 @@ side AS (SELECT grp, gene, count(mean) AS n, avg(mean) AS m, CASE WHEN count(mea
 tested AS (SELECT fc.*, coalesce(s.n, 0) AS n_s, coalesce(e.n, 0) AS n_e, e.m - s.m AS diff, s.v / s.n AS a, e.v / e.n AS b
   FROM fc LEFT JOIN side s ON s.grp = start AND s.gene = fc.gene LEFT JOIN side e ON e.grp = finish AND e.gene = fc.gene)""")
 
+
+
+def level(label: str, name: str, gap: float = 0.02) -> tuple[str, ...]:
+    """Single markers of one labelling of the vectors, as a table lev_<name>, and its grid."""
+    own = (grid(label) + "," + simple(10) + "," + SINGLE.format(out="m", source="elig").replace("score > 0.2 AND mean >= 0.2", f"score > {gap} AND mean >= {gap}"))
+    for word in ("groups", "sums", "grid0", "grid", "elig"):
+        own = re.sub(rf"\b{word}\b", f"{word}_{name}", own)
+    own = re.sub(r"\bm AS", f"m_{name} AS", own)
+    return (own, f"""
+lev_{name} AS (SELECT '{name}' AS resolution, grp, gene, {ranks('score')} FROM m_{name})""")
+
+
+E_LEVELS = (E, *level("l0", "g0"), *level("l1", "g1"), *level("label", "g2"), """
+lev AS (SELECT * FROM lev_g0 UNION ALL SELECT * FROM lev_g1 UNION ALL SELECT * FROM lev_g2),
+top5 AS (SELECT * FROM lev WHERE rank <= 5)""")
+# The paths of at least 20 cells; smaller ones take votes, in at most eight rounds here.
+REASSIGN = """
+large_n AS (SELECT path FROM paths GROUP BY 1 HAVING count(*) >= {least}),
+v0 AS MATERIALIZED (SELECT cell_id, CASE WHEN path IN (SELECT path FROM large_n) THEN path END AS path FROM paths),""" + ",".join(f"""
+b{k} AS (SELECT src, arg_min(path, (-n, path)) AS won FROM (SELECT src, w.path, count(*) AS n FROM knn JOIN v{k} o ON o.cell_id = src AND o.path IS NULL
+  JOIN v{k} w ON w.cell_id = dst AND w.path IS NOT NULL WHERE src <> dst GROUP BY ALL) GROUP BY 1),
+v{k + 1} AS MATERIALIZED (SELECT cell_id, coalesce(path, won) AS path FROM v{k} LEFT JOIN b{k} ON src = cell_id)""" for k in range(8)) + """,
+sizes AS (SELECT path, count(*) AS n FROM v8 WHERE path IS NOT NULL GROUP BY 1),
+ids AS (SELECT path, n, g0, g1, g2, (row_number() OVER (ORDER BY g0, g1, g2) - 1)::VARCHAR AS icls FROM
+  (SELECT path, n, substr(string_split(path, '|')[1], 4) AS g0, substr(string_split(path, '|')[2], 4) AS g1, substr(string_split(path, '|')[3], 4) AS g2 FROM sizes))"""
+COMPARE = (*E_LEVELS, REASSIGN.format(least=20), """
+chosen AS (SELECT 'g0' AS resolution, 0 AS level, g0 AS grp FROM ids WHERE icls = '0' UNION ALL SELECT 'g1', 1, g1 FROM ids WHERE icls = '0' UNION ALL SELECT 'g2', 2, g2 FROM ids WHERE icls = '0'),
+marks AS (SELECT gene, max((level = 0)::BIGINT) AS p0, max((level = 1)::BIGINT) AS p1, max((level = 2)::BIGINT) AS p2 FROM top5 JOIN chosen USING (resolution, grp) GROUP BY 1),
+compared AS (SELECT *, row_number() OVER (ORDER BY p0 DESC, p1 DESC, p2 DESC, gene) AS place FROM marks)""")
+STRIPS = """
+labelled AS (SELECT 'g0' AS resolution, cell_id, l0 AS grp, batch FROM obs UNION ALL SELECT 'g1', cell_id, l1, batch FROM obs UNION ALL SELECT 'g2', cell_id, label, batch FROM obs),
+cells AS (SELECT r.resolution, r.grp, b.batch, count(l.cell_id) AS n_cells FROM (SELECT DISTINCT resolution, grp FROM labelled) r CROSS JOIN (SELECT DISTINCT batch FROM obs) b
+  LEFT JOIN labelled l ON l.resolution = r.resolution AND l.grp = r.grp AND l.batch = b.batch GROUP BY ALL),
+totals AS (SELECT resolution, grp, batch, gene, sum(value) AS total FROM labelled JOIN expr USING (cell_id) GROUP BY ALL),
+means AS (SELECT c.*, gene, CASE WHEN n_cells > 0 THEN coalesce(total, 0) / n_cells ELSE 0 END AS mean FROM cells c CROSS JOIN (SELECT DISTINCT gene FROM top5) LEFT JOIN totals USING (resolution, grp, batch, gene)),
+shared AS (SELECT *, n_cells > 0 AS active, mean / CASE WHEN max(mean) OVER w > 0 THEN max(mean) OVER w ELSE 1 END AS share FROM means WINDOW w AS (PARTITION BY resolution, grp, gene)),
+strips AS (SELECT *, row_number() OVER (PARTITION BY resolution, grp, gene ORDER BY active DESC, share DESC, batch) AS strip FROM shared)"""
+MARK = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
+SWEEP_AUTO = (*D_EDGES, rises(1.0), """
+hi AS (SELECT greatest(quantile_cont(fc, 0.95), 2.0) AS high, (SELECT count(*) FROM (SELECT DISTINCT start, finish FROM fc)) AS total FROM fc),
+coarse AS (SELECT k, CASE WHEN k = 9 THEN high ELSE 1.0 + (high - 1.0) * k / 9 END AS threshold FROM hi CROSS JOIN (SELECT unnest(range(10)) AS k)),
+open AS (SELECT k, threshold, total - count(DISTINCT (start, finish)) FILTER (WHERE start IS NOT NULL) AS uncovered FROM coarse CROSS JOIN hi LEFT JOIN fc ON fc >= threshold GROUP BY k, threshold, total),
+turn AS (SELECT min(k) FILTER (WHERE uncovered > 0) AS k FROM open),
+ends AS (SELECT (SELECT threshold FROM coarse WHERE coarse.k = greatest(turn.k - 1, 0)) AS low, (SELECT threshold FROM coarse WHERE coarse.k = least(turn.k + 1, 9)) AS top FROM turn),
+lims AS (SELECT CASE WHEN j = 9 THEN top ELSE low + (top - low) * j / 9 END AS threshold FROM ends CROSS JOIN (SELECT unnest(range(10)) AS j) WHERE low IS NOT NULL
+  UNION SELECT threshold FROM coarse CROSS JOIN ends WHERE low IS NULL OR threshold > top),
+cov AS (SELECT threshold, count(*) AS n_pairs, count(DISTINCT gene) AS n_genes, count(DISTINCT (start, finish)) AS n_edges_covered FROM lims JOIN fc ON fc >= threshold GROUP BY 1)""")
+
 ORACLES: dict[str, str] = {
     "log1p_check": build(D) + " SELECT round(least(min(value), 0), 6) + 0.0 AS low, round(greatest(max(value), 0), 6) + 0.0 AS high, min(value) >= 0 AND max(value) <= 15 AS passes FROM expr",
     "value_check_scaled": build(L) + " SELECT round(least(min(value), 0), 6) + 0.0 AS low, round(greatest(max(value), 0), 6) + 0.0 AS high, min(value) >= 0 AND max(value) <= 30 AS passes FROM expr",
@@ -293,4 +342,29 @@ ORACLES: dict[str, str] = {
     "event_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY 1, 2",
     "rank_genes": build(D, grid(), PAIR) + ", qs AS (SELECT lang AS grp, gene, sum(value * value) AS own_q FROM expr JOIN obs USING (cell_id) GROUP BY ALL), d AS (SELECT grp, gene, n_cells::DOUBLE AS n, (SELECT sum(n_cells) FROM groups) - n_cells AS m, coalesce(total, 0) AS a_s, coalesce(own_q, 0) AS a_q, s - coalesce(total, 0) AS b_s, q - coalesce(own_q, 0) AS b_q FROM groups CROSS JOIN sums1 LEFT JOIN sums USING (grp, gene) LEFT JOIN qs USING (grp, gene)), v AS (SELECT *, a_s / n - b_s / m AS step, greatest(0, a_q - a_s * a_s / n) / (n - 1) / n AS a, greatest(0, b_q - b_s * b_s / m) / (m - 1) / m AS b FROM d) SELECT grp, gene, round(step / sqrt(a + b), 6) + 0.0 AS t, round((a + b) * (a + b) / (a * a / (n - 1) + b * b / (m - 1)), 6) + 0.0 AS df FROM v",
     "normalize_zero_fill": build(D) + f" SELECT o.cell_id, lang, g.gene, round(coalesce(value, 0), 6) + 0.0 AS value FROM obs o CROSS JOIN (SELECT unnest([{', '.join(repr(g) for g in GENES)}]) AS gene) g LEFT JOIN expr e ON e.cell_id = o.cell_id AND e.gene = g.gene WHERE lang IN ('en', 'de')",
+    "bundled_gene_sets": "SELECT category, n::BIGINT AS n, n_distinct::BIGINT AS n_distinct FROM (VALUES ('cc_genes_s', 43, 43), ('cc_genes_m', 55, 54), ('B_follicular', 10, 10), ('B_memory', 10, 10), ('B_naive', 10, 10), ('B_plasma', 10, 10)) x(category, n, n_distinct)",
+    "fc_sweep_auto": build(*SWEEP_AUTO) + " SELECT round(threshold, 6) + 0.0 AS threshold, coalesce(n_pairs, 0) AS n_pairs, coalesce(n_genes, 0) AS n_genes, coalesce(n_edges_covered, 0) AS n_edges_covered, total - coalesce(n_edges_covered, 0) AS n_edges_uncovered FROM lims CROSS JOIN hi LEFT JOIN cov USING (threshold)",
+    "grid_sample": build(E, BINS) + " SELECT cell_id, bin FROM (SELECT *, count(*) OVER (PARTITION BY bin) AS n, row_number() OVER (PARTITION BY bin ORDER BY substr(md5('0:' || cell_id), 1, 15), cell_id) AS place FROM bins) WHERE n >= 2 AND place <= 5",
+    "class_sample": build(D) + f", c AS (SELECT cell_id, lang AS grp, {MARK.format("'0:' || cell_id")} AS mark, count(*) OVER (PARTITION BY lang) AS n FROM obs WHERE lang IS NOT NULL), p AS (SELECT cell_id, grp, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY mark, cell_id) AS place FROM c WHERE mark < least(1.0, 3200.0 / n) * 1152921504606846976.0), w AS (SELECT grp, n, unnest(range(50))::INT AS draw FROM (SELECT DISTINCT grp, n FROM p)) SELECT draw, p.grp, cell_id FROM w JOIN p ON p.grp = w.grp AND place = {MARK.format("'0:' || w.grp || ':' || draw::VARCHAR")} % w.n + 1",
+    "hierarchy_reassign": build(E, REASSIGN.format(least=50)) + " SELECT cell_id, icls FROM v8 LEFT JOIN ids USING (path)",
+    "hierarchy_compare": build(*COMPARE) + " SELECT gene, p0, p1, p2, place FROM compared",
+    "hierarchy_compare_batch": build(*COMPARE, STRIPS) + ", x AS (SELECT place, gene, level, resolution, grp, CASE level WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS present FROM compared CROSS JOIN chosen) SELECT gene, x.grp, batch, n_cells, active, place, level::BIGINT AS level, present, strip, round(share, 6) + 0.0 AS share FROM x JOIN strips USING (resolution, grp, gene)",
+    "viewer_payload": build(*E_LEVELS, "known20 AS (SELECT cell_id, path FROM paths WHERE path IN (SELECT path FROM paths GROUP BY 1 HAVING count(*) >= 20)), sz AS (SELECT path, count(*) AS n FROM known20 GROUP BY 1), ix AS (SELECT path, n, g0, g1, g2, (row_number() OVER (ORDER BY g0, g1, g2) - 1)::VARCHAR AS icls FROM (SELECT path, n, substr(string_split(path, '|')[1], 4) AS g0, substr(string_split(path, '|')[2], 4) AS g1, substr(string_split(path, '|')[3], 4) AS g2 FROM sz)), xy AS (SELECT path, median(vec[1]) AS x, median(vec[2]) AS y FROM known20 JOIN coords USING (cell_id) GROUP BY 1), gs AS (SELECT resolution, grp, string_agg(gene, ',' ORDER BY rank, gene) AS genes FROM top5 GROUP BY 1, 2)")
+    + " SELECT icls, path, n, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, " + ", ".join(f"coalesce(s{k}.genes, '') AS genes_g{k}" for k in range(3)) + " FROM ix JOIN xy USING (path) " + " ".join(f"LEFT JOIN gs s{k} ON s{k}.resolution = 'g{k}' AND s{k}.grp = g{k}" for k in range(3)),
+    "roc_points": build(E) + ", sh AS (SELECT src AS cell_id, count(*) / 10.0 AS share FROM knn_other JOIN obs ON dst = obs.cell_id WHERE label = '3' GROUP BY 1), ev AS (SELECT coalesce(share, 0) AS p, label = '3' AS hit FROM obs LEFT JOIN sh USING (cell_id)) SELECT round(t.p, 6) + 0.0 AS threshold, round(count(*) FILTER (WHERE NOT hit AND ev.p >= t.p) / greatest(1, count(*) FILTER (WHERE NOT hit)), 6) + 0.0 AS fpr, round(count(*) FILTER (WHERE hit AND ev.p >= t.p) / greatest(1, count(*) FILTER (WHERE hit)), 6) + 0.0 AS tpr FROM (SELECT DISTINCT p FROM ev) t CROSS JOIN ev GROUP BY t.p",
+    "resolve_expression": build(L) + " SELECT 'raw' AS source, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM expr",
+    "qc_mito": build(L) + " SELECT cell_id, round(sum(n), 6) + 0.0 AS total_counts, count(*) AS n_genes, round(100 * coalesce(sum(n) FILTER (WHERE gene LIKE 'Brand#1%'), 0) / sum(n), 6) + 0.0 AS pct_mt FROM counts GROUP BY 1",
+    "read_process": build(L) + ", q AS (SELECT cell_id, sum(n) AS t, count(*) AS g, coalesce(sum(n) FILTER (WHERE gene LIKE 'Brand#1%'), 0) / sum(n) AS mt FROM counts GROUP BY 1) SELECT cell_id, CASE WHEN gene LIKE 'Brand#1%' THEN 'MT-' || gene ELSE gene END AS gene, round(n, 6) + 0.0 AS n FROM counts JOIN q USING (cell_id) WHERE t > 200 AND g > 8 AND g < 24 AND mt < 0.25",
+    "process_total": build(L) + " SELECT cell_id, gene, round(1e4 * n / total, 6) + 0.0 AS value FROM counts JOIN tot USING (cell_id)",
+    "process_variable": build(D) + ", e AS (SELECT cell_id, gene, ln(1 + 1e4 * n / total) AS value FROM d_cnt JOIN d_tot USING (cell_id)), k AS (SELECT count(*)::DOUBLE AS k FROM d_tot), s AS (SELECT gene, sum(value) / any_value(k) AS m, greatest(0, sum(value * value) - sum(value) * sum(value) / any_value(k)) / (any_value(k) - 1) AS v, count(*) AS n, sum(value) AS total FROM e CROSS JOIN k GROUP BY 1) SELECT gene, n, round(total, 6) + 0.0 AS total FROM s WHERE m > 0.0125 AND m < 3 AND v / m > 0.5 AND gene NOT IN ('the', 'of')",
+    "process_scaled": build(L) + ", c AS (SELECT count(DISTINCT cell_id) AS c FROM counts) SELECT 'expr' AS name, count(*) AS n FROM expr UNION ALL SELECT 'scaled', count(*) FROM expr UNION ALL SELECT 'pca', c FROM c UNION ALL SELECT 'knn', c * 3 FROM c",
+    "simple_markers": build(D, grid(), simple(10), SINGLE.format(out="m", source="elig")) + f" SELECT * FROM (SELECT grp, gene, {r('score')}, {ranks('score')} FROM m) WHERE grp = 'en' AND rank <= 10",
+    "corr_store": build(L, CORR) + f" SELECT condition, gene, round(corr, 6) + 0.0 AS corr, round(corr * sqrt((n - 2) / (1 - corr * corr)), 6) + 0.0 AS t, n::BIGINT AS n FROM corr JOIN nn USING (condition) WHERE condition IN ('BUILDING', 'MACHINERY') AND gene <> 'Brand#11'",
+    "clustermap_genes": build(L, CORR) + " SELECT gene, " + ", ".join(f"round(\"{c}_corr\", 6) + 0.0 AS \"{c}_corr\"" for c in CONDITIONS) + " FROM matrix ORDER BY round((" + " + ".join(f"abs(\"{c}_corr\")" for c in CONDITIONS) + ") / 5, 9) DESC, gene LIMIT 7",
+    "graph_nodes": build(D, grid("lang3")) + " SELECT grp, n_cells, round(sqrt(n_cells) * 10, 6) + 0.0 AS size FROM groups",
+    "graph_gene_edges": build(*D3_ALL, rises()) + ", w AS (SELECT a AS start, b AS finish FROM edges UNION ALL SELECT b, a FROM edges) SELECT w.start, w.finish AS \"end\", round(fc, 6) + 0.0 AS fc, CASE WHEN fc >= 6 THEN 4 WHEN fc >= 5 THEN 3 WHEN fc >= 4 THEN 2 WHEN fc >= 3 THEN 1 ELSE 0 END::BIGINT AS bin FROM w LEFT JOIN fc ON fc.start = w.start AND fc.finish = w.finish AND gene = 'der'",
+    "node_cast": build(E, grid("label"), near()) + " SELECT a::BIGINT AS a, b::BIGINT AS b FROM edges",
+    "marker_rank_fn": build(*D3_SCORES) + f" SELECT * FROM (SELECT grp, gene, round(local_score, 6) + 0.0 AS score, {ranks('local_score')} FROM scored) WHERE rank <= 10",
+    "knn_probed": build(E) + f" SELECT src, dst, {r('dist')}, place FROM knn",
 }
+ORACLES["corr_store_network"] = ORACLES["gene_network"]

@@ -21,8 +21,9 @@ def read_process(counts: DataFrame, species: str = "human", min_counts: float =
 def process(counts: DataFrame, steps: str = "nlfspk", removed: DataFrame | None = None, n_pcs: int = 50, n_neighbors: int = 10) -> dict[str, DataFrame]:
     """Tables by name: expr, and where asked for variable, scaled, pca, knn.
 
-    n normalises (l takes the logarithm; the two are one step here), f keeps variable genes, r
-    removes the genes of ``removed``, s scales, p takes principal components, k finds neighbours.
+    n scales a cell's counts to one total, l takes log1p (its result stays as raw), f keeps variable
+    genes, r removes the genes of ``removed`` (gene), s scales, p takes principal components, k
+    finds neighbours.
     """
     unknown = sorted(set(steps) - set(ORDER))
     if unknown:
@@ -32,8 +33,14 @@ def process(counts: DataFrame, steps: str = "nlfspk", removed: DataFrame | None
             raise NotImplementedError(f"{OUT_OF_SCOPE[step]} have no distributed form here")
     cells = counts.select("cell_id").distinct()
     n = cells.count()
-    expr = stats.normalize(counts) if set(steps) & set("nl") else counts.select("cell_id", "gene", F.col("n").alias("value"))
+    expr = counts.select("cell_id", "gene", F.col("n").alias("value"))
+    if "n" in steps:
+        expr = stats.to_total(counts)
+    if "l" in steps:
+        expr = expr.withColumn("value", F.log1p("value"))
     found = {"expr": expr}
+    if "l" in steps or "f" in steps:
+        found["raw"] = expr
     if "f" in steps:
         found["variable"] = graph.variable_genes(expr, expr, n)
         found["expr"] = expr = genes.keep(expr, found["variable"])

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import edge_ends, edge_name, fc_bin, numeric_order
-from .lineage import cut
+from .lineage import cut, few, folder as shared_folder
 from .model import Dataset
 from .operators import annotate, batch, corr, edges, genes, graph, hierarchy, labels, ranktest, score, simple, stats, sweep, transfer
-from .plans import marker
-from .sources import bindings, gene_sets
+from .plans import hierarchy as hierarchies
+from .plans import marker, network, process
+from .sources import bindings, corr_db, gene_sets
 from .sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,8 +32,8 @@ def r6(*names: str) -> list[Column]:
     return [(F.round(F.col(n), 6) + F.lit(0.0)).alias(n) for n in names]
 
 
-def _grid(spark: SparkSession, folder: str, label: str = "lang", **options) -> DataFrame:
-    data = bindings.documents(spark, folder)
+def _grid(spark: SparkSession, folder: str, label: str = "lang", data: Dataset | None = None, **options) -> DataFrame:
+    data = data or bindings.documents(spark, folder)
     return cut(stats.grid(data.expr, data.obs, label, **options))
 
 
@@ -41,7 +43,7 @@ def _edges(grid: DataFrame, k: int = 2) -> DataFrame:
 
 def _short(spark: SparkSession, folder: str) -> DataFrame:
     """A table of gene sets made from the tokens: short ones, and ones with an n."""
-    names = bindings.documents(spark, folder).expr.select("gene").distinct()
+    names = cut(bindings.documents(spark, folder).expr.select("gene").distinct())
     return names.where(F.length("gene") <= 3).select(F.lit("short").alias("category"), "gene").union(names.where(F.col("gene").contains("n")).select(F.lit("with_n").alias("category"), "gene"))
 
 
@@ -91,7 +93,7 @@ def bundled_gene_sets(spark, folder):
 
 @query
 def group_sizes(spark, folder):
-    return stats.group_sizes(bindings.documents(spark, folder).obs, "lang", exclude=["es"]).select("grp", F.col("idx").cast("long").alias("idx"), "n_cells")
+    return stats.group_sizes(bindings.document_obs(spark, folder), "lang", exclude=["es"]).select("grp", F.col("idx").cast("long").alias("idx"), "n_cells")
 
 
 @query
@@ -197,8 +199,8 @@ def fc_delta(spark, folder):
     return edges.fc_delta(grid, _edges(grid)).select("start", "end", "gene", *r6("fc", "delta"))
 
 
-def _edge_gene(spark, folder, label="lang", **options):
-    grid = _grid(spark, folder, label)
+def _edge_gene(spark, folder, label="lang", data=None, **options):
+    grid = _grid(spark, folder, label, data)
     near = _edges(grid, 11 if label == "lang3" else 2)  # twelve groups: all pairs
     return grid, near, cut(edges.fc_delta(grid, near, **options))
 
@@ -323,26 +325,27 @@ def fc_sweep_auto(spark, folder):
     return found.select(*r6("threshold"), "n_pairs", "n_genes", "n_edges_covered", "n_edges_uncovered")
 
 
-def _means(spark, folder, found=None):
-    data = bindings.documents(spark, folder)
+def _means(data, found=None):
     return batch.batch_means(data.expr, data.obs, "lang", "source", 5, found)
 
 
 @query
 def batch_group_mean(spark, folder):
     wanted = spark.createDataFrame([(x,) for x in GENES], "gene string")
-    return _means(spark, folder, wanted).select("grp", "batch", "gene", "n_cells", *r6("mean", "frac"))
+    return _means(bindings.documents(spark, folder), wanted).select("grp", "batch", "gene", "n_cells", *r6("mean", "frac"))
 
 
 @query
 def batch_detail(spark, folder):
-    found = _edge_gene(spark, folder)[2]
-    return batch.detail(found, _means(spark, folder, found), "en", "the").select("start", "end", "side", "batch", "n_cells", *r6("mean"))
+    data = bindings.documents(spark, folder)
+    found = _edge_gene(spark, folder, data=data)[2]
+    return batch.detail(found, _means(data, found), "en", "the").select("start", "end", "side", "batch", "n_cells", *r6("mean"))
 
 
 def _welch(spark, folder):
-    found = _edge_gene(spark, folder)[2]
-    return batch.welch(found, _means(spark, folder, found))
+    data = bindings.documents(spark, folder)
+    found = _edge_gene(spark, folder, data=data)[2]
+    return batch.welch(found, _means(data, found))
 
 
 @query
@@ -420,13 +423,13 @@ def gene_network(spark, folder):
 @query
 def corr_gene_gene(spark, folder):
     data = bindings.documents(spark, folder)
-    return corr.gene_gene(data.expr, data.obs.count(), spark.createDataFrame([(x,) for x in GENES], "gene string")).select("a", "b", *r6("corr"))
+    return corr.gene_gene(data.expr, data.obs.count(), data.expr.select("gene")).select("a", "b", *r6("corr"))
 
 
 @query
 def network_edges(spark, folder):
     data = bindings.documents(spark, folder)
-    found = corr.gene_gene(data.expr, data.obs.count(), spark.createDataFrame([(x,) for x in GENES], "gene string"))
+    found = corr.gene_gene(data.expr, data.obs.count(), data.expr.select("gene"))
     return corr.pruned(found, 0.3).select("a", "b", *r6("corr"))
 
 
@@ -545,9 +548,12 @@ def viewer_payload(spark, folder):
     centres = graph.centroids(data.coords, hierarchy.cell_ids(cells, ids).withColumnRenamed("icls", "grp"))
     found = None
     for name, label in (("g0", "l0"), ("g1", "l1"), ("g2", "label")):
-        own = simple.ranked(simple.find(stats.grid(data.expr, data.obs, label), "single", gap=0.05)).select(F.lit(name).alias("resolution"), "grp", "gene", "rank")
+        own = simple.ranked(simple.find(stats.grid(data.expr, data.obs, label), "single", gap=0.02, min_mean=0.02)).select(F.lit(name).alias("resolution"), "grp", "gene", "rank")
         found = own if found is None else found.union(own)
-    return hierarchy.payload(ids, hierarchy.marker_rank(found, 5), centres)
+    shown = hierarchy.payload(ids, hierarchy.marker_rank(found, 5), centres)
+    kind = "path string, n long, x double, y double, genes_g0 array<string>, genes_g1 array<string>, genes_g2 array<string>"
+    read_back = shown.select("icls", F.from_json("json", kind).alias("p")).select("icls", "p.*")
+    return read_back.select("icls", "path", "n", *r6("x", "y"), *[F.concat_ws(",", f"genes_g{k}").alias(f"genes_g{k}") for k in range(3)])
 
 
 @query
@@ -561,7 +567,7 @@ def group_order(spark, folder):
     """Groups in viewer order: whole numbers by value, then names."""
     from pyspark.sql import Window
 
-    names = bindings.embeddings(spark, folder).obs.select("label").distinct().union(bindings.documents(spark, folder).obs.select("lang").distinct())
+    names = bindings.embeddings(spark, folder).obs.select("label").distinct().union(bindings.document_obs(spark, folder).select("lang").distinct())
     return names.select(F.col("label").alias("grp"), F.row_number().over(Window.orderBy(*numeric_order(F.col("label")))).cast("long").alias("place"))
 
 
@@ -585,12 +591,12 @@ def update_label(spark, folder):
 
 @query
 def remove_minor(spark, folder):
-    return annotate.major(bindings.documents(spark, folder).obs, "lang3", 100).select("cell_id", "lang3", "lang3_major")
+    return annotate.major(bindings.document_obs(spark, folder), "lang3", 100).select("cell_id", "lang3", "lang3_major")
 
 
 @query
 def fill_columns(spark, folder):
-    a, b = annotate.fill_columns(bindings.events(spark, folder).obs, bindings.documents(spark, folder).obs.where("lang = 'es'"))
+    a, b = annotate.fill_columns(bindings.events(spark, folder).obs, bindings.document_obs(spark, folder).where("lang = 'es'"))
     return a.unionByName(b).select("cell_id", "cluster", "lang", "source", "lang3")
 
 
@@ -603,7 +609,7 @@ def predict_high(spark, folder):
 
 @query
 def select_groups(spark, folder):
-    return annotate.select_groups(bindings.documents(spark, folder).obs, "lang", exclude="es, fr").groupBy("lang").agg(F.count("*").alias("n"))
+    return annotate.select_groups(bindings.document_obs(spark, folder), "lang", exclude="es, fr").groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query
@@ -615,7 +621,7 @@ def common_genes(spark, folder):
 
 @query
 def class_sample(spark, folder):
-    return annotate.class_sample(bindings.documents(spark, folder).obs, "lang", 50)
+    return annotate.class_sample(bindings.document_obs(spark, folder), "lang", 50)
 
 
 @query
@@ -631,8 +637,19 @@ def roc_auc(spark, folder):
     data = bindings.embeddings(spark, folder)
     truth = data.obs.select("cell_id", F.col("label").alias("grp"))
     shares = graph.impute_labels(_knn(data, 10, False), truth)
-    every = truth.select("cell_id").crossJoin(F.broadcast(truth.select("grp").distinct())).join(shares, ["cell_id", "grp"], "left").fillna(0.0)
-    return transfer.auc(every.withColumnsRenamed({"grp": "class", "share": "p"}), truth).select("class", *r6("auc"))
+    return transfer.auc(_every_share(truth, shares), truth).select("class", *r6("auc"))
+
+
+def _every_share(truth, shares):
+    every = truth.select("cell_id").crossJoin(few(truth.select("grp").distinct())).join(shares, ["cell_id", "grp"], "left").fillna(0.0)
+    return every.withColumnsRenamed({"grp": "class", "share": "p"})
+
+
+@query
+def roc_points(spark, folder):
+    data = bindings.embeddings(spark, folder)
+    truth = data.obs.select("cell_id", F.col("label").alias("grp"))
+    return transfer.roc(_every_share(truth, graph.impute_labels(_knn(data, 10, False), truth)), truth, "3").select(*r6("threshold", "fpr", "tpr"))
 
 
 @query
@@ -655,3 +672,158 @@ def normalize_zero_fill(spark, folder):
     cells = annotate.select_groups(data.obs, "lang", "en, de").select("cell_id", "lang")
     wanted = spark.createDataFrame([(x,) for x in GENES], "gene string")
     return cells.crossJoin(F.broadcast(wanted)).join(data.expr, ["cell_id", "gene"], "left").fillna(0.0).select("cell_id", "lang", "gene", *r6("value"))
+
+
+@query
+def resolve_expression(spark, folder):
+    """Counts aren't log1p values, so the raw table is taken."""
+    counts = cut(bindings.line_counts(spark, folder))
+    table, source = stats.resolve_expression(counts.select("cell_id", "gene", F.col("n").alias("value")), bindings.normalised(counts))
+    return table.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.lit(source).alias("source"), "n", *r6("total"))
+
+
+def _mito_counts(spark, folder):
+    return bindings.line_counts(spark, folder).withColumn("gene", F.when(F.col("gene").startswith("Brand#1"), F.concat(F.lit("MT-"), "gene")).otherwise(F.col("gene")))
+
+
+@query
+def qc_mito(spark, folder):
+    return stats.qc_metrics(_mito_counts(spark, folder), stats.mito_gene(F.col("gene"))).select("cell_id", *r6("total_counts"), "n_genes", *r6("pct_mt"))
+
+
+@query
+def read_process(spark, folder):
+    return process.read_process(_mito_counts(spark, folder), min_counts=200, min_genes=8, max_genes=24, max_mito=0.25).select("cell_id", "gene", *r6("n"))
+
+
+@query
+def process_total(spark, folder):
+    return process.process(cut(bindings.line_counts(spark, folder)), "n")["expr"].select("cell_id", "gene", *r6("value"))
+
+
+@query
+def process_variable(spark, folder):
+    """Steps n, l, f and r: what is left by gene."""
+    removed = spark.createDataFrame([("the",), ("of",)], "gene string")
+    found = process.process(cut(bindings.document_counts(spark, folder)), "rfln", removed)["expr"]
+    return found.groupBy("gene").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("gene", "n", *r6("total"))
+
+
+@query
+def process_scaled(spark, folder):
+    """Steps n, l and s, then components and neighbours: how many rows each table has."""
+    found = process.process(cut(bindings.line_counts(spark, folder)), "nlspk", n_pcs=4, n_neighbors=3)
+    rows = None
+    for name in ("expr", "scaled", "pca", "knn"):
+        own = found[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
+@query
+def simple_markers(spark, folder):
+    data = bindings.documents(spark, folder)
+    found = simple.SimpleMarkers(data.expr, data.obs, "lang").show("en", 10)
+    return found.select("grp", "gene", *r6("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _stored(spark, folder):
+    """A correlation store of one gene by segment."""
+    data = bindings.line_items(spark, folder)
+    found = _by_condition(spark, folder).where("corr is not null").select(F.col("condition").alias("cell_type"), F.lit("Brand#11").alias("gene_a"), F.col("gene").alias("gene_b"), F.col("corr").alias("r"))
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    corr_db.write(found, data.obs.groupBy(F.col("segment").alias("cell_type")).agg(F.count("*").alias("n")), path)
+    return path
+
+
+@query
+def corr_store(spark, folder):
+    found = corr_db.load(spark, _stored(spark, folder), "Brand#11", ["BUILDING", "MACHINERY"])
+    return found.where("gene <> 'Brand#11'").select("condition", "gene", *r6("corr", "t"), "n")
+
+
+@query
+def corr_store_pvalues(spark, folder):
+    return corr_db.with_p(corr_db.load(spark, _stored(spark, folder), "Brand#11")).select("condition", "gene", *r6("corr", "pval"))
+
+
+@query
+def corr_store_network(spark, folder):
+    return network.from_store(spark, _stored(spark, folder), "Brand#11", n=5, k=3)[2].select("a", "b", *r6("dist", "weight"))
+
+
+@query
+def clustermap_genes(spark, folder):
+    found = corr.strongest(_matrix(spark, folder), 7)
+    return found.select("gene", *r6(*[f"{c}_corr" for c in CONDITIONS]))
+
+
+@query
+def graph_nodes(spark, folder):
+    return _run(spark, folder).nodes().select("grp", "n_cells", *r6("size"))
+
+
+@query
+def graph_gene_edges(spark, folder):
+    """The edges of one gene, with the bin of its change."""
+    found = _run(spark, folder).gene_edges("der")
+    return found.select("start", "end", *r6("fc"), F.col("bin").cast("long").alias("bin"))
+
+
+@query
+def node_cast(spark, folder):
+    """Edges between numbered groups have whole numbers as ends."""
+    data = bindings.embeddings(spark, folder)
+    grid = cut(stats.grid(data.expr, data.obs, "label"))
+    return edges.cast_nodes(_edges(grid), ["a", "b"])
+
+
+@query
+def marker_rank_fn(spark, folder):
+    """Ranks by a score of one's own."""
+    found = _run(spark, folder, score_fn=lambda rows: rows["local_score"]).markers(10)
+    return found.select("grp", "gene", *r6("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _hierarchy(spark, folder) -> hierarchies.HierarchyResult:
+    data = bindings.embeddings(spark, folder)
+    markers = {label: simple.ranked(simple.find(stats.grid(data.expr, data.obs, label), "single", gap=0.02, min_mean=0.02)) for label in ("l0", "l1", "label")}
+    return hierarchies.run(data, markers, min_cells=20, n_top=5, batch="batch", knn=_knn(data))
+
+
+@query
+def hierarchy_compare(spark, folder):
+    found = _hierarchy(spark, folder).compare("0")
+    return found.select("gene", *[F.col(x).cast("long").alias(x) for x in ("p0", "p1", "p2", "place")])
+
+
+@query
+def hierarchy_compare_batch(spark, folder):
+    found = _hierarchy(spark, folder).compare_batch("0")
+    long = [F.col(x).cast("long").alias(x) for x in ("place", "level", "present", "strip")]
+    return found.select("gene", "grp", "batch", "n_cells", "active", *long, *r6("share"))
+
+
+@query
+def hierarchy_strips(spark, folder):
+    return _hierarchy(spark, folder).strip_payload()
+
+
+@query
+def logistic_auc(spark, folder):
+    data = bindings.embeddings(spark, folder)
+    proba, truth, _ = transfer.logistic_model(data.expr, data.obs.select("cell_id", F.col("label").alias("grp")), max_iter=20)
+    return transfer.auc(proba, truth).select("class", *r6("auc"))
+
+
+@query
+def knn_probed(spark, folder):
+    """Neighbours by cells, all of which are probed: nothing is lost."""
+    found = graph.knn_probed(bindings.embeddings(spark, folder).coords, probes=1 << 20, cell=64)
+    return found.select("src", "dst", *r6("dist"), F.col("place").cast("long").alias("place"))
+
+
+@query
+def cell_network(spark, folder):
+    found = network.of_cells(bindings.embeddings(spark, folder), "label", scale=4, per_bin=3, cutoff=0.1, max_mean=10.0, min_dispersion=0.0, min_cells=5)
+    return found["edges"].select("a", "b", *r6("corr"))

@@ -5,34 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..model import Dataset
-from .tables import read
+from .tables import read, spread
 
 TOKEN = "^[a-zà-ÿ]{2,12}\\z"
 
 
 def normalised(counts: DataFrame, target: float = 1e4) -> DataFrame:
-    """(cell_id, gene, value): ln(1 + target * n / total of the cell); totals are folded before they are joined."""
+    """(cell_id, gene, value): ln(1 + target * n / total of the cell); totals are folded before they are joined.
+
+    The counts are read twice: give them written.
+    """
     total = counts.groupBy("cell_id").agg(F.sum("n").alias("total"))
     return counts.join(total, "cell_id").select("cell_id", "gene", F.log1p(F.lit(target) * F.col("n") / F.col("total")).alias("value"))
 
 
 def document_counts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read(spark, folder, "documents").where("doc_id is not null")
-    tokens = docs.select(F.col("doc_id").cast("string").alias("cell_id"), F.explode(F.split(F.lower("text"), " ")).alias("gene"))
-    return tokens.where(F.col("gene").rlike(TOKEN)).groupBy("cell_id", "gene").agg(F.count("*").cast("double").alias("n"))
+    docs = spread(read(spark, folder, "documents").where("doc_id is not null").select("doc_id", "text"))
+    tokens = docs.select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("gene"))
+    counts = tokens.where(F.col("gene").rlike(TOKEN)).groupBy("doc_id", "gene").agg(F.count("*").cast("double").alias("n"))
+    return counts.select(F.col("doc_id").cast("string").alias("cell_id"), "gene", "n")
 
 
 def documents(spark: SparkSession, folder: str, min_cells: int = 20) -> Dataset:
-    """D: documents are cells, tokens are genes, languages are groups, sources are batches."""
-    counts = document_counts(spark, folder)
+    """D: documents are cells, tokens are genes, languages are groups, sources are batches.
+
+    The texts are split once: their counts are written, and the totals of cells, the frequencies
+    of genes and the values all read those.
+    """
+    counts = cut(document_counts(spark, folder))
     value = normalised(counts)
     common = counts.groupBy("gene").agg(F.count("*").alias("cells")).where(F.col("cells") >= min_cells).select("gene")
-    obs = read(spark, folder, "documents").where("doc_id is not null").select(
+    return Dataset(value.join(common, "gene", "left_semi").select("cell_id", "gene", "value"), document_obs(spark, folder))
+
+
+def document_obs(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").where("doc_id is not null").select(
         F.col("doc_id").cast("string").alias("cell_id"), F.col("lang").alias("lang"), F.col("source").alias("source"),
         F.concat("lang", F.lit("_"), (F.substring("source", 4, 9).cast("int") % 3).cast("string")).alias("lang3"),
     )
-    return Dataset(value.join(common, "gene", "left_semi").select("cell_id", "gene", "value"), obs)
 
 
 def embeddings(spark: SparkSession, folder: str) -> Dataset:
@@ -60,7 +72,7 @@ def line_counts(spark: SparkSession, folder: str) -> DataFrame:
 def line_items(spark: SparkSession, folder: str) -> Dataset:
     """L: customers are cells, brands are genes, nations are groups, segments are batches."""
     obs = read(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("cell_id"), F.col("c_nationkey").cast("string").alias("nation"), F.col("c_mktsegment").alias("segment"))
-    return Dataset(normalised(line_counts(spark, folder)), obs)
+    return Dataset(normalised(cut(line_counts(spark, folder))), obs)
 
 
 def events(spark: SparkSession, folder: str) -> Dataset:
