@@ -1,11 +1,13 @@
 """Approximate nearest neighbours with a hierarchical k-means tree.
 
 The tree is fitted on a bounded sample of unit vectors; every vector of the table is then put in
-the leaf that it descends to. A query walks the tree best bin first: a priority queue holds nodes
-by their distance to the query, the nearest is popped, an inner node pushes its children and a
-leaf is visited. The number of leaves to visit is widened until the recall on sample queries,
-against brute force over the sample, reaches the target; a query goes on beyond it while its
-leaves hold too few rows. Leaves lie in pages of bounded size; a task searches, for the queries
+the leaf that it descends to. Leaves that hold too many rows of the table are grown on by trees of
+their own, each fitted on a bounded sample of the leaf's rows, so that leaves stay small however
+large the table is (up to NODES nodes; from there on they grow with it). A query walks the tree
+best bin first: a priority queue holds nodes by their distance to the query, the nearest is
+popped, an inner node pushes its children and a leaf is visited. The number of leaves to visit is
+widened until the recall on sample queries, against brute force over the whole table, reaches the
+target; a query goes on beyond it while its leaves hold too few rows. Leaves lie in pages of bounded size; a task searches, for the queries
 that visit a page, the rows of the visited leaves, by exact cosines in double precision on the
 original vectors, and returns k rows a query and page.
 
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import shipped
-from .common import cut
+from .common import cut, discard
 
 #: Vectors at most from which the tree is fitted, and on which recall is calibrated.
 SAMPLE = 20_000
@@ -33,6 +35,8 @@ CALIBRATION = 256
 BRANCH = 8
 LEAF = 48
 RECALL = 0.97
+#: Rows of a leaf above which it is grown on, rows that one leaf's tree is fitted on, and nodes of all, about.
+LEAF_ROWS, LEAF_SAMPLE, NODES = 4096, 2048, 100_000
 #: Rows of one page of leaves, and queries that meet it, at most.
 BLOCK = 8192
 CHUNK = 65_536
@@ -123,23 +127,30 @@ def build(unit: np.ndarray, branch: int = BRANCH, leaf: int = LEAF, seed: int =
     return Tree(np.array(centres), np.array(first), np.array(n))
 
 
-def calibrate(tree: Tree, unit: np.ndarray, k: int, recall: float = RECALL, queries: int = CALIBRATION) -> int:
-    """The least number of leaves (from a geometric widening) with the wanted recall on sample queries."""
-    n_leaves = len(tree.leaves)
-    if len(unit) <= k + 1 or n_leaves == 1:
-        return n_leaves
-    asked = np.linspace(0, len(unit) - 1, min(queries, len(unit))).astype(int)
-    near = unit[asked] @ unit.T
-    near[np.arange(len(asked)), asked] = -np.inf
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    leaf = tree.descend(unit)
-    order = tree.walk(unit[asked], n_leaves)
-    place = np.full((len(asked), len(tree.n)), n_leaves)
-    for i, own in enumerate(order):
-        place[i, own] = np.arange(len(own))
-    needed = place[np.arange(len(asked))[:, None], leaf[best]]  # leaves before each true neighbour
+def grown(tree: Tree, parts: dict[int, Tree]) -> Tree:
+    """The tree with other trees in the places of some of its leaves."""
+    centres, first, n = [tree.centres], [tree.first.copy()], [tree.n.copy()]
+    size = len(tree.n)
+    for leaf, part in sorted(parts.items()):
+        if len(part.n) > 1:  # its root is the leaf itself
+            first[0][leaf], n[0][leaf] = size + part.first[0] - 1, part.n[0]
+            centres.append(part.centres[1:])
+            first.append(np.where(part.n[1:] > 0, size + part.first[1:] - 1, 0))
+            n.append(part.n[1:])
+            size += len(part.n) - 1
+    return Tree(np.concatenate(centres), np.concatenate(first), np.concatenate(n))
+
+
+def calibrate(tree: Tree, unit: np.ndarray, leaves: list[np.ndarray], held: dict[int, int], recall: float = RECALL) -> int:
+    """The least number of leaves (from a geometric widening) with the wanted recall.
+
+    unit: queries; leaves: for each the leaves of its true neighbours; held: the leaves that hold rows.
+    """
+    n_leaves = max(1, len(held))
+    order = tree.walk(unit, n_leaves, held)
+    needed = [own.index(leaf) if leaf in own else n_leaves for own, near in zip(order, leaves, strict=True) for leaf in near.tolist()]
     visits = 1
-    while visits < n_leaves and (needed < visits).mean() < recall:
+    while needed and visits < n_leaves and np.mean(np.array(needed) < visits) < recall:
         visits = max(visits + 1, int(visits * 1.15))
     return min(visits, n_leaves)
 
@@ -184,12 +195,71 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def nearest(vectors: DataFrame, queries: Column, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 5, sample: int = SAMPLE, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
+def _placed(kept: DataFrame, tree: Tree, dim: int) -> DataFrame:
+    """(leaf, id, vector), written."""
+    model = kept.sparkSession.sparkContext.broadcast(tree)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                leaves = model.value.descend(_unit(_matrix(batch.column("vector"), dim)))
+                yield pa.RecordBatch.from_arrays([pa.array(leaves.astype(np.int32)), batch.column("id"), batch.column("vector")], names=["leaf", "id", "vector"])
+
+    return cut(shipped(kept).mapInArrow(place, "leaf int, id long, vector array<double>"))
+
+
+def _parts(placed: DataFrame, large: dict[int, int], upto: int, dim: int) -> dict[int, Tree]:
+    """A tree for each large leaf, fitted where about LEAF_SAMPLE of its rows, chosen by hash, meet."""
+    spread = 1 << 30
+    share = F.create_map(*[F.lit(x) for leaf, n in large.items() for x in (leaf, int(spread * min(1.0, LEAF_SAMPLE / n)) + 1)])
+    some = placed.where(F.pmod(F.xxhash64("id", "vector"), F.lit(spread)) < F.coalesce(F.element_at(share, F.col("leaf")), F.lit(0)))
+
+    def fit(table: pa.Table) -> pa.Table:
+        leaf = table.column("leaf")[0].as_py()
+        unit = _unit(_matrix(table.column("vector"), dim))
+        unit = unit[np.lexsort(unit.T)]  # whatever order the rows came in
+        own = build(unit, leaf=max(1, len(unit) * upto // (2 * large[leaf])))
+        return pa.table({"leaf": pa.array(np.full(len(own.n), leaf, np.int32)), "node": pa.array(np.arange(len(own.n), dtype=np.int32)), "first": pa.array(own.first.astype(np.int32)), "n": pa.array(own.n.astype(np.int32)), "centre": pa.array(list(own.centres), pa.list_(pa.float64()))})
+
+    found = shipped(some).groupBy("leaf").applyInArrow(fit, "leaf int, node int, first int, n int, centre array<double>").toArrow().sort_by([("leaf", "ascending"), ("node", "ascending")])
+    leaves, parts = found.column("leaf").to_numpy(), {}
+    first, n, centres = found.column("first").to_numpy().astype(np.int64), found.column("n").to_numpy().astype(np.int64), _matrix(found.column("centre"), dim)
+    for leaf in np.unique(leaves).tolist():
+        own = leaves == leaf
+        parts[leaf] = Tree(centres[own], first[own], n[own])
+    return parts
+
+
+def _true_leaves(placed: DataFrame, ids: np.ndarray, unit: np.ndarray, k: int, dim: int) -> list[np.ndarray]:
+    """The leaves of the k nearest rows (of other ids) of each query, by brute force over all rows."""
+    asked = placed.sparkSession.sparkContext.broadcast((ids, unit))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_ids, own = asked.value
+        for batch in batches:
+            if batch.num_rows:
+                near = own @ _unit(_matrix(batch.column("vector"), dim)).T
+                other, leaf = batch.column("id").to_numpy(), batch.column("leaf").to_numpy()
+                near[own_ids[:, None] == other[None, :]] = -np.inf
+                top = np.argpartition(-near, min(k, near.shape[1]) - 1, axis=1)[:, :k]
+                score = np.take_along_axis(near, top, 1)
+                q, j = np.nonzero(score > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(other[top[q, j]]), pa.array(leaf[top[q, j]]), pa.array(score[q, j])], names=["query", "id", "leaf", "score"])
+
+    found = shipped(placed).mapInArrow(best, "query int, id long, leaf int, score double")
+    once = found.groupBy("query", "id").agg(F.max(F.struct("score", "leaf")).alias("own")).select("query", "id", "own.*")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    rows = once.withColumn("place", place).where(F.col("place") <= k).select("query", "leaf").toPandas()  # k for each query
+    return [rows["leaf"].to_numpy()[rows["query"].to_numpy() == q] for q in range(len(ids))]
+
+
+def nearest(vectors: DataFrame, queries: Column, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 5, sample: int = SAMPLE, recall: float = RECALL, leaf: int = LEAF, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row that ``queries`` selects.
 
     Candidates are all rows with another id; nearness is the cosine; ties go to the smaller id.
-    Rows with a null id, an unusable vector or another dimension than most take no part. Rows that
-    repeat an id count once, by their best score. An empty table gives an empty result.
+    Rows with a null id, an unusable vector (null, zero, or with a null or non-finite component) or
+    another dimension than most, which no cosine is defined with, take no part. Rows that repeat an
+    id count once, by their best score; other columns aren't read. An empty table gives none.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"), queries.alias("asks"))
@@ -200,22 +270,24 @@ def nearest(vectors: DataFrame, queries: Column, id_column: str = "vec_id", vect
     rows = rows.where(F.size("vector") == dim)
     copies = Window.partitionBy("vector").orderBy("id")
     kept = cut(rows.select("id", "vector").distinct().withColumn("copy", F.dense_rank().over(copies)).where(F.col("copy") <= k + 1).drop("copy"))
-    fitted = kept.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
+    fitted = kept.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "vector").toArrow()
     unit = _unit(_matrix(fitted.column("vector"), dim)) if fitted.num_rows else np.zeros((0, dim))
     tree = build(unit, leaf=leaf)
-    tree.visits = calibrate(tree, unit, k, recall)
-    model = spark.sparkContext.broadcast(tree)  # bounded by the sample
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                leaves = model.value.descend(_unit(_matrix(batch.column("vector"), dim)))
-                yield pa.RecordBatch.from_arrays([pa.array(leaves.astype(np.int32)), batch.column("id"), batch.column("vector")], names=["leaf", "id", "vector"])
-
-    placed = shipped(kept).mapInArrow(place, "leaf int, id long, vector array<double>")
+    placed = _placed(kept, tree, dim)
+    counts = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
+    upto = max(leaf_rows, sum(counts.values()) * 8 // NODES)
+    if any(x > upto for x in counts.values()):
+        tree = grown(tree, _parts(placed, {k: x for k, x in counts.items() if x > upto}, upto, dim))
+        before, placed = placed, _placed(kept, tree, dim)
+        discard(before)
     counts = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).collect()  # a row for each leaf
     held = {r["leaf"]: r["ids"] for r in counts}
     pages = paged(tree, {r["leaf"]: r["n"] for r in counts})
+    if len(unit):
+        asked = np.unique(np.linspace(0, len(unit) - 1, min(CALIBRATION, len(unit))).astype(int))
+        near = _true_leaves(placed, fitted.column("id").to_numpy()[asked], unit[asked], k, dim)
+        tree.visits = calibrate(tree, unit[asked], near, held, recall)
+    model = spark.sparkContext.broadcast(tree)  # bounded by the samples and NODES
     asking = rows.where("asks").select("id", "vector").distinct()
     chunks = max(1, -(-asking.count() // CHUNK))
 

@@ -259,23 +259,53 @@ def test_toxicity_odd(spark, odd, empty):
     assert (again.factors == trained.factors).all() and (again.weights == trained.weights).all()  # the order of arrival doesn't matter
 
 
-def test_nearest_recall_and_scores(spark):
+@pytest.mark.parametrize("options", [{}, {"sample": 120, "leaf": 60, "leaf_rows": 25}])
+def test_nearest_recall_and_scores(spark, options):
+    """Every fifth row asks; the second case grows its leaves on."""
     folder = "/root/testdata/sf0.01"
     table = spark.read.parquet(f"{folder}/embeddings.parquet")
     rows = table.orderBy("vec_id").toPandas()
     ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(float)
-    got = ann_tree.nearest(table, F.col("vec_id") % 50 == 0).toPandas()
+    got = ann_tree.nearest(table, F.col("vec_id") % 5 == 0, **options).toPandas()
     hits = 0
-    for i in np.flatnonzero(ids % 50 == 0):
+    for i in np.flatnonzero(ids % 5 == 0):
         score = ann_tree.cosine(x, np.broadcast_to(x[i], x.shape))
         score[i] = -9
         best = ids[np.lexsort((ids, -score))[:5]]
-        own = got[got["query_id"] == ids[i]]
+        own = got[got["query_id"] == ids[i]].sort_values("rank")
         hits += len(set(best) & set(own["vec_id"]))
+        assert own["rank"].tolist() == [1, 2, 3, 4, 5] and own["score"].is_monotonic_decreasing
         assert np.allclose(own["score"], score[np.searchsorted(ids, own["vec_id"])], atol=1e-13)
     assert hits >= 0.9 * len(got)
 
 
+def test_nearest_ties_across_leaves(spark):
+    """Clusters with equal scores in many small leaves: ties go to the smaller id wherever its row lies."""
+    rng = np.random.default_rng(2)
+    rows = [(int(k), (np.round(rng.normal(size=4)) * (1 + k % 3)).tolist()) for k in range(600)]
+    rows = [(k, v if any(v) else [1.0, 0.0, 0.0, 0.0]) for k, v in rows]
+    got = ann_tree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, sample=200, leaf=10, leaf_rows=20, recall=1.0).toPandas()
+    x = np.array([v for _, v in rows])
+    for q in range(0, 600, 50):
+        score = np.round(ann_tree.cosine(x, np.broadcast_to(x[q], x.shape)), 12)
+        score[q] = -9
+        best = np.lexsort((np.arange(600), -score))[:5]
+        own = got[got["query_id"] == q].sort_values("rank")
+        assert np.allclose(own["score"], score[best], atol=1e-11)
+
+
+def test_grown_tree_descends_to_its_parts():
+    rng = np.random.default_rng(1)
+    unit = ann_tree._unit(rng.normal(size=(400, 6)))
+    tree = ann_tree.build(unit, leaf=100)
+    leaves = tree.descend(unit)
+    grown = ann_tree.grown(tree, {int(k): ann_tree.build(unit[leaves == k], leaf=10) for k in np.unique(leaves)})
+    after = grown.descend(unit)
+    assert len(grown.leaves) > len(tree.leaves) and np.bincount(after).max() <= 40 and (grown.n[after] == 0).all()
+    walked = grown.walk(unit[:5], len(grown.leaves))
+    assert all(sorted(x) == sorted(grown.leaves.tolist()) for x in walked)
+
+
 def test_nearest_odd(spark):
     v = [1.0, 2.0]
     rows = [(0, v), (50, [2.0, 4.0]), *[(k, [3.0, 1.0]) for k in range(1, 30)], (100, None), (150, [0.0, 0.0]), (200, [float("nan"), 1.0]), (250, [1.0, None]), (300, [1.0, 2.0, 3.0]), (None, v), (0, v)]
