@@ -648,3 +648,63 @@ def test_pipeline(spark):
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
     packed = corpus_pipeline.run(spark, SMALL).toPandas()
     assert set(packed["doc_id"]) == ids and (packed.groupby("sequence_id")["length"].sum() <= 1024).all()
+    cost = (packed["length"] ** 2).groupby(packed["sequence_id"]).sum()
+    alone = packed.groupby("sequence_id").size() == 1
+    assert packed.groupby("sequence_id").size().max() <= corpus_pipeline.DOCUMENTS and (cost[~alone] <= corpus_pipeline.ATTENTION).all()
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage's rows follow from its own input: quality, line dedup, near dedup and packing worked out by hand."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    every = dict(pairs(docs))
+    rules = quality_rules.fit_texts(docs, labels)
+    kept = dict(pairs(stages["quality"](spark, docs, SMALL)))
+    for i, text in every.items():
+        n = brute_counts(text)
+        counts = quality_rules.count([text.encode()])
+        import pandas as pd
+
+        x = pd.DataFrame({"n_words": counts["n_words"].astype(float)} | {k: np.where(counts[b] > 0, counts[a] / np.maximum(counts[b], 1), 0.0) for k, (a, b) in quality_rules.RATIOS.items()})
+        bad = n[0] < 50 or 100 * n[4] > 50 * n[0] or any(r.covers(x)[0] for r in rules)
+        assert (i in kept) == (not bad) and (bad or kept[i] == text)
+    fresh = stages["line_dedup"](spark, docs, SMALL)
+    assert sorted((False, i, t) for i, t in pairs(fresh)) == brute_lines(list(every.items()))
+    assert fresh.where("n_chars <> char_length(text)").count() == docs.where("n_chars <> char_length(text)").count()
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode()).split()) else set() for i, t in every.items()}
+    root = {i: i for i in sets}
+    for _ in range(3):
+        for i in sorted(sets):
+            for j in sorted(sets):
+                if j < i and root[i] != root[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert {i for i, _ in pairs(stages["near_dedup"](spark, docs, SMALL))} == {i for i in sets if root[i] == i}
+
+
+def test_pipeline_odd(spark, odd, empty):
+    """Nulls, empty and long texts, repeated rows, no rows and clashing columns in every stage and in all together."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{k % 977}x{k % 13}" for k in range(3000))
+    more = spark.createDataFrame([(50, long), (50, long), (None, long), (51, long + " and its end"), (52, None), (None, None)], "doc_id long, text string")
+    clash = {c: F.lit("x") for c in (*CLASH, "_own_score", "_own_bitmap", "_own_stat_n_words", "key", "piece")}
+    table = odd.select("doc_id", "text").unionByName(more).withColumns(clash).withColumns({"n_chars": F.char_length("text").cast("long"), "source": F.lit(None).cast("string")})
+    for name, stage in corpus_pipeline.STAGES:
+        for rows, some in ((table, True), (table.where("false"), False)):
+            found = stage(spark, rows, SMALL)
+            if name != "packing":
+                assert found.columns == rows.columns, name
+                assert found.where("_row_key <> 'x' or _own_score <> 'x' or _own_bitmap <> 'x' or bitmap <> 'x'").count() == 0, name
+            assert bool(found.count()) == some, name
+    near = stages_rows(corpus_pipeline, "near_dedup", spark, table)
+    assert sum(t == long for _, t in near) + sum((t or "").endswith("its end") for _, t in near) == 1  # copies and the near copy
+    assert stages_rows(corpus_pipeline, "line_dedup", spark, table)
+    packed = dict(corpus_pipeline.STAGES)["packing"](spark, table, SMALL).toPandas()
+    assert packed["doc_id"].isna().sum() and (packed.groupby("sequence_id")["length"].sum() <= 1024).all()
+
+
+def stages_rows(pipeline, name, spark, table):
+    return [(r["doc_id"], r["text"]) for r in dict(pipeline.STAGES)[name](spark, table, SMALL).select("doc_id", "text").collect()]
