@@ -144,7 +144,7 @@ def normalize(counts: DataFrame, target: float = 1e4) -> DataFrame:
 def to_total(counts: DataFrame, target: float = 1e4) -> DataFrame:
     """(cell_id, gene, value): counts scaled to a total of ``target`` a cell."""
     total = counts.groupBy("cell_id").agg(F.sum("n").alias("total"))
-    return counts.join(total, "cell_id").select("cell_id", "gene", (F.lit(target) * F.col("n") / F.col("total")).alias("value"))
+    return counts.select("cell_id", "gene", "n").join(total, "cell_id").select("cell_id", "gene", (F.lit(target) * F.col("n") / F.col("total")).alias("value"))
 
 
 def z_scores(expr: DataFrame, n_cells: int, most: float = 10.0) -> DataFrame:

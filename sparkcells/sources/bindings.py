@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
 from ..model import Dataset
-from .tables import read, spread
+from .tables import read
 
 TOKEN = "^[a-zà-ÿ]{2,12}\\z"
 
@@ -18,26 +18,30 @@ def normalised(counts: DataFrame, target: float = 1e4) -> DataFrame:
     The counts are read twice: give them written.
     """
     total = counts.groupBy("cell_id").agg(F.sum("n").alias("total"))
-    return counts.join(total, "cell_id").select("cell_id", "gene", F.log1p(F.lit(target) * F.col("n") / F.col("total")).alias("value"))
+    return counts.select("cell_id", "gene", "n").join(total, "cell_id").select("cell_id", "gene", F.log1p(F.lit(target) * F.col("n") / F.col("total")).alias("value"))
 
 
 def document_counts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(read(spark, folder, "documents").where("doc_id is not null").select("doc_id", "text"))
+    """(cell_id, gene, n, total): the tokens of each document and all that it has of them.
+
+    Texts are dealt by document once, and tokens and totals are both counted where they then lie.
+    """
+    docs = read(spark, folder, "documents").where("doc_id is not null").select("doc_id", "text").repartition("doc_id")
     tokens = docs.select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("gene"))
     counts = tokens.where(F.col("gene").rlike(TOKEN)).groupBy("doc_id", "gene").agg(F.count("*").cast("double").alias("n"))
-    return counts.select(F.col("doc_id").cast("string").alias("cell_id"), "gene", "n")
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("doc_id")))
+    return counts.select(F.col("doc_id").cast("string").alias("cell_id"), "gene", "n", "total")
 
 
 def documents(spark: SparkSession, folder: str, min_cells: int = 20) -> Dataset:
     """D: documents are cells, tokens are genes, languages are groups, sources are batches.
 
-    The texts are split once: their counts are written, and the totals of cells, the frequencies
-    of genes and the values all read those.
+    The texts are split once: their counts are written, and frequencies of genes and values read those.
     """
     counts = cut(document_counts(spark, folder))
-    value = normalised(counts)
+    value = F.log1p(F.lit(1e4) * F.col("n") / F.col("total")).alias("value")
     common = counts.groupBy("gene").agg(F.count("*").alias("cells")).where(F.col("cells") >= min_cells).select("gene")
-    return Dataset(value.join(common, "gene", "left_semi").select("cell_id", "gene", "value"), document_obs(spark, folder))
+    return Dataset(counts.join(common, "gene", "left_semi").select("cell_id", "gene", value), document_obs(spark, folder))
 
 
 def document_obs(spark: SparkSession, folder: str) -> DataFrame:

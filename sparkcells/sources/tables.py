@@ -9,15 +9,6 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores where they are in fewer files than that; a table of many files is left as it is.
-
-    Before work that costs more than moving the rows once.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def write(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> str:
     """Write a result as parquet, sorted by nothing; returns the path."""
     writer = df.write.mode(mode)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sparkcells.functions.special import two_sided_p
 from sparkcells.model import GroupKeyError
-from sparkcells.operators import annotate, batch, corr, edges, genes, hierarchy, labels, score, simple, stats
+from sparkcells.model import Dataset
+from sparkcells.operators import annotate, batch, corr, edges, genes, graph, hierarchy, labels, score, simple, stats, transfer
 
 VALUES = {"c1": "A b1 2 2 0 1 1", "c2": "A b2 4 2 0 0 1", "c3": "B b1 0 4 0 2 1", "c4": "B b2 0 0 0 2 1", "c5": "C b1 0 0 0 0 1", "c6": "C b2 0 0 0 1 1"}
 
@@ -193,3 +194,111 @@ def test_range_of_negative_values(spark):
     with pytest.raises(ValueError):
         stats.resolve_expression(bad)
     assert stats.resolve_expression(bad, bad.withColumn("value", F.lit(2.0)))[1] == "raw"
+
+
+def test_value_check(spark):
+    rows = lambda *x: spark.createDataFrame([("c", "g", float(v)) for v in x], "cell_id string, gene string, value double")
+    with pytest.raises(ValueError):
+        stats.value_check(rows(1, -1))
+    with pytest.warns(UserWarning):
+        stats.value_check(rows(1, 31))
+    assert stats.value_check(rows(1, 2)).first()["passes"]
+
+
+def test_node_cast(spark):
+    whole = spark.createDataFrame([("1", "2"), ("10", "-3")], "a string, b string")
+    mixed = spark.createDataFrame([("1", "x")], "a string, b string")
+    assert {tuple(r) for r in edges.cast_nodes(whole, ["a", "b"]).collect()} == {(1, 2), (10, -3)}
+    assert edges.cast_nodes(mixed, ["a", "b"]).first()["a"] == "1"
+
+
+def test_raw_table(cells):
+    data = Dataset(*cells)
+    assert data.with_raw().raw is cells[0] and data.with_raw().with_raw().raw is cells[0]
+
+
+def test_process_steps(spark):
+    from sparkcells.plans import process
+
+    counts = spark.createDataFrame([("c1", "a", 1.0), ("c1", "b", 3.0), ("c2", "a", 2.0)], "cell_id string, gene string, n double")
+    total = {tuple(r) for r in process.process(counts, "n")["expr"].collect()}
+    assert total == {("c1", "a", 2500.0), ("c1", "b", 7500.0), ("c2", "a", 10000.0)}
+    log = process.process(counts, "l")
+    assert {(r["cell_id"], r["gene"]): round(r["value"], 6) for r in log["raw"].collect()} == {("c1", "a"): 0.693147, ("c1", "b"): 1.386294, ("c2", "a"): 1.098612}
+    assert process.process(counts, "")["expr"].agg(F.sum("value")).first()[0] == 6.0
+    with pytest.raises(NotImplementedError):
+        process.process(counts, "nu")
+
+
+def test_knn_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 5)), 1)  # rounded: ties
+    names = [f"c{k:03d}" for k in range(300)]
+    coords = spark.createDataFrame(list(zip(names, x.tolist(), strict=True)), "cell_id string, vec array<double>")
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for own in (True, False):
+        if not own:
+            np.fill_diagonal(far, np.inf)
+        want = {(names[i], names[j]) for i in range(300) for j in np.lexsort((np.arange(300), far[i]))[:4]}
+        assert {(r["src"], r["dst"]) for r in graph.knn(coords, 4, own, block=70).collect()} == want
+        assert {(r["src"], r["dst"]) for r in graph.knn_probed(coords, 4, own, probes=99, cell=40, block=16).collect()} == want
+    assert graph.recall(graph.knn_probed(coords, 4, False, probes=3, cell=40), coords, 4, False) > 0.7
+
+
+def test_class_sample_of_a_large_class(spark):
+    obs = spark.range(20_000).select(F.col("id").cast("string").alias("cell_id"), F.when(F.col("id") < 10, "rare").otherwise("common").alias("grp"))
+    found = annotate.class_sample(obs, "grp", 100).toPandas()
+    assert found.groupby("grp").size().to_dict() == {"common": 100, "rare": 100} and found[found["grp"] == "common"]["cell_id"].nunique() > 90
+    assert set(found[found["grp"] == "rare"]["cell_id"]) <= {str(k) for k in range(10)}
+
+
+def test_logistic_model(spark):
+    rng = np.random.default_rng(2)
+    expr = [(str(k), f"g{j}", float(v)) for k in range(300) for j, v in enumerate(rng.random(4) + (k % 3 == np.arange(4)) * 2)]
+    cells = spark.createDataFrame([(str(k), f"t{k % 3}") for k in range(300)], "cell_id string, grp string")
+    proba, truth, model = transfer.logistic_model(spark.createDataFrame(expr, "cell_id string, gene string, value double"), cells)
+    n = truth.count()
+    assert 30 < n < 90 and proba.count() == 3 * n and proba.join(truth, "cell_id").count() == 3 * n
+    assert transfer.min_auc(proba, truth) > 0.95
+    points = transfer.roc(proba, truth, "t0").orderBy("threshold").toPandas()
+    assert points["tpr"].is_monotonic_decreasing and points["fpr"].is_monotonic_decreasing and points["tpr"].iloc[0] == points["fpr"].iloc[0] == 1
+    assert model.names.labels == ["t0", "t1", "t2"]
+
+
+def test_hierarchy_plan(spark, tmp_path):
+    from sparkcells.plans import hierarchy as plan
+
+    levels = {k: ("a", "a1", "x") if k < 6 else ("b", "b1", "y") for k in range(12)}
+    obs = spark.createDataFrame([(str(k), *v, f"s{k % 2}") for k, v in levels.items()], "cell_id string, l0 string, l1 string, l2 string, batch string")
+    expr = spark.createDataFrame([(str(k), "up" if k < 6 else "down", 1.0 + k % 2) for k in range(12)] + [(str(k), "both", 1.0) for k in range(12)], "cell_id string, gene string, value double")
+    coords = spark.createDataFrame([(str(k), [float(k), 1.0]) for k in range(12)], "cell_id string, vec array<double>")
+    data = Dataset(expr, obs, coords=coords)
+    markers = {label: simple.ranked(simple.find(stats.grid(expr, obs, label), "single", min_count=0)) for label in ("l0", "l1", "l2")}
+    found = plan.run(data, markers, batch="batch", gene_filter=genes.GeneFilter(spark.createDataFrame([], "category string, gene string"), name_exclude=["zz"]))
+    assert found.min_cells == 1 and found.path("0") == [("g0", "a"), ("g1", "a1"), ("g2", "x")]
+    assert [tuple(r) for r in found.compare("0").select("gene", "p0", "p1", "p2").collect()] == [("up", 1, 1, 1)]
+    strips = {(r["level"], r["batch"]): (r["strip"], r["share"]) for r in found.compare_batch("0").collect()}
+    assert strips == {(k, b): ((1, 1.0) if b == "s1" else (2, 0.5)) for k in range(3) for b in ("s0", "s1")}
+    with pytest.raises(KeyError):
+        found.compare("9")
+    path = found.write_html(str(tmp_path / "page"))
+    page = "\n".join(r["value"] for r in spark.read.text(path).collect())
+    assert page.startswith("<!doctype html>") and "g0@a|g1@a1|g2@x" in page and "ROWS" not in page
+    with pytest.raises(ValueError):
+        plan.run(data, markers).compare_batch("0")
+
+
+def test_strongest(spark):
+    matrix = spark.createDataFrame([("a", 0.1, -0.9), ("b", 0.4, 0.4), ("c", 0.0, 0.1), ("d", -0.5, 0.5)], "gene string, x double, y double")
+    assert [r["gene"] for r in corr.strongest(matrix, 2).collect()] == ["a", "d"]
+
+
+def test_cut_tables(spark):
+    from sparkcells import lineage
+
+    table = lineage.cut(spark.range(5))
+    assert table.count() == 5 and table._written.startswith(spark.sparkContext.getCheckpointDir())
+    lineage.discard(table)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written)
+    assert not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    assert lineage.few(spark.range(5), 3).count() == 5 and lineage.few(spark.range(3), 3).count() == 3
