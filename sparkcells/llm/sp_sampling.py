@@ -8,8 +8,9 @@ maximum of the set's perturbed values as bound (a Gumbel at the set's log mass,
 parent's maximum, since the lattice's backward sums are known). Taking the best set fixes one
 path by sampling its edges and leaves, at each node, the set of the path's untaken siblings.
 
-All rows of a batch are searched at a time. Lattices are built once for each distinct stretch that
-no piece crosses (a word) and kept in flat arrays; paths are walked one edge of every open stretch
+All rows of a batch are searched at a time. A text falls into stretches wherever no piece holds the
+two characters beside a place. Lattices are built once for each distinct stretch and kept in flat
+arrays; paths are walked one edge of every open stretch
 a step; and a row's queue is the bounds of its paths' edges, of which the largest is taken.
 
 Random numbers are hashes of the row's key, the number of the sample and the place in the text, so
@@ -18,7 +19,6 @@ a row is sampled alike in any batch and task.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +42,6 @@ TINY = 1e-12
 #: Chances are whole numbers of 2 ** -BITS where paths are walked, and of 2 ** -FINE where they are
 #: summed, so that no sum depends on what else is in a batch.
 BITS, FINE = 38, 52
-_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+")
 #: Stands for a literal block that isn't a space (a private code point of a lone surrogate).
 _LITERAL = "\udc81"
 
@@ -76,7 +75,6 @@ class Vocabulary:
                 self.surface.append(piece.replace(SPACE, " ").encode())
         self.unknown = min((s for _, s in self.score.values()), default=0.0) - 1.0
         self._table()
-        self.crossing = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.score)
         self.kept = kept
         sizes = np.fromiter(map(len, self.surface), np.int64, len(self.surface))
         self._surface = _Lists(np.uint8)
@@ -99,6 +97,10 @@ class Vocabulary:
         self._scores = np.zeros(len(self.surface))
         for number, score in self.score.values():
             self._scores[number] = score
+        # places where two characters stand beside each other in a piece; what is set by chance only joins stretches
+        self._joined = np.zeros(1 << 22, bool)
+        inner = np.setdiff1d(np.arange(len(codes) - 1), begin[1:] - 1)
+        self._joined[_pair(codes[inner], codes[inner + 1])] = True
         self._reach = np.zeros(int(codes.max(initial=0)) + 2, np.int64)
         np.maximum.at(self._reach, codes[begin], sizes)
 
@@ -111,8 +113,21 @@ class Vocabulary:
 
     def segments(self, text: str) -> list[str]:
         """Stretches of the text that no piece crosses; a space is put before it, as the encoder does."""
-        marked = SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE) if text else ""
-        return [marked] if self.crossing and marked else _SEGMENT.findall(marked)
+        return self.stretches([text])[0]
+
+    def stretches(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The stretches of all texts, one after the other, and how many each has."""
+        marked = [SPACE + x.replace(SPACE, _LITERAL).replace(" ", SPACE) if x else "" for x in texts]
+        blob = "".join(marked)
+        if not blob:
+            return [], np.zeros(len(texts), np.int64)
+        codes = np.frombuffer(blob.encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))
+        split = np.append(~self._joined[_pair(codes[:-1], codes[1:])], True)
+        split[ends[ends > 0] - 1] = True
+        upto = np.flatnonzero(split) + 1
+        found = [blob[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+        return found, np.diff(np.searchsorted(upto, ends, "right"), prepend=0)
 
     def _bytes(self, char: str) -> tuple[int, ...]:
         raw = (SPACE if char == _LITERAL else char).encode("utf-8", "replace")
@@ -242,10 +257,8 @@ class Vocabulary:
 
     def samples(self, texts: list[str], seeds: np.ndarray, k: int) -> list["Drawn"]:
         """The first to the k-th of at most k distinct segmentations of each text, the largest perturbed first."""
-        cut = [self.segments(x) for x in texts]
         n = len(texts)
-        size = np.fromiter(map(len, cut), np.int64, n)
-        flat = [x for own in cut for x in own]
+        flat, size = self.stretches(texts)
         nodes = self.learn(flat)
         lengths = np.fromiter(map(len, flat), np.int64, len(flat))
         row = np.repeat(np.arange(n), size)
@@ -448,6 +461,11 @@ class _Pool:
         self.bound[at] = bound
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A place of 2 ** 22 for two characters."""
+    return (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA6B)) >> np.uint32(10)
+
+
 def _char(codes: np.ndarray) -> np.ndarray:
     return mix((codes.astype(U) + U(1)) * U(BASE))
 
