@@ -38,7 +38,7 @@ RECALL = 0.97
 #: Rows of a leaf above which it is grown on, rows that one leaf's tree is fitted on, and nodes of all, about.
 LEAF_ROWS, LEAF_SAMPLE, NODES = 4096, 2048, 100_000
 #: Rows of one page of leaves, and queries that meet it, at most.
-BLOCK = 8192
+BLOCK = 2048
 CHUNK = 65_536
 
 
