@@ -127,6 +127,7 @@ def test_welch(spark):
     assert [round(found["e",][c], 6) for c in ("t", "df", "ttest_pval")] == [3.638034, 4.849596, 0.015752]
     assert found["x",]["ttest_pval"] is None
     assert batch.significant(batch.welch(rows, table_), 0.01).collect()[0]["end"] == "x"  # undefined is kept
+    assert [(r["grp"], r["gene"], round(r["ttest_pval"], 6), r["ttest_n_start"], r["ttest_n_end"]) for r in batch.summary(batch.with_p(batch.welch(rows, table_))).collect()] == [("e", "g", 0.015752, 3, 4)]
 
 
 def test_hierarchy(spark):

