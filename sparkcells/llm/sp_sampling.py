@@ -36,7 +36,7 @@ SAMPLES = 3
 #: Weight of the vocabulary's scores, which for BPE vocabularies are negative merge ranks.
 WEIGHT = 2e-4
 #: Edges of the lattices that are kept between batches.
-KEPT = 2_000_000
+KEPT = 3_000_000
 #: Chances left below this count as none.
 TINY = 1e-12
 #: Chances are whole numbers of 2 ** -BITS where paths are walked, and of 2 ** -FINE where they are
@@ -51,8 +51,8 @@ class Vocabulary:
 
     Nodes of all lattices are numbered one after the other, a stretch of n characters has n + 1;
     the edges of node i are first[i] .. first[i + 1] - 1, the likeliest first, with their end (to),
-    log chance given the node (log), the log of the others' (rest), running chance (upto, in
-    2 ** -BITS) and ids.
+    log chance given the node (log, in 2 ** -32), the log of the others' (rest), running chance
+    (upto, in 2 ** -BITS) and id (number; below zero: a character spelt in bytes).
     """
 
     def __init__(self, path: str, weight: float = WEIGHT, kept: int = KEPT):
@@ -108,8 +108,8 @@ class Vocabulary:
         self.places: dict[str, int] = {}
         self.first, self.to, self.start = (_Array(np.int32) for _ in range(3))
         self.first.add(np.zeros(1, np.int32))
-        self.log, self.rest, self.upto = _Array(float), _Array(float), _Array(np.int64)
-        self.ids = _Lists()
+        self.log, self.rest, self.upto = _Array(np.int64), _Array(float), _Array(np.int64)
+        self.number, self.spelt = _Array(np.int32), _Lists()
 
     def segments(self, text: str) -> list[str]:
         """Stretches of the text that no piece crosses; a space is put before it, as the encoder does."""
@@ -137,10 +137,12 @@ class Vocabulary:
         """The first node of each stretch; new ones get a lattice."""
         if len(self.to) > self.kept:
             self._clear()
-        new = [x for x in dict.fromkeys(segments) if x not in self.places]
-        if new:
-            self._build(new)
-        return np.fromiter(map(self.places.__getitem__, segments), np.int64, len(segments))
+        get = self.places.get
+        found = list(map(get, segments))
+        if None in found:
+            self._build(list(dict.fromkeys([x for x, place in zip(segments, found, strict=True) if place is None])))
+            found = list(map(get, segments))
+        return np.array(found, np.int64)
 
     def _pieces(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, length, id) of every piece that stands at a place of the stretches; left: characters to the stretch's end."""
@@ -206,15 +208,9 @@ class Vocabulary:
         inside = running - np.repeat(np.append(0, running[final])[:-1], many)
         inside = np.minimum(inside, 1 << BITS)
         inside[final] = 1 << BITS
-        plain = number >= 0
-        count = np.ones(len(number), np.int64)
-        count[~plain] = [len(bytes_[-1 - k]) for k in number[~plain].tolist()]
-        begin = np.cumsum(count) - count
-        flat = np.empty(int(count.sum()), np.int32)
-        flat[begin[plain]] = number[plain]
-        spelt = [x for k in number[~plain].tolist() for x in bytes_[-1 - k]]
-        flat[_ranges(begin[~plain], begin[~plain] + count[~plain])] = spelt
-        self.ids.add(flat, count)
+        number[number < 0] -= len(self.spelt.sizes)
+        self.number.add(number)
+        self.spelt.add(np.array([x for own in bytes_ for x in own], np.int32), np.array([len(x) for x in bytes_], np.int32))
         self.upto.add(inside)
         with np.errstate(divide="ignore"):
             left = -np.expm1(log)
@@ -222,7 +218,7 @@ class Vocabulary:
         self.first.add(len(self.to) + np.cumsum(degree))
         self.to.add(to + first)
         self.start.add(node + first)
-        self.log.add(log)
+        self.log.add(np.rint(log * 2.0**32).astype(np.int64))
         self.places.update(zip(new, (first + ends - sizes + np.arange(len(new))).tolist(), strict=True))
 
     def decode(self, ids: list[int]) -> str:
@@ -269,20 +265,20 @@ class Vocabulary:
         pool = _Pool()
         drawn: list[Drawn] = []
 
-        def bounds(top: np.ndarray, rows: np.ndarray, sizes: np.ndarray, edges: np.ndarray, given: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
-            """(bound of the untaken siblings at each edge, sum of logs before it); none before the first ``given`` edges."""
+        def bounds(top: np.ndarray, rows: np.ndarray, sizes: np.ndarray, edges: np.ndarray, given: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(bound of the untaken siblings at each edge, sum of logs before it, sum of each row); none before the first ``given`` edges."""
             log = self.log[edges]
-            fixed = np.rint(log * 2.0**32).astype(np.int64)
-            total = np.cumsum(fixed) - fixed
+            upto = np.append(0, np.cumsum(log))
             begin = np.cumsum(sizes) - sizes
-            total = (total - np.repeat(np.append(total, 0)[begin], sizes)) * 2.0**-32
+            sums = (upto[begin + sizes] - upto[begin]) * 2.0**-32
+            total = (upto[:-1] - np.repeat(upto[begin], sizes)) * 2.0**-32
             rest, row = self.rest[edges], np.repeat(np.arange(len(rows)), sizes)
             step = np.arange(len(edges)) - begin[row]
             at = np.flatnonzero((rest > -np.inf) & (step >= given[row]))
             row, found = row[at], np.full(len(edges), -np.inf)
             noise = -np.log(_uniform(_stream(seeds[rows], number, 1)[row], step[at]))
             found[at] = -np.logaddexp(-top[row], np.log(noise) - (total[at] + rest[at]))
-            return found, total
+            return found, total, sums
 
         # the first path of every row
         counts, edges = self._walk(nodes, nodes + lengths, place - nodes, _stream(seeds, 0, 0)[row])
@@ -290,9 +286,9 @@ class Vocabulary:
         sizes = np.bincount(row, counts, n).astype(np.int64)
         top = -np.log(-np.log(_uniform(_stream(seeds, 0, 2), np.zeros(n, np.int64))))
         top[sizes == 0] = 0.0
-        found, total = bounds(top, rows, sizes, edges, np.zeros(n, np.int64), 0)
+        found, total, sums = bounds(top, rows, sizes, edges, np.zeros(n, np.int64), 0)
         pool.add(rows, sizes, edges, np.repeat(np.arange(len(flat)), counts), found, total)
-        drawn.append(Drawn(rows, sizes, edges, np.bincount(np.repeat(rows, sizes), self.log[edges], n), top))
+        drawn.append(Drawn(rows, sizes, edges, sums, top))
         for number in range(1, k):
             rows, at, value = pool.best(n)  # the best set of each row that has one
             if not len(rows):
@@ -302,7 +298,7 @@ class Vocabulary:
             own = _ranges(self.first[node], self.first[node + 1])
             degree = (self.first[node + 1] - self.first[node]).astype(np.int64)
             group = np.repeat(np.arange(len(rows)), degree)
-            weight = np.rint(np.exp(self.log[own]) * 2.0**FINE).astype(U)
+            weight = np.rint(np.exp(self.log[own] * 2.0**-32) * 2.0**FINE).astype(U)
             for taken in [old, *pool.taken(at)]:
                 weight[own == taken[group]] = 0
             running = np.cumsum(weight)  # may wrap, its differences don't
@@ -337,17 +333,32 @@ class Vocabulary:
             edges[begin_new + prefix], stretch[begin_new + prefix] = pick, occ
             into = _ranges(begin_new + prefix + 1, begin_new + sizes)
             edges[into], stretch[into] = walked, np.repeat(fresh, counts)
-            found, total = bounds(value, rows, sizes, edges, prefix + 1, number)
+            found, total, sums = bounds(value, rows, sizes, edges, prefix + 1, number)
             pool.add(rows, sizes, edges, stretch, found, total)
-            drawn.append(Drawn(rows, sizes, edges, np.bincount(np.repeat(np.arange(len(rows)), sizes), self.log[edges], len(rows)), value))
+            drawn.append(Drawn(rows, sizes, edges, sums, value))
         limit = np.full(n, -np.inf)
         rows, _, value = pool.best(n)
         limit[rows] = value
         for own in drawn:
             own.inclusion = -np.expm1(-np.exp(np.minimum(50.0, own.logs - limit[own.rows])))
-            own.ids, own.n_ids = self.ids.take(own.edges, own.sizes)
+            own.ids, own.n_ids = self._ids(own.edges, own.sizes)
         return drawn
 
+    def _ids(self, edges: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some edges, and how many each group of so many edges has."""
+        number = self.number[edges]
+        spelt = np.flatnonzero(number < 0)
+        if not len(spelt):
+            return number, groups
+        which = -1 - number[spelt]
+        count = np.ones(len(number), np.int64)
+        count[spelt] = self.spelt.sizes[which]
+        upto = np.append(0, np.cumsum(count))
+        ids = np.repeat(number, count)
+        ids[_ranges(upto[spelt], upto[spelt + 1])] = self.spelt.take(which, np.ones(len(which), np.int64))[0]
+        ends = np.cumsum(groups)
+        return ids, upto[ends] - upto[ends - groups]
+
     def sample(self, text: str, k: int, seed: int) -> list[tuple[list[int], float, float, float]]:
         """At most k distinct segmentations of one text: (ids, log probability, perturbed, inclusion score).
 
@@ -386,7 +397,7 @@ class _Array:
 
     def add(self, new: np.ndarray) -> None:
         if self.n + len(new) > len(self.held):
-            more = np.zeros(max(2 * len(self.held), self.n + len(new)), self.held.dtype)
+            more = np.zeros(max(len(self.held) * 5 // 4, self.n + len(new)), self.held.dtype)
             more[: self.n] = self.held[: self.n]
             self.held = more
         self.held[self.n : self.n + len(new)] = new
