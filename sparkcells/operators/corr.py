@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import stable
 from ..functions.special import p_value
-from ..lineage import few
+from ..lineage import bounded, cut, few
 
 
 def moments(expr: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def one_vs_all(expr: DataFrame, n_cells: int, gene: str) -> DataFrame:
 
     Zeros that aren't stored add nothing to the sums, so only common cells are joined.
     """
-    own = expr.where(F.col("gene") == gene).select("cell_id", F.col("value").alias("x"))
+    own = bounded(cut(expr.where(F.col("gene") == gene).select("cell_id", F.col("value").alias("x"))))
     own_sums = own.agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("qx"))
     rows = _with_products(expr, own, ["gene"]).crossJoin(F.broadcast(own_sums))  # one row
     n = F.lit(float(n_cells))
@@ -58,7 +58,7 @@ def by_condition(expr: DataFrame, obs: DataFrame, label: str, gene: str) -> Data
     """(condition, gene, corr, t): one against all in the cells of each condition, in one pass."""
     cells = obs.select("cell_id", F.col(label).cast("string").alias("condition"))
     sizes = cells.groupBy("condition").agg(F.count("*").cast("double").alias("n"))
-    own = expr.where(F.col("gene") == gene).select("cell_id", F.col("value").alias("x"))
+    own = bounded(cut(expr.where(F.col("gene") == gene).select("cell_id", F.col("value").alias("x"))))
     goi = own.join(cells, "cell_id").groupBy("condition").agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("qx"))
     found = _with_products(expr.join(cells, "cell_id"), own, ["condition", "gene"]).join(goi, "condition").join(sizes, "condition")
     r = _pearson(F.col("n"), F.col("sx"), F.col("qx"), F.col("s"), F.col("q"), F.coalesce("xy", F.lit(0.0)))
@@ -89,9 +89,26 @@ def features(top: DataFrame, long: DataFrame, conditions: Sequence[str]) -> Data
     return wide(long.join(top.select("gene").distinct(), "gene", "left_semi"), conditions).fillna(0.0)
 
 
+def _centred(x: list[Column]) -> list[Column]:
+    mean = sum(x) / F.lit(float(len(x)))
+    return [a - mean for a in x]
+
+
+def _angle(x: list[Column], y: list[Column]) -> Column:
+    """1 less the cosine; null where a side is zero."""
+    size = F.sqrt(sum(a * a for a in x)) * F.sqrt(sum(b * b for b in y))
+    return 1 - sum(a * b for a, b in zip(x, y, strict=True)) / F.nullif(size, F.lit(0.0))
+
+
+#: Distances of feature rows, by name; undefined ones are null and come last.
 METRICS = {
     "euclidean": lambda pairs: F.sqrt(sum((a - b) * (a - b) for a, b in pairs)),
     "cityblock": lambda pairs: sum(F.abs(a - b) for a, b in pairs),
+    "sqeuclidean": lambda pairs: sum((a - b) * (a - b) for a, b in pairs),
+    "cosine": lambda pairs: _angle([a for a, _ in pairs], [b for _, b in pairs]),
+    "correlation": lambda pairs: _angle(_centred([a for a, _ in pairs]), _centred([b for _, b in pairs])),
+    "canberra": lambda pairs: sum(F.coalesce(F.abs(a - b) / F.nullif(F.abs(a) + F.abs(b), F.lit(0.0)), F.lit(0.0)) for a, b in pairs),
+    "braycurtis": lambda pairs: sum(F.abs(a - b) for a, b in pairs) / F.nullif(sum(F.abs(a + b) for a, b in pairs), F.lit(0.0)),
     "chebyshev": lambda pairs: F.greatest(*[F.abs(a - b) for a, b in pairs]) if len(pairs) > 1 else F.abs(pairs[0][0] - pairs[0][1]),
 }
 
@@ -108,7 +125,7 @@ def gene_network(matrix: DataFrame, k: int = 5, metric: str = "euclidean") -> Da
     right = matrix.select(F.col("gene").alias("dst"), *[F.col(f"`{c}`").alias(f"y{i}") for i, c in enumerate(names)])
     dist = METRICS[metric]([(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(len(names))])
     pairs = left.join(right, F.col("src") != F.col("dst")).select("src", "dst", dist.alias("dist"))
-    near = pairs.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("place") <= k)
+    near = pairs.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy(F.asc_nulls_last("dist"), "dst"))).where(F.col("place") <= k)
     edges = near.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min("dist").alias("dist"))
     return edges.withColumn("weight", 1 / (F.col("dist") + 1e-6))
 

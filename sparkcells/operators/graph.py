@@ -163,6 +163,18 @@ def grid_sample(bins: DataFrame, per_bin: int = 5, min_count: int = 2, seed: int
     return bins.join(full, "bin", "left_semi").withColumn("place", place).where(F.col("place") <= per_bin).select("cell_id", "bin")
 
 
+def drawn_values(expr: DataFrame, coords: DataFrame, genes: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """(cell_id, gene, x, y, value): some genes of (some) cells, zeros included, with the cells' first two axes.
+
+    genes: a short table (gene); cells: (cell_id).
+    """
+    rows = coords if cells is None else coords.join(cells.select("cell_id"), "cell_id", "left_semi")
+    wanted = few(genes.select("gene").distinct())
+    own = expr.join(wanted, "gene", "left_semi")
+    every = rows.select("cell_id", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y")).crossJoin(wanted)
+    return every.join(own, ["cell_id", "gene"], "left").select("cell_id", "gene", "x", "y", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def variable_genes(expr: DataFrame, raw: DataFrame, n_cells: int, min_mean: float = 0.0125, max_mean: float = 3.0, min_dispersion: float = 0.5, min_cells: int = 0, genes: DataFrame | None = None) -> DataFrame:
     """(gene, mean, dispersion, detected): genes within the limits; genes: a list (gene) to keep to, such as regulators."""
     from .stats import dispersion

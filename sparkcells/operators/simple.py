@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import stable
+from .ranktest import rank_genes
 from .stats import grid
 
 
@@ -62,7 +63,8 @@ def ranked(markers: DataFrame) -> DataFrame:
 class SimpleMarkers:
     """Statistics of a labelling and the markers found on them."""
 
-    def __init__(self, expr: DataFrame, obs: DataFrame, label: str, single: bool = True, gap: float = 0.2, min_mean: float = 0.2, min_frac: float = 0.2, min_count: int = 10, exclude: Sequence[str] = ()):
+    def __init__(self, expr: DataFrame, obs: DataFrame, label: str, single: bool = True, gap: float = 0.2, min_mean: float = 0.2, min_frac: float = 0.2, min_count: int = 10, exclude: Sequence[str] = (), run_test: bool = False):
+        self.ranked_genes = rank_genes(expr, obs, label) if run_test else None  # every gene by Welch's test against all other cells
         self.stats = grid(expr, obs, label, exclude=exclude)
         self.options = {"gap": gap, "min_mean": min_mean, "min_frac": min_frac}
         self.markers = ranked(find(self.stats, "single" if single else "multiple", min_count=min_count, **self.options))

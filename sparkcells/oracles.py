@@ -365,6 +365,9 @@ ORACLES: dict[str, str] = {
     "graph_gene_edges": build(*D3_ALL, rises()) + ", w AS (SELECT a AS start, b AS finish FROM edges UNION ALL SELECT b, a FROM edges) SELECT w.start, w.finish AS \"end\", round(fc, 6) + 0.0 AS fc, CASE WHEN fc >= 6 THEN 4 WHEN fc >= 5 THEN 3 WHEN fc >= 4 THEN 2 WHEN fc >= 3 THEN 1 ELSE 0 END::BIGINT AS bin FROM w LEFT JOIN fc ON fc.start = w.start AND fc.finish = w.finish AND gene = 'der'",
     "node_cast": build(E, grid("label"), near()) + " SELECT a::BIGINT AS a, b::BIGINT AS b FROM edges",
     "marker_rank_fn": build(*D3_SCORES) + f" SELECT * FROM (SELECT grp, gene, round(local_score, 6) + 0.0 AS score, {ranks('local_score')} FROM scored) WHERE rank <= 10",
+    "drawn_values": build(E) + " SELECT o.cell_id, g.gene, round(vec[1], 6) + 0.0 AS x, round(vec[2], 6) + 0.0 AS y, round(coalesce(value, 0), 6) + 0.0 AS value FROM obs o JOIN coords USING (cell_id) CROSS JOIN (SELECT unnest(['d00', 'd07', 'none']) AS gene) g LEFT JOIN expr e ON e.cell_id = o.cell_id AND e.gene = g.gene WHERE label NOT IN ('0', '1')",
+    "node_colours": build(D, grid("lang3")) + " SELECT grp, round(mean_norm, 6) + 0.0 AS value, round(coalesce((mean_norm - min(mean_norm) OVER ()) / nullif(max(mean_norm) OVER () - min(mean_norm) OVER (), 0), 0), 6) + 0.0 AS colour FROM grid WHERE gene = 'der'",
+    "gene_network_cosine": build(L, CORR) + ", p AS (SELECT x.gene AS src, y.gene AS dst, 1 - (" + " + ".join(f"x.\"{c}_corr\" * y.\"{c}_corr\"" for c in CONDITIONS) + ") / (sqrt(" + " + ".join(f"x.\"{c}_corr\" ** 2" for c in CONDITIONS) + ") * sqrt(" + " + ".join(f"y.\"{c}_corr\" ** 2" for c in CONDITIONS) + ")) AS dist FROM matrix x JOIN matrix y ON x.gene <> y.gene), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS place FROM p) WHERE place <= 3) SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(min(dist), 6) + 0.0 AS dist FROM k GROUP BY 1, 2",
     "knn_probed": build(E) + f" SELECT src, dst, {r('dist')}, place FROM knn",
 }
 ORACLES["corr_store_network"] = ORACLES["gene_network"]

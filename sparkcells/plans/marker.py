@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +31,11 @@ class MarkerResult:
     ranking: DataFrame
     thres_fc: float
     batch_means: DataFrame | None = None
+    score_col: str = "specific_weight"
 
     def markers(self, n: int | None = None) -> DataFrame:
         """(grp, gene, score, rank); all, or the first n of each group."""
-        rows = self.ranking.select("grp", "gene", F.col("specific_weight").alias("score"), "rank")
+        rows = self.ranking.select("grp", "gene", F.col(self.score_col).alias("score"), "rank")
         return rows if n is None else rows.where(F.col("rank") <= n)
 
     def counts(self) -> DataFrame:
@@ -51,10 +52,18 @@ class MarkerResult:
         """(grp, n_cells, size) for drawing."""
         return self.stats.groupBy("grp").agg(F.max("n_cells").alias("n_cells")).withColumn("size", F.sqrt("n_cells") * scale)
 
-    def gene_edges(self, gene: str) -> DataFrame:
-        """(start, end, fc, bin) of one gene, over all directed edges."""
+    def node_colours(self, gene: str, value: str = "mean_norm") -> DataFrame:
+        """(grp, value, colour) of one gene: colour runs from 0 at its least group to 1 at its largest (0 if all are alike)."""
+        rows = self.stats.where(F.col("gene") == gene).select("grp", F.col(value).alias("value"))
+        ends = rows.agg(F.min("value").alias("low"), F.max("value").alias("high"))  # one row
+        colour = F.coalesce((F.col("value") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.0))
+        return rows.crossJoin(F.broadcast(ends)).select("grp", "value", colour.alias("colour"))
+
+    def gene_edges(self, gene: str, bidirectional: bool = True) -> DataFrame:
+        """(start, end, fc, bin) of one gene, over the edges in both directions, or in the one they are stored in."""
         own = self.edge_gene.where(F.col("gene") == gene).select("start", "end", "fc")
-        every = graph.both_ways(self.edges).select(F.col("u").alias("start"), F.col("v").alias("end"))
+        ways = graph.both_ways(self.edges) if bidirectional else self.edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        every = ways.select(F.col("u").alias("start"), F.col("v").alias("end"))
         return every.join(own, ["start", "end"], "left").select("start", "end", "fc", fc_bin(F.col("fc")).alias("bin"))
 
 
@@ -67,6 +76,7 @@ def run(
     b: float = 0.5,
     only_high: bool = True,
     score_fn: Callable[[DataFrame], Column] | None = None,
+    score_col: str = "specific_weight",
     k: int = 5,
     exclude: Sequence[str] = (),
     min_cells_per_group: int = 0,
@@ -87,12 +97,16 @@ def run(
     batch_min_cells: int = 5,
     batch_alpha: float = 0.05,
     batch_min_batches: int = 3,
+    use_raw: bool = False,
 ) -> MarkerResult:
     """Run the stages; those that several later ones read are written to the checkpoint folder.
 
     connectivities: (g1, g2, weight) between groups; without it the cell graph of ``data`` gives
     it, or else the similarity of the groups' profiles. Excluded groups leave the graph too.
+    score_col names the score that markers are ranked by, score_fn makes it; use_raw reads the raw table.
     """
+    if use_raw:
+        data = replace(data, expr=data.with_raw().raw)
     grid = stats.grid(data.expr, data.obs, label, exclude, min_cells_per_group, min_expr_cells_per_gene)
     grid = cut(grid)
     weights = connectivities
@@ -118,4 +132,4 @@ def run(
     notes = levels.note(labelled, level)
     features = score.gene_features(notes, edge_gene)
     scored = score.scores(score.marker_inputs(grid, edges, notes, features, only_high, eps), a, b)
-    return MarkerResult(grid, edges, edge_gene, labelled, notes, features, scored, score.rank(scored, score_fn=score_fn), float(thres_fc), means)
+    return MarkerResult(grid, edges, edge_gene, labelled, notes, features, scored, score.rank(scored, score_col, score_fn), float(thres_fc), means, score_col)

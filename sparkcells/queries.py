@@ -827,3 +827,22 @@ def knn_probed(spark, folder):
 def cell_network(spark, folder):
     found = network.of_cells(bindings.embeddings(spark, folder), "label", scale=4, per_bin=3, cutoff=0.1, max_mean=10.0, min_dispersion=0.0, min_cells=5)
     return found["edges"].select("a", "b", *r6("corr"))
+
+
+@query
+def drawn_values(spark, folder):
+    """What a drawing of single genes over two axes reads."""
+    data = bindings.embeddings(spark, folder)
+    wanted = spark.createDataFrame([("d00",), ("d07",), ("none",)], "gene string")
+    found = graph.drawn_values(data.expr, data.coords, wanted, annotate.select_groups(data.obs, "label", exclude="0, 1"))
+    return found.select("cell_id", "gene", *r6("x", "y", "value"))
+
+
+@query
+def node_colours(spark, folder):
+    return _run(spark, folder).node_colours("der").select("grp", *r6("value", "colour"))
+
+
+@query
+def gene_network_cosine(spark, folder):
+    return corr.gene_network(_matrix(spark, folder), 3, "cosine").select("a", "b", *r6("dist"))

@@ -106,6 +106,18 @@ def test_gene_network(spark):
     assert found == {("gA", "gB"): 1.0, ("gA", "gC"): 3.0, ("gC", "gD"): 5.385165}
 
 
+def test_metrics(spark):
+    matrix = spark.createDataFrame([("a", 1.0, 2.0, 4.0), ("b", 2.0, 1.0, 0.0), ("z", 0.0, 0.0, 0.0)], "gene string, x double, y double, w double")
+    x, y = np.array([1.0, 2.0, 4.0]), np.array([2.0, 1.0, 0.0])
+    cosine = lambda p, q: 1 - p @ q / np.sqrt((p @ p) * (q @ q))
+    want = {"euclidean": np.sqrt(18), "sqeuclidean": 18, "cityblock": 6, "chebyshev": 4, "cosine": cosine(x, y), "correlation": cosine(x - x.mean(), y - y.mean()), "canberra": 1 / 3 + 1 / 3 + 1, "braycurtis": 6 / 10}
+    assert set(want) == set(corr.METRICS)
+    for name, value in want.items():
+        found = {(r["a"], r["b"]): r["dist"] for r in corr.gene_network(matrix, 2, name).collect()}
+        assert abs(found["a", "b"] - value) < 1e-9, name
+    assert found["a", "z"] == 1
+
+
 def test_correlation(cells):
     found = table(corr.with_p(corr.one_vs_all(cells[0], 6, "g1"), 6, "g1"), "gene")
     assert (found["g1",]["corr"], found["g1",]["pval"]) == (1.0, 0.0)
