@@ -36,7 +36,7 @@ SAMPLES = 3
 #: Weight of the vocabulary's scores, which for BPE vocabularies are negative merge ranks.
 WEIGHT = 2e-4
 #: Edges of the lattices that are kept between batches.
-KEPT = 6_000_000
+KEPT = 3_000_000
 #: Chances left below this count as none.
 TINY = 1e-12
 #: Chances are whole numbers of 2 ** -BITS where paths are walked, and of 2 ** -FINE where they are
