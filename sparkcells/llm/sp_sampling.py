@@ -9,9 +9,11 @@ parent's maximum, since the lattice's backward sums are known). Taking the best
 path by sampling its edges and leaves, at each node, the set of the path's untaken siblings.
 
 All rows of a batch are searched at a time. A text falls into stretches wherever no piece holds the
-two characters beside a place. Lattices are built once for each distinct stretch and kept in flat
-arrays; paths are walked one edge of every open stretch
-a step; and a row's queue is the bounds of its paths' edges, of which the largest is taken.
+two characters beside a place. Lattices are built once for each distinct stretch, found by its hash
+and compared character by character, and kept in flat arrays, the most used ones longest; paths are
+walked one edge of every open stretch a step, each edge noted at its place in the batch's text; and a
+row's queue is the bounds of its paths' edges, of which the largest is taken. Bounds are worked out
+only for edges that can still be among the k largest of their path, which stand near its start.
 
 Random numbers are hashes of the row's key, the number of the sample and the place in the text, so
 a row is sampled alike in any batch and task.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import shipped
 from .common import parts, texts_of
-from .textbytes import BASE, U, mix, powers
+from .textbytes import BASE, SLICE, U, mix, powers
 
 SPACE = "▁"
 SAMPLES = 3
@@ -42,6 +44,12 @@ TINY = 1e-12
 #: Chances are whole numbers of 2 ** -BITS where paths are walked, and of 2 ** -FINE where they are
 #: summed, so that no sum depends on what else is in a batch.
 BITS, FINE = 38, 52
+#: An edge's word is its running chance, LAST if it ends its stretch, and its length in characters.
+LAST, SHIFT = 1 << 23, 24
+#: No two perturbations -log(-log(u)) of a u of 53 bits are farther apart.
+SPREAD = 42.0
+#: Stands for the end of a stretch among its characters.
+_END = np.uint32(0xFFFFFFFF)
 #: Stands for a literal block that isn't a space (a private code point of a lone surrogate).
 _LITERAL = "\udc81"
 
@@ -50,9 +58,11 @@ class Vocabulary:
     """Pieces of a SentencePiece model file, with byte fallback, and the lattices of the stretches met so far.
 
     Nodes of all lattices are numbered one after the other, a stretch of n characters has n + 1;
-    the edges of node i are first[i] .. first[i + 1] - 1, the likeliest first, with their end (to),
-    log chance given the node (log, in 2 ** -32), the log of the others' (rest), running chance
-    (upto, in 2 ** -BITS) and id (number; below zero: a character spelt in bytes).
+    code has the character after each. The edges of node i are first[i] .. first[i + 1] - 1, the
+    likeliest first, with running chance (in 2 ** -BITS) and length (hop, a word), log chance given
+    the node (log, in 2 ** -32), the log of the others' (rest) and id (number; below zero: the
+    character -1 - number, spelt in bytes). Stretch i begins at node[i], has length[i] characters
+    and was met used[i] times; keys are the stretches' hashes in order, slots their numbers.
     """
 
     def __init__(self, path: str, weight: float = WEIGHT, kept: int = KEPT):
@@ -92,8 +102,11 @@ class Vocabulary:
         hashes = (sums[begin + sizes] - sums[begin]) * down[begin]
         order = np.argsort(hashes)
         self._hashes, self._numbers = np.append(hashes[order], U(0)), np.array([self.score[text[k]][0] for k in order.tolist()] + [0], np.int64)
-        self._filter = np.zeros(1 << 22, bool)
-        self._filter[hashes >> U(42)] = True
+        # 1: pieces may begin so, 2: it may be a piece; what is set by chance only costs time
+        self._filter = np.zeros(1 << 22, np.uint8)
+        heads = np.repeat(begin, sizes)
+        self._filter[((sums[1:] - sums[heads]) * down[heads]) >> U(42)] = 1
+        self._filter[hashes >> U(42)] = 3
         self._scores = np.zeros(len(self.surface))
         for number, score in self.score.values():
             self._scores[number] = score
@@ -105,196 +118,288 @@ class Vocabulary:
         np.maximum.at(self._reach, codes[begin], sizes)
 
     def _clear(self) -> None:
-        self.places: dict[str, int] = {}
-        self.first, self.to, self.start = (_Array(np.int32) for _ in range(3))
+        self.keys, self.slots = np.zeros(0, U), np.zeros(0, np.int64)
+        self.node, self.length, self.used = (_Array(np.int64) for _ in range(3))
+        self.code, self.first = _Array(np.uint32), _Array(np.int32)
         self.first.add(np.zeros(1, np.int32))
-        self.log, self.rest, self.upto = _Array(np.int64), _Array(float), _Array(np.int64)
-        self.number, self.spelt = _Array(np.int32), _Lists()
+        self.hop, self.log, self.rest, self.number = _Array(np.int64), _Array(np.int64), _Array(float), _Array(np.int32)
 
     def segments(self, text: str) -> list[str]:
         """Stretches of the text that no piece crosses; a space is put before it, as the encoder does."""
-        return self.stretches([text])[0]
+        codes, ends, _ = self.stretches([text])
+        blob = codes.tobytes().decode("utf-32-le", "surrogatepass")
+        return [blob[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def stretches(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The stretches of all texts, one after the other, and how many each has."""
+    def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The characters of all texts, one after the other, where each stretch ends, and how many each text has."""
         marked = [SPACE + x.replace(SPACE, _LITERAL).replace(" ", SPACE) if x else "" for x in texts]
         blob = "".join(marked)
-        if not blob:
-            return [], np.zeros(len(texts), np.int64)
         codes = np.frombuffer(blob.encode("utf-32-le", "surrogatepass"), "<u4")
+        if not blob:
+            return codes, np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         ends = np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))
-        split = np.append(~self._joined[_pair(codes[:-1], codes[1:])], True)
+        split = np.append(~self._joined.take(_pair(codes[:-1], codes[1:])), True)
         split[ends[ends > 0] - 1] = True
         upto = np.flatnonzero(split) + 1
-        found = [blob[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
-        return found, np.diff(np.searchsorted(upto, ends, "right"), prepend=0)
+        return codes, upto, np.diff(np.searchsorted(upto, ends, "right"), prepend=0)
 
     def _bytes(self, char: str) -> tuple[int, ...]:
         raw = (SPACE if char == _LITERAL else char).encode("utf-8", "replace")
         return tuple(self.byte[x] for x in raw)
 
-    def learn(self, segments: list[str]) -> np.ndarray:
-        """The first node of each stretch; new ones get a lattice."""
-        if len(self.to) > self.kept:
-            self._clear()
-        get = self.places.get
-        found = list(map(get, segments))
-        if None in found:
-            self._build(list(dict.fromkeys([x for x, place in zip(segments, found, strict=True) if place is None])))
-            found = list(map(get, segments))
-        return np.array(found, np.int64)
-
-    def _pieces(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, length, id) of every piece that stands at a place of the stretches; left: characters to the stretch's end."""
+    def learn(self, codes: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The first node of each stretch; new ones get a lattice. The stretches follow one another without gaps."""
+        if len(self.hop) > self.kept:
+            self._forget()
+        hashes = self._hashed(codes, begin, sizes)
+        which = self._find(hashes)
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            keys, at = np.unique(hashes[new], return_index=True)
+            numbers = self._build(codes, begin[new[at]], sizes[new[at]])
+            place = np.searchsorted(self.keys, keys)
+            self.keys, self.slots = np.insert(self.keys, place, keys), np.insert(self.slots, place, numbers)
+            which[new] = self._find(hashes[new])
+        # characters are compared, so that no result rests on a hash
+        at = np.arange(len(codes)) + np.repeat(self.node[which] - begin, sizes)
+        unlike = self.code.held[: len(self.code)].take(at, mode="clip") != codes
+        other = self.length[which] != sizes
+        if unlike.any() or other.any():
+            wrong = np.flatnonzero(other | np.logical_or.reduceat(unlike, begin))
+            which[wrong] = self._build(codes, begin[wrong], sizes[wrong])
+        self.used.held[: len(self.used)] += np.bincount(which, minlength=len(self.used))
+        return self.node[which]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the stretch with each hash; -1 if there is none."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[place] == hashes, self.slots[place], -1)
+
+    @staticmethod
+    def _hashed(codes: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """A hash of each stretch."""
+        found = [np.zeros(0, U)]
+        cuts = [0, *(np.flatnonzero(np.diff(begin // SLICE)) + 1).tolist(), len(begin)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            start = begin[a:b] - begin[a]
+            own = codes[begin[a] : begin[b - 1] + sizes[b - 1]]
+            up, down = powers(len(own) + 1)
+            sums = np.append(U(0), np.add.accumulate(_char(own) * up[: len(own)]))
+            found.append(mix((sums[start + sizes[a:b]] - sums[start]) * down[start]))
+        return np.concatenate(found)
+
+    def _forget(self) -> None:
+        """Keep the lattices met most, and more than once, up to half of the edges to keep."""
+        used, node, length = self.used[self.slots], self.node[self.slots], self.length[self.slots]
+        begin, end = self.first[node].astype(np.int64), self.first[node + length].astype(np.int64)
+        order = np.argsort(-used, kind="stable")
+        fits = (np.cumsum((end - begin)[order]) <= self.kept // 2) & (used[order] > 1)
+        stay = np.sort(order[fits])
+        node, length, begin, end = node[stay], length[stay], begin[stay], end[stay]
+        nodes, edges = _ranges(node, node + length + 1), _ranges(begin, end)
+        degree = self.first[nodes + 1] - self.first[nodes]
+        self.keys, self.slots = self.keys[stay], np.arange(len(stay))
+        for own in (self.hop, self.log, self.rest, self.number):
+            own.keep(edges)
+        self.code.keep(nodes)
+        for own, kept in ((self.first, np.append(0, np.cumsum(degree))), (self.node, np.cumsum(length + 1) - length - 1), (self.length, length), (self.used, used[stay] // 2)):
+            own.n = 0
+            own.add(kept)
+
+    def _pieces(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, id) of every piece that stands at a place of the stretches, and of every
+        character that is none, by place, shorter pieces first; and how many a place has. left: characters to the stretch's end."""
         up, down = powers(len(codes) + 1)
         sums = np.append(U(0), np.add.accumulate(_char(codes) * up[: len(codes)]))
+        down = down[: len(codes)]
         at = np.arange(len(codes))
         longest = np.minimum(left, self._reach[np.minimum(codes, len(self._reach) - 1)])
-        found = [[at[:0]], [at[:0]], [at[:0]]]
+        runs = []
         for size in range(1, int(longest.max(initial=0)) + 1):
             at = at[longest[at] >= size]
             hashes = (sums[at + size] - sums[at]) * down[at]  # characters are mixed already
-            maybe = np.flatnonzero(self._filter[hashes >> U(42)])
-            place = np.minimum(np.searchsorted(self._hashes, hashes[maybe]), len(self._hashes) - 1)
-            hit = self._hashes[place] == hashes[maybe]
-            for own, new in zip(found, (at[maybe[hit]], np.full(int(hit.sum()), size), self._numbers[place[hit]]), strict=True):
-                own.append(new)
-        return tuple(np.concatenate(x) for x in found)
-
-    def _build(self, new: list[str]) -> None:
-        """Lattices of new stretches: all pieces by rolling hashes, then log masses from the ends on."""
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
-        text = "".join(new)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        owner = np.repeat(np.arange(len(new)), sizes)
-        ends = np.cumsum(sizes)
-        left = ends[owner] - np.arange(len(codes))
-        at, length, ids = self._pieces(codes, left)
+            kind = self._filter.take((hashes >> U(42)).view(np.int64))
+            maybe = np.flatnonzero(kind > 1)
+            sought = hashes[maybe]
+            place = np.minimum(np.searchsorted(self._hashes[:-1], sought), len(self._hashes) - 1)
+            hit = self._hashes[place] == sought
+            runs.append((at[maybe[hit]], size, self._numbers[place[hit]]))
+            at = at[kind > 0]
         single = np.zeros(len(codes), bool)
-        single[at[length == 1]] = True
+        if runs:
+            single[runs[0][0]] = True
         spelt = np.flatnonzero(~single)  # characters that are no piece, as bytes
-        bytes_ = [self._bytes(text[i]) for i in spelt.tolist()]
-        score = np.concatenate([self._scores[ids], np.full(len(spelt), self.unknown)])
-        at, length = np.concatenate([at, spelt]), np.concatenate([length, np.ones(len(spelt), np.int64)])
-        number = np.concatenate([ids, -1 - np.arange(len(spelt))])
-        order = np.argsort(at, kind="stable")  # a run for each length
-        at, length, number, score = at[order], length[order], number[order], score[order]
+        runs.append((spelt, 1, -1 - codes[spelt].astype(np.int64)))
+        degree = np.zeros(len(codes), np.int64)
+        for own, _, _ in runs:
+            degree[own] += 1  # a place stands once in a run
+        upto = np.cumsum(degree)
+        free = upto - degree
+        total = int(upto[-1])
+        length, ids = np.empty(total, np.int64), np.empty(total, np.int64)
+        for own, size, numbers in runs:
+            into = free[own]
+            length[into], ids[into] = size, numbers
+            free[own] += 1
+        return np.repeat(np.arange(len(codes)), degree), length, ids, degree
+
+    def _build(self, codes: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Lattices of new stretches: all pieces by rolling hashes, then log masses from the ends on. The stretches' numbers."""
+        codes = codes[_ranges(begin, begin + sizes)]
+        n = len(begin)
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(n), sizes)
+        left = ends[owner] - np.arange(len(codes))
+        at, length, number, many = self._pieces(codes, left)
+        score = np.where(number < 0, self.unknown, self._scores[np.maximum(number, 0)])
         node = at + owner[at]  # a stretch has a node more than characters
         to = node + length
         log = np.zeros(len(at))
-        mass = np.zeros(len(codes) + len(new))
-        away = left[at]
-        rounds = np.argsort(away.astype(np.int16) if len(away) and away.max() < 1 << 15 else away, kind="stable")  # edges of places nearer to the end come first
-        cuts = np.flatnonzero(np.diff(away[rounds])) + 1
-        for own in np.split(rounds, cuts) if len(rounds) else []:
-            weight, start = score[own] + mass[to[own]], node[own]
-            head = np.flatnonzero(np.append(True, start[1:] != start[:-1]))
-            many = np.diff(np.append(head, len(own)))
-            top = np.maximum.reduceat(weight, head)
-            total = top + np.log(np.add.reduceat(np.exp(weight - np.repeat(top, many)), head))
-            mass[start[head]] = total
-            log[own] = np.minimum(0.0, weight - np.repeat(total, many))
-        first = len(self.first) - 1
-        degree = np.bincount(node, minlength=len(mass))
-        head = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        many = degree[node[head]]
+        mass = np.zeros(len(codes) + n)
+        # edges of places nearer to the end come first; every place has an edge
+        rounds = np.argsort(left.astype(np.int16) if left.max() < 1 << 15 else left, kind="stable")
+        head = np.cumsum(many) - many
+        cuts = np.append(0, np.cumsum(np.bincount(left)[1:]))
+        edges = _ranges(head[rounds], (head + many)[rounds])
+        at_edge = np.append(0, np.cumsum(many[rounds]))
+        held, goal = score[edges], to[edges]
+        logs = np.empty(len(edges))
+        starts = rounds + owner[rounds]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            x, y = at_edge[a], at_edge[b]
+            if x == y:
+                continue
+            weight = held[x:y] + mass[goal[x:y]]
+            own, first = many[rounds[a:b]], at_edge[a:b] - x
+            top = np.maximum.reduceat(weight, first)
+            total = top + np.log(np.add.reduceat(np.exp(weight - np.repeat(top, own)), first))
+            mass[starts[a:b]] = total
+            logs[x:y] = np.minimum(0.0, weight - np.repeat(total, own))
+        log[edges] = logs
         best = np.flatnonzero(log == np.repeat(np.maximum.reduceat(log, head), many))
         best = best[np.append(True, node[best[1:]] != node[best[:-1]])]
-        for own in (to, number, log):  # the likeliest first
+        for own in (length, number, log):  # the likeliest first
             own[head], own[best] = own[best], own[head]
-        chance = np.minimum(np.rint(np.exp(log) * 2.0**BITS).astype(np.int64), 1 << BITS)
-        running = np.cumsum(chance)
-        final = np.cumsum(many) - 1
+        chance = np.exp(log)
+        running = np.cumsum(np.minimum(np.rint(chance * 2.0**BITS).astype(np.int64), 1 << BITS))
+        final = head + many - 1
         inside = running - np.repeat(np.append(0, running[final])[:-1], many)
         inside = np.minimum(inside, 1 << BITS)
         inside[final] = 1 << BITS
-        number[number < 0] -= len(self.spelt.sizes)
+        nodes = len(self.first) - 1
+        degree = np.zeros(len(mass), np.int64)
+        degree[node[head]] = many
+        code = np.full(len(mass), _END)
+        code[node[head]] = codes
+        self.first.add(len(self.hop) + np.cumsum(degree))
+        self.hop.add((inside << SHIFT) + length + np.where(length == left[at], LAST, 0))
         self.number.add(number)
-        self.spelt.add(np.array([x for own in bytes_ for x in own], np.int32), np.array([len(x) for x in bytes_], np.int32))
-        self.upto.add(inside)
         with np.errstate(divide="ignore"):
-            left = -np.expm1(log)
-            self.rest.add(np.where(left > TINY, np.log(left), -np.inf))
-        self.first.add(len(self.to) + np.cumsum(degree))
-        self.to.add(to + first)
-        self.start.add(node + first)
+            others = -np.expm1(log)
+            self.rest.add(np.where(others > TINY, np.log(others), -np.inf))
         self.log.add(np.rint(log * 2.0**32).astype(np.int64))
-        self.places.update(zip(new, (first + ends - sizes + np.arange(len(new))).tolist(), strict=True))
+        self.code.add(code)
+        self.node.add(nodes + ends - sizes + np.arange(n))
+        self.length.add(sizes)
+        self.used.add(np.zeros(n, np.int64))
+        return np.arange(len(self.node) - n, len(self.node))
 
     def decode(self, ids: list[int]) -> str:
         """The text of some ids; the space that the encoder puts before it is left out."""
         text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
-    def _walk(self, at: np.ndarray, end: np.ndarray, shift: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled edges from ``at`` to ``end`` of each stretch: (how many of each, all of them in order)."""
-        at = at.copy()
-        who, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        open_ = np.flatnonzero(at != end)
-        steps = [open_[:0]]
-        while len(open_):
-            node = at[open_]
-            point = (_bits(base[open_], node + shift[open_]) >> U(64 - BITS)).astype(np.int64)
-            edge = self.first[node]
-            late = np.flatnonzero(self.upto[edge] <= point)  # the likeliest edge is the first
+    def _walk(self, path: np.ndarray, at: np.ndarray, shift: np.ndarray, base: np.ndarray) -> None:
+        """Sample edges from the places ``at`` to their stretches' ends and note them in ``path``, by place.
+
+        shift: what a place's node is more than the place; base: of the random numbers, those of place 0.
+        """
+        while len(at):
+            edge = self.first.held.take(at + shift).astype(np.int64)
+            point = _mixed(base + at.view(U) * U(BASE))
+            point >>= U(64 - BITS)
+            point += U(1)
+            point <<= U(SHIFT)
+            point = point.view(np.int64)
+            word = self.hop.held.take(edge)
+            late = np.flatnonzero(word < point)  # the likeliest edge is the first
             while len(late):
                 edge[late] += 1
-                late = late[self.upto[edge[late]] <= point[late]]
-            who.append(open_)
-            what.append(edge)
-            steps.append(np.full(len(open_), len(steps) - 1))
-            at[open_] = self.to[edge]
-            open_ = open_[at[open_] != end[open_]]
-        who, what = np.concatenate(who), np.concatenate(what)
-        counts = np.bincount(who, minlength=len(at))
-        found = np.empty(len(what), np.int64)
-        found[(np.cumsum(counts) - counts)[who] + np.concatenate(steps)] = what
-        return counts, found
+                word[late] = more = self.hop.held.take(edge[late])
+                late = late[more < point[late]]
+            path[at] = edge
+            open_ = np.flatnonzero((word & LAST) == 0)
+            at = at.take(open_) + (word.take(open_) & (LAST - 1))
+            shift, base = shift.take(open_), base.take(open_)
 
     def samples(self, texts: list[str], seeds: np.ndarray, k: int) -> list["Drawn"]:
         """The first to the k-th of at most k distinct segmentations of each text, the largest perturbed first."""
         n = len(texts)
-        flat, size = self.stretches(texts)
-        nodes = self.learn(flat)
-        lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+        codes, ends, size = self.stretches(texts)
+        lengths = np.diff(ends, prepend=0)
+        before = ends - lengths
+        shift = self.learn(codes, before, lengths) - before
         row = np.repeat(np.arange(n), size)
         last = np.cumsum(size)  # of a row's stretches, plus one
-        before = np.cumsum(lengths) - lengths
-        place = before - np.concatenate([[0], np.cumsum(lengths)])[(last - size)[row]]  # of a stretch in its text
+        upto = np.append(0, ends)
+        text_begin, text_end = upto[last - size], upto[last]
         seeds = seeds.astype(np.int64).view(U)
         pool = _Pool()
         drawn: list[Drawn] = []
 
-        def bounds(top: np.ndarray, rows: np.ndarray, sizes: np.ndarray, edges: np.ndarray, given: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """(bound of the untaken siblings at each edge, sum of logs before it, sum of each row); none before the first ``given`` edges."""
-            log = self.log[edges]
+        def base(rows: np.ndarray, number: int) -> np.ndarray:
+            """Of the random numbers of the rows' paths, by place in the batch."""
+            return _stream(seeds[rows], number, 0) + (U(1) - text_begin[rows].view(U)) * U(BASE)
+
+        def add(top: np.ndarray, rows: np.ndarray, path: np.ndarray, given: np.ndarray, number: int) -> None:
+            """The rows' paths are drawn, and the bounds of untaken siblings at each edge queued; none before the first ``given`` edges."""
+            place = np.flatnonzero(path >= 0)
+            edges = path[place].astype(np.int64)
+            begin = np.searchsorted(place, text_begin[rows])
+            sizes = np.searchsorted(place, text_end[rows]) - begin
+            log = self.log.held.take(edges)
             upto = np.append(0, np.cumsum(log))
-            begin = np.cumsum(sizes) - sizes
-            sums = (upto[begin + sizes] - upto[begin]) * 2.0**-32
-            total = (upto[:-1] - np.repeat(upto[begin], sizes)) * 2.0**-32
-            rest, row = self.rest[edges], np.repeat(np.arange(len(rows)), sizes)
-            step = np.arange(len(edges)) - begin[row]
+            drawn.append(Drawn(rows, sizes, edges, (upto[begin + sizes] - upto[begin]) * 2.0**-32, top))
+            # A set's bound falls with the log chances before it, which only fall along a path, and the k
+            # first edges with siblings bound the k-th largest: what lies beyond it by all that chance can do isn't needed.
+            many = np.append(0, np.cumsum(log < 0))
+            few = many[begin + sizes] - many[begin + given] < k
+            reach = np.zeros(len(rows))
+            some = np.flatnonzero(~few)
+            for j in range(1, k + 1):
+                at = np.searchsorted(many, many[(begin + given)[some]] + j) - 1
+                reach[some] = np.maximum(reach[some], (upto[begin[some]] - upto[at]) * 2.0**-32 - self.rest[edges[at]])
+            far = np.searchsorted(-upto, np.ceil((reach + SPREAD) * 2.0**32).astype(np.int64) - upto[begin], "right") - begin
+            kept = np.where(few, sizes, np.minimum(far, sizes))
+            near = _ranges(begin, begin + kept)
+            row = np.repeat(np.arange(len(rows)), kept)
+            step = near - begin[row]
+            total = (upto[near] - upto[begin][row]) * 2.0**-32
+            rest = self.rest[edges[near]]
             at = np.flatnonzero((rest > -np.inf) & (step >= given[row]))
-            row, found = row[at], np.full(len(edges), -np.inf)
+            found, row = np.full(len(near), -np.inf), row[at]
             noise = -np.log(_uniform(_stream(seeds[rows], number, 1)[row], step[at]))
             found[at] = -np.logaddexp(-top[row], np.log(noise) - (total[at] + rest[at]))
-            return found, total, sums
+            pool.add(rows, kept, edges[near], place[near], found, total)
 
         # the first path of every row
-        counts, edges = self._walk(nodes, nodes + lengths, place - nodes, _stream(seeds, 0, 0)[row])
         rows = np.arange(n)
-        sizes = np.bincount(row, counts, n).astype(np.int64)
+        path = np.full(len(codes), -1, np.int32)
+        self._walk(path, before, shift, base(rows, 0)[row])
         top = -np.log(-np.log(_uniform(_stream(seeds, 0, 2), np.zeros(n, np.int64))))
-        top[sizes == 0] = 0.0
-        found, total, sums = bounds(top, rows, sizes, edges, np.zeros(n, np.int64), 0)
-        pool.add(rows, sizes, edges, np.repeat(np.arange(len(flat)), counts), found, total)
-        drawn.append(Drawn(rows, sizes, edges, sums, top))
+        top[size == 0] = 0.0
+        add(top, rows, path, np.zeros(n, np.int64), 0)
         for number in range(1, k):
             rows, at, value = pool.best(n)  # the best set of each row that has one
             if not len(rows):
                 break
-            old, occ = pool.edges[at], pool.stretch[at]
-            node = self.start[old]
+            old, here = pool.edges[at], pool.place[at]
+            occ = np.searchsorted(before, here, "right") - 1
+            node = here + shift[occ]
             own = _ranges(self.first[node], self.first[node + 1])
             degree = (self.first[node + 1] - self.first[node]).astype(np.int64)
             group = np.repeat(np.arange(len(rows)), degree)
@@ -317,25 +422,17 @@ class Vocabulary:
             pool.replace(at, pick, again)
             # the prefix, the edge and a fresh walk of what follows
             begin = pool.begin(at)
-            prefix = at - begin
+            path = np.full(len(codes), -1, np.int32)
+            prefix = _ranges(begin, at)
+            path[pool.place[prefix]], path[here] = pool.edges[prefix], pick
             fresh = _ranges(occ, last[rows])
             many = last[rows] - occ
             own = np.repeat(np.arange(len(rows)), many)
-            from_ = nodes[fresh].copy()
-            from_[np.cumsum(many) - many] = self.to[pick]
-            counts, walked = self._walk(from_, nodes[fresh] + lengths[fresh], place[fresh] - nodes[fresh], _stream(seeds[rows], number, 0)[own])
-            suffix = np.bincount(own, counts, len(rows)).astype(np.int64)
-            sizes = prefix + 1 + suffix
-            begin_new = np.cumsum(sizes) - sizes
-            edges, stretch = np.empty(int(sizes.sum()), np.int64), np.empty(int(sizes.sum()), np.int64)
-            source, into = _ranges(begin, at), _ranges(begin_new, begin_new + prefix)
-            edges[into], stretch[into] = pool.edges[source], pool.stretch[source]
-            edges[begin_new + prefix], stretch[begin_new + prefix] = pick, occ
-            into = _ranges(begin_new + prefix + 1, begin_new + sizes)
-            edges[into], stretch[into] = walked, np.repeat(fresh, counts)
-            found, total, sums = bounds(value, rows, sizes, edges, prefix + 1, number)
-            pool.add(rows, sizes, edges, stretch, found, total)
-            drawn.append(Drawn(rows, sizes, edges, sums, value))
+            from_ = before[fresh]
+            from_[np.cumsum(many) - many] = here + (self.hop[pick] & (LAST - 1))
+            open_ = np.flatnonzero(from_ < ends[fresh])
+            self._walk(path, from_[open_], shift[fresh[open_]], base(rows, number)[own[open_]])
+            add(value, rows, path, at - begin + 1, number)
         limit = np.full(n, -np.inf)
         rows, _, value = pool.best(n)
         limit[rows] = value
@@ -350,12 +447,15 @@ class Vocabulary:
         spelt = np.flatnonzero(number < 0)
         if not len(spelt):
             return number, groups
-        which = -1 - number[spelt]
+        chars, which = np.unique(-1 - number[spelt], return_inverse=True)
+        bytes_ = _Lists()
+        raw = [self._bytes(chr(x)) for x in chars.tolist()]
+        bytes_.add(np.array([x for own in raw for x in own], np.int32), np.array([len(x) for x in raw], np.int32))
         count = np.ones(len(number), np.int64)
-        count[spelt] = self.spelt.sizes[which]
+        count[spelt] = bytes_.sizes[which]
         upto = np.append(0, np.cumsum(count))
         ids = np.repeat(number, count)
-        ids[_ranges(upto[spelt], upto[spelt + 1])] = self.spelt.take(which, np.ones(len(which), np.int64))[0]
+        ids[_ranges(upto[spelt], upto[spelt + 1])] = bytes_.take(which, np.ones(len(which), np.int64))[0]
         ends = np.cumsum(groups)
         return ids, upto[ends] - upto[ends - groups]
 
@@ -393,7 +493,7 @@ class _Array:
         return self.n
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        return self.held[at]
+        return self.held.take(at)
 
     def add(self, new: np.ndarray) -> None:
         if self.n + len(new) > len(self.held):
@@ -403,6 +503,11 @@ class _Array:
         self.held[self.n : self.n + len(new)] = new
         self.n += len(new)
 
+    def keep(self, at: np.ndarray) -> None:
+        """Only what stands at these places, which rise, stays."""
+        self.held[: len(at)] = self.held.take(at)
+        self.n = len(at)
+
 
 class _Lists:
     """Short lists in one flat array."""
@@ -424,19 +529,19 @@ class _Lists:
 
 
 class _Pool:
-    """The edges of all paths drawn so far, and the bound of the untaken siblings at each."""
+    """The edges of all paths drawn so far, as far as they are needed, and the bound of the untaken siblings at each."""
 
     def __init__(self):
-        self.edges, self.stretch = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.edges, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.bound, self.before = np.zeros(0), np.zeros(0)
         self.heads, self.owners = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.picked: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, rows: np.ndarray, sizes: np.ndarray, edges: np.ndarray, stretch: np.ndarray, bound: np.ndarray, before: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, sizes: np.ndarray, edges: np.ndarray, place: np.ndarray, bound: np.ndarray, before: np.ndarray) -> None:
         some = sizes > 0
         self.heads = np.concatenate([self.heads, len(self.edges) + (np.cumsum(sizes) - sizes)[some]])
         self.owners = np.concatenate([self.owners, rows[some]])
-        self.edges, self.stretch = np.concatenate([self.edges, edges]), np.concatenate([self.stretch, stretch])
+        self.edges, self.place = np.concatenate([self.edges, edges]), np.concatenate([self.place, place])
         self.bound, self.before = np.concatenate([self.bound, bound]), np.concatenate([self.before, before])
 
     def best(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -493,6 +598,16 @@ def _stream(seeds: np.ndarray, number: int, use: int) -> np.ndarray:
     return mix(seeds + U((8 * number + use + 1) * BASE % (1 << 64)))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """``mix`` in place."""
+    x ^= x >> U(30)
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
+
+
 def _bits(base: np.ndarray, place: np.ndarray) -> np.ndarray:
     return mix(base + (place.astype(U) + U(1)) * U(BASE))
 

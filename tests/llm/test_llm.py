@@ -399,6 +399,51 @@ def test_sampling_is_by_row():
             assert np.split(x.ids, np.cumsum(x.n_ids)[:-1])[at].tolist() == ids and (x.logs[at], x.perturbed[at], x.inclusion[at]) == (log, value, chance)
 
 
+def test_sampling_keeps_what_is_met_again(monkeypatch):
+    """A store that runs over drops what was met once; common words aren't looked up anew."""
+    own = sp_sampling.Vocabulary(vocabulary(PIECES), kept=4000)
+    looked = []
+    pieces = own._pieces
+    monkeypatch.setattr(own, "_pieces", lambda codes, *more: looked.append(len(codes)) or pieces(codes, *more))
+    common = " ".join(LONG[:400].split()[:30])
+    rare = [" ".join("".join(x) for x in np.random.default_rng(k).choice(list("aehinorst"), (60, 9))) for k in range(12)]
+    sizes = []
+    for text in rare:
+        own.samples([common] * 3 + [text], np.arange(4), 3)
+        looked.clear()
+        own.samples([common], np.arange(1), 3)
+        sizes.append(sum(looked))
+    assert sum(sizes) == 0
+
+
+def test_sampling_bounds_few_edges(monkeypatch):
+    """Bounds are worked out near a path's start, where the largest are; the rest of a long text needs none."""
+    own = sp_sampling.Vocabulary(vocabulary(PIECES))
+    numbers = []
+    uniform = sp_sampling._uniform
+    monkeypatch.setattr(sp_sampling, "_uniform", lambda base, place: numbers.append(len(place)) or uniform(base, place))
+    text = " ".join(["there and over another interesting segmentation"] * 500)
+    drawn = own.samples([text], np.array([5]), 3)
+    assert drawn[0].sizes[0] > 3000 and sum(numbers) < 1500
+    monkeypatch.setattr(sp_sampling, "SPREAD", 1e9)  # all bounds
+    for x, y in zip(drawn, own.samples([text], np.array([5]), 3), strict=True):
+        assert x.ids.tolist() == y.ids.tolist() and (x.logs == y.logs).all() and (x.perturbed == y.perturbed).all() and (x.inclusion == y.inclusion).all()
+
+
+def test_sampling_with_equal_hashes_and_small_stores(monkeypatch):
+    """Neither hashes of stretches that clash nor a store that runs over change a result."""
+    texts = ["some words here", "", "here words some", LONG[:3000], "zwölf 中文 😀 中文", "x" * 300, "a▁b some", "", "here"]
+    seeds = np.arange(len(texts), dtype=np.int64) * 17 + 3
+    drawn = lambda own: [[a.tolist() for a in (x.rows, x.ids, x.n_ids, x.logs, x.perturbed, x.inclusion)] for x in own.samples(texts, seeds, 3)]
+    want = drawn(sp_sampling.Vocabulary(vocabulary(PIECES)))
+    for kept in (0, 500, 5000):
+        own = sp_sampling.Vocabulary(vocabulary(PIECES), kept=kept)
+        assert all(drawn(own) == want for _ in range(4))
+    monkeypatch.setattr(sp_sampling.Vocabulary, "_hashed", staticmethod(lambda codes, begin, sizes: sizes.astype(np.uint64) % np.uint64(2)))
+    own = sp_sampling.Vocabulary(vocabulary(PIECES), kept=500)
+    assert all(drawn(own) == want for _ in range(4))
+
+
 def test_sampling_round_trips(odd, empty):
     path = vocabulary(PIECES)
     found = sp_sampling.sampled(odd, path, [F.col("doc_id")], ["doc_id", "key", "own_text"])
