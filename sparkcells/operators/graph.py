@@ -6,76 +6,195 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import portable_hash
 from ..lineage import cut, few
 from ..shipping import shipped
+from . import blocks
 
-#: Points of one block of the blockwise search.
-BLOCK = 2048
+#: Queries whose distances are taken at once.
+TILE = 256
 
 
-def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+def _candidates(x: np.ndarray, y: np.ndarray, limit: np.ndarray, k: int, skip: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of the k nearest columns of each row, ties by column, none far beyond the row's ``limit``.
+
+    A product in single precision proposes, on values moved and scaled so that its rounding is
+    known; exact distances decide. skip: rows (ascending) and columns of pairs that aren't taken.
+    """
+    middle = x.mean(0)
+    own, other = x - middle, y - middle
+    size = max(np.abs(own).max(initial=0.0), np.abs(other).max(initial=0.0)) or 1.0
+    own, other = own / size, other / size
+    square, far = (own * own).sum(1), (other * other).sum(1)
+    # the product's rounding is far below this, so no nearest point is lost
+    slack = 8 * (x.shape[1] + 8) * (square + far.max(initial=0.0)) + 1e-30
+    with np.errstate(over="ignore"):
+        limit = (limit / size) ** 2 * (1 + 1e-12)
+        kind = np.float32 if np.median(limit) > np.median(slack) * np.finfo(np.float32).eps else np.float64
+        slack = slack * np.finfo(kind).eps
+        limit = (limit + slack - square).astype(kind)
+    own = np.concatenate([-2 * own, np.ones((len(own), 1))], 1).astype(kind)
+    other = np.concatenate([other, far[:, None]], 1).astype(kind).T
+    found, last = [], min(k, len(y)) - 1
+    for low in range(0, len(x), TILE):
+        rough = own[low : low + TILE] @ other
+        own_skip = slice(*np.searchsorted(skip[0], [low, low + TILE]))
+        rough[skip[0][own_skip] - low, skip[1][own_skip]] = np.inf
+        most = limit[low : low + TILE]
+        if (new := np.flatnonzero(~np.isfinite(most))).size:
+            most[new] = np.partition(rough[new], last, axis=1)[:, last] + 2 * slack[low + new]
+        at, col = np.divmod(np.flatnonzero(rough <= np.minimum(most, np.finfo(kind).max)[:, None]), rough.shape[1])
+        if at.size:
+            at = at + low
+            value = np.concatenate([np.sqrt(((x[at[p : p + (1 << 17)]] - y[col[p : p + (1 << 17)]]) ** 2).sum(1)) for p in range(0, len(at), 1 << 17)])
+            order = np.lexsort((col, value, at))
+            at, col, value = at[order], col[order], value[order]
+            top = np.arange(len(at)) - np.searchsorted(at, at) < k
+            found.append((at[top], col[top], value[top]))
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _same(names: pa.Array, others: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of equal names; others: ascending."""
+    first = pc.fill_null(pc.index_in(names, value_set=others), -1).to_numpy(zero_copy_only=False).astype(int)
+    rows = np.flatnonzero(first >= 0)
+    if not rows.size:
+        return rows, rows
+    runs = pc.run_end_encode(others).run_ends.to_numpy()
+    n = runs[np.searchsorted(runs, first[rows], side="right")] - first[rows]
+    return np.repeat(rows, n), np.repeat(first[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+class _Nearest:
+    """The k nearest of some points among the blocks that they have met; ties by name."""
+
+    def __init__(self, names: pa.Array, x: np.ndarray, k: int, include_self: bool):
+        self.names, self.x, self.k, self.include_self = names, x, k, include_self
+        self.far, self.found, self.known = np.full((len(x), k), np.inf), np.full((len(x), k), None, object), np.full(len(x), np.inf)
+
+    def expect(self, names: pa.Array, y: np.ndarray) -> None:
+        """These are met later: nothing that is farther than the k nearest of them has to be kept."""
+        at, _, value = _candidates(self.x, y, self.known, self.k, self._skip(self.names, names))
+        last = np.flatnonzero(np.arange(len(at)) - np.searchsorted(at, at) == self.k - 1)
+        self.known[at[last]] = value[last]
+
+    def meet(self, names: pa.Array, y: np.ndarray) -> None:
+        """names: ascending."""
+        limit = np.minimum(self.far[:, -1], self.known)
+        low, high = y.min(0), y.max(0)
+        gap = np.maximum(np.maximum(low - self.x, self.x - high), 0.0)
+        near = np.flatnonzero(np.sqrt((gap * gap).sum(1)) * (1 - 1e-12) <= limit)  # the others have k points nearer than any of these
+        if not near.size:
+            return
+        at, col, value = _candidates(self.x[near], y, limit[near], self.k, self._skip(self.names.take(pa.array(near)), names))
+        fine = value <= limit[near[at]]
+        if fine.any():
+            self._merge(near[at[fine]], value[fine], names.take(pa.array(col[fine])).to_numpy(zero_copy_only=False))
+
+    def _skip(self, names: pa.Array, others: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return (np.zeros(0, int), np.zeros(0, int)) if self.include_self else _same(names, others)
+
+    def _merge(self, at: np.ndarray, value: np.ndarray, name: np.ndarray) -> None:
+        rows = np.unique(at)
+        old = np.isfinite(self.far[rows])
+        at, value, name = np.concatenate([np.repeat(rows, old.sum(1)), at]), np.concatenate([self.far[rows][old], value]), np.concatenate([self.found[rows][old], name])
+        order = np.lexsort((value, at))
+        at, value, name = at[order], value[order], name[order]
+        same = (at[1:] == at[:-1]) & (value[1:] == value[:-1])
+        if same.any():
+            tied = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+            rank = np.zeros(len(at), int)
+            rank[tied] = np.unique(name[tied].astype(object), return_inverse=True)[1]
+            order = np.lexsort((rank, value, at))
+            at, value, name = at[order], value[order], name[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        top = place < self.k
+        self.far[rows], self.found[rows] = np.inf, None
+        self.far[at[top], place[top]], self.found[at[top], place[top]] = value[top], name[top]
+
+    def result(self) -> pa.RecordBatch:
+        at, place = np.nonzero(np.isfinite(self.far))
+        return pa.RecordBatch.from_arrays([self.names.take(pa.array(at)), pa.array(self.found[at, place], pa.string()), pa.array(self.far[at, place])], names=["src", "dst", "dist"])
+
+
+def _block(batch: pa.RecordBatch, row: int, names: str, x: str) -> tuple[pa.Array, np.ndarray]:
+    own = batch.column(names)[row].values
+    return own, np.frombuffer(batch.column(x)[row].as_buffer(), float).reshape(len(own), -1)
 
 
 def _nearest(k: int, include_self: bool):
     """The k nearest right points of each left point, ties by name."""
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
-        src, dst, dist = [], [], []
+        own = _Nearest(left.column("cell_id").combine_chunks(), blocks.vectors(left.column("vec")) if left.num_rows else np.zeros((0, 1)), k, include_self)
         if left.num_rows and right.num_rows:
-            a, b = np.array(left.column("cell_id").to_pylist(), object), np.array(right.column("cell_id").to_pylist(), object)
-            order = np.argsort(b)  # columns by name: equal distances are taken in that order
-            b = b[order]
-            x, y = _vectors(left.column("vec")), _vectors(right.column("vec"))[order]
-            square = (y * y).sum(1)
-            for low in range(0, len(a), 512):
-                own = x[low : low + 512]
-                rough = (own * own).sum(1)[:, None] + square[None, :] - 2 * (own @ y.T)
-                if not include_self:
-                    rough[a[low : low + 512, None] == b[None, :]] = np.inf
-                last = min(k, len(b)) - 1
-                limit = np.partition(rough, last, axis=1)[:, last]
-                # the product's rounding is far below this, so no nearest point is lost
-                at, col = np.nonzero((rough <= (limit + 1e-7 * (1 + np.abs(limit)))[:, None]) & np.isfinite(rough))
-                value = ((own[at] - y[col]) ** 2).sum(1)
-                order = np.lexsort((col, value, at))
-                at, col, value = at[order], col[order], value[order]
-                top = np.arange(len(at)) - np.searchsorted(at, at) < k
-                src += a[low + at[top]].tolist()
-                dst += b[col[top]].tolist()
-                dist += np.sqrt(value[top]).tolist()
-        return pa.table({"src": pa.array(src, pa.string()), "dst": pa.array(dst, pa.string()), "dist": pa.array(dist, pa.float64())})
+            right = right.sort_by("cell_id")
+            own.meet(right.column("cell_id").combine_chunks(), blocks.vectors(right.column("vec")))
+        return pa.Table.from_batches([own.result()])
 
     return near
 
 
-def knn(coords: DataFrame, k: int = 10, include_self: bool = True, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def _placed(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def _search(left: DataFrame, right: DataFrame, k: int, include_self: bool) -> DataFrame:
+    """(src, dst, dist, place) of packed blocks (one table: of its points among themselves).
+
+    A left block meets all right blocks, keeps its points' k nearest as it goes on and skips the
+    blocks that are too far, so k rows a point come out and what is dealt grows with the points.
+    """
+    same = left is right
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Nearest] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                i = batch.column("i")[row].as_py()
+                if i not in held:
+                    names, x = _block(batch, row, "names", "x")
+                    held[i] = own = _Nearest(pa.array(names.to_pylist(), pa.string()), x.copy(), k, include_self)  # copies: a batch is large
+                    if same:
+                        own.expect(own.names, own.x)
+                held[i].meet(*_block(batch, row, "others", "y"))
+        for own in held.values():
+            yield own.result()
+
+    tasks = max(1, left.count())
+    pairs = blocks.paired(left, right.select(F.col("i").alias("j"), F.col("names").alias("others"), F.col("x").alias("y")), tasks, "i")
+    return _placed(shipped(pairs).mapInArrow(visit, "src string, dst string, dist double"), k)
+
+
+def knn(coords: DataFrame, k: int = 10, include_self: bool = True, queries: DataFrame | None = None, block: int = blocks.BLOCK) -> DataFrame:
     """(src, dst, dist, place): the exact k nearest points by Euclidean distance; ties by name.
 
-    coords: (cell_id, vec). Points and queries are dealt into blocks, each pair of blocks is one
-    matrix product that proposes, exact distances decide, and at most k rows a query come out of it
-    and are merged. The work and the rows dealt grow with the square of the points; see
-    :func:`knn_probed` for tables where that is too much.
+    coords: (cell_id, vec). Points that are near one another are packed into blocks, and all pairs
+    of blocks meet without being dealt: products propose, exact distances decide, and blocks too far
+    away are skipped. Of points without structure in many axes none are, and the work grows with
+    their square; see :func:`knn_probed` for tables where that is too much.
     """
-    asking = coords if queries is None else queries
-    n, m = coords.count(), asking.count()
-    rows, cols = max(1, -(-m // block)), max(1, -(-n // block))
-    ask = asking.select("cell_id", "vec", F.pmod(F.xxhash64("cell_id"), F.lit(rows)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("j"))
-    have = coords.select("cell_id", "vec", F.pmod(F.xxhash64("cell_id"), F.lit(cols)).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"))
+    rows = coords.where("size(vec) > 0")
+    right = blocks.packed(rows, blocks.by_place(rows, rows.count(), block), block)
+    if queries is None:
+        return _search(right, right, k, include_self)
+    asking = queries.where("size(vec) > 0")
+    return _search(blocks.packed(asking, blocks.by_place(asking, asking.count(), block), block), right, k, include_self)
 
-    near = _nearest(k, include_self)
-    have = have.select(*[F.col(c).alias(c) for c in have.columns])  # both sides may begin at one table
-    found = shipped(ask).groupBy("i", "j").cogroup(have.groupBy("i", "j")).applyInArrow(near, "src string, dst string, dist double")
-    place = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
+
+def _cells(x: np.ndarray, centres: np.ndarray, probes: int = 1) -> np.ndarray:
+    """The numbers of the ``probes`` nearest centres of each row."""
+    size = (centres * centres).sum(1)
+    near = [np.argsort(size - 2 * (x[a : a + 256] @ centres.T), axis=1, kind="stable")[:, :probes] if probes > 1 else np.argmin(size - 2 * (x[a : a + 256] @ centres.T), axis=1)[:, None] for a in range(0, len(x), 256)]
+    return np.concatenate(near) if near else np.zeros((0, 1), int)
 
 
-def knn_probed(coords: DataFrame, k: int = 10, include_self: bool = True, probes: int = 8, cell: int = 4096, sample: int = 50_000, block: int = BLOCK) -> DataFrame:
+def knn_probed(coords: DataFrame, k: int = 10, include_self: bool = True, probes: int = 8, cell: int = 4096, sample: int = 50_000, block: int = blocks.BLOCK) -> DataFrame:
     """(src, dst, dist, place): the k nearest of the points in the ``probes`` nearest cells of a point.
 
     The cells are those of k-means, fitted on about ``sample`` points, as many as make cells of
@@ -100,10 +219,10 @@ def knn_probed(coords: DataFrame, k: int = 10, include_self: bool = True, probes
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own, n_own = held.value, len(held.value)
-                x = _vectors(pa.chunked_array([batch.column("vec")]))
-                near = np.argsort((own * own).sum(1)[None, :] - 2 * (x @ own.T), axis=1, kind="stable")[:, :probes] if n_own > 1 else np.zeros((len(x), 1), int)
-                yield pa.RecordBatch.from_arrays([batch.column("cell_id"), batch.column("vec"), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["cell_id", "vec", "cells"])
+                x = blocks.vectors(batch.column("vec"))
+                near = _cells(x, held.value, probes)
+                made = pa.RecordBatch.from_arrays([batch.column("cell_id"), batch.column("vec"), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["cell_id", "vec", "cells"])
+                yield made.filter(pa.array(np.isfinite(x).all(1)))
 
     placed = cut(shipped(rows.select("cell_id", F.col("vec").cast("array<double>").alias("vec"))).mapInArrow(visit, "cell_id string, vec array<double>, cells array<int>"))
     sizes = few(placed.groupBy(F.get("cells", F.lit(0)).alias("at")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), 200_000)
@@ -116,8 +235,7 @@ def knn_probed(coords: DataFrame, k: int = 10, include_self: bool = True, probes
     near = _nearest(k, include_self)
     have = have.select(*[F.col(c).alias(c) for c in have.columns])  # both sides begin at one table
     found = shipped(ask).groupBy("at", "j", "i").cogroup(have.groupBy("at", "j", "i")).applyInArrow(near, "src string, dst string, dist double")
-    place = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
+    return _placed(found, k)
 
 
 def recall(found: DataFrame, coords: DataFrame, k: int = 10, include_self: bool = True, queries: int = 256) -> float:

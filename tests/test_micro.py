@@ -1,6 +1,7 @@
 """Small tables with expected values worked out by hand."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -315,3 +316,48 @@ def test_cut_tables(spark):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written)
     assert not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
     assert lineage.few(spark.range(5), 3).count() == 5 and lineage.few(spark.range(3), 3).count() == 3
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_knn_deals_no_copies(spark):
+    """Points meet all others, but none is dealt more than once however many blocks there are."""
+    coords = spark.range(300).select(F.col("id").cast("string").alias("cell_id"), F.array(F.rand(1), F.rand(2)).alias("vec")).localCheckpoint()
+    found = graph.knn(coords, 3, block=16)
+    assert "Generate" not in plan(found) and "CoGroups" not in plan(found)
+    assert found.count() == 900
+
+
+def test_knn_of_odd_points(spark):
+    """Equal distances across blocks go by name; points alike, far values and empty tables."""
+    rows = [(f"a{k:02d}", [1.0, 1.0]) for k in range(30)] + [(f"b{k}", [1e9 + k, -1e9]) for k in range(20)] + [("nan", [float("nan"), 0.0]), ("none", [])]
+    coords = spark.createDataFrame(rows, "cell_id string, vec array<double>")
+    found = {}
+    for r in graph.knn(coords, 3, False, block=8).orderBy("place").collect():
+        found.setdefault(r["src"], []).append((r["dst"], r["dist"]))
+    assert len(found) == 50 and found["a00"] == [("a01", 0.0), ("a02", 0.0), ("a03", 0.0)] and found["a29"] == [("a00", 0.0), ("a01", 0.0), ("a02", 0.0)]
+    assert found["b5"] == [("b4", 1.0), ("b6", 1.0), ("b3", 2.0)]
+    asked = graph.knn(coords, 1, True, coords.where("cell_id = 'b7'"), 8).collect()
+    assert [(r["src"], r["dst"], r["dist"]) for r in asked] == [("b7", "b7", 0.0)]
+    assert graph.knn(coords.limit(0), 3).count() == 0
+    # the neighbours of one point, in the order in which its blocks come
+    names, x = pa.array(["q"]), np.array([[0.0, 0.0]])
+    for order in ((0, 1), (1, 0)):
+        own = graph._Nearest(names, x, 1, True)
+        for k in order:
+            own.meet(pa.array([("n1", "n0")[k]]), np.array([[(3.0, 4.0), (4.0, 3.0)][k]]))
+        assert own.result().to_pydict() == {"src": ["q"], "dst": ["n0"], "dist": [5.0]}
+
+
+def test_blocks_by_place():
+    from sparkcells.operators import blocks
+
+    x = np.random.default_rng(5).normal(size=(4000, 3))
+    x[:1000] = x[0]  # points alike can't be split
+    tree = blocks.Tree(x, 20)
+    leaf = tree.leaf(x)
+    assert np.bincount(leaf).tolist() == tree.sizes and sorted(tree.sizes)[-1] < 1400 and sorted(tree.sizes)[-2] <= 300
+    place = blocks.spread(tree.leaf, np.array(tree.sizes), 200)(x, np.arange(4000))
+    assert np.bincount(place).max() <= 300 and all(len(np.unique(leaf[place == k])) == 1 for k in np.unique(place))
