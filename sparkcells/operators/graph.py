@@ -200,7 +200,8 @@ def knn_probed(coords: DataFrame, k: int = 10, include_self: bool = True, probes
     The cells are those of k-means, fitted on about ``sample`` points, as many as make cells of
     about ``cell`` points, a tenth of the sample at most; a larger cell is searched in blocks. A point meets probes * cell others
     however many points there are, and is dealt ``probes`` times. ``recall`` measures what is lost;
-    with as many probes as cells nothing is.
+    with as many probes as cells nothing is. Then a point isn't dealt to them: neighbouring cells
+    are packed into blocks, which meet as those of :func:`knn` do.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -214,6 +215,9 @@ def knn_probed(coords: DataFrame, k: int = 10, include_self: bool = True, probes
         centres = np.array(fitted.clusterCenters())
     else:
         centres = np.zeros((1, 1))
+    if probes >= len(centres):
+        every = blocks.packed(rows, _by_cell(rows, n, centres, block), block)
+        return _search(every, every, k, include_self)
     held = coords.sparkSession.sparkContext.broadcast(centres)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +242,15 @@ def knn_probed(coords: DataFrame, k: int = 10, include_self: bool = True, probes
     return _placed(found, k)
 
 
+def _by_cell(rows: DataFrame, n: int, centres: np.ndarray, block: int):
+    """The block of each row of an array: neighbouring cells share one, a large cell is in several."""
+    if n <= block or len(centres) == 1 or not len(x := blocks.some(rows, n)):
+        return blocks.by_place(rows, n, block)
+    shared = blocks.Tree(centres, -(-n // block)).leaf(centres)
+    leaf = lambda y: shared[_cells(y, centres)[:, 0]]
+    return blocks.spread(leaf, np.bincount(leaf(x), minlength=shared.max() + 1) * (n / len(x)), block)
+
+
 def recall(found: DataFrame, coords: DataFrame, k: int = 10, include_self: bool = True, queries: int = 256) -> float:
     """The share of the true k nearest that ``found`` holds, for about so many points chosen by hash."""
     n = max(coords.count(), 1)

@@ -361,3 +361,10 @@ def test_blocks_by_place():
     assert np.bincount(leaf).tolist() == tree.sizes and sorted(tree.sizes)[-1] < 1400 and sorted(tree.sizes)[-2] <= 300
     place = blocks.spread(tree.leaf, np.array(tree.sizes), 200)(x, np.arange(4000))
     assert np.bincount(place).max() <= 300 and all(len(np.unique(leaf[place == k])) == 1 for k in np.unique(place))
+
+
+def test_knn_probed_in_all_cells_deals_no_copies(spark):
+    coords = spark.range(400).select(F.col("id").cast("string").alias("cell_id"), F.array(F.rand(1), F.rand(2)).alias("vec")).localCheckpoint()
+    found = graph.knn_probed(coords, 3, probes=1 << 20, cell=10, block=32)
+    assert "Generate" not in plan(found) and "CoGroups" not in plan(found)
+    assert {(r["src"], r["dst"]) for r in found.collect()} == {(r["src"], r["dst"]) for r in graph.knn(coords, 3).collect()}
