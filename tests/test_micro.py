@@ -368,3 +368,25 @@ def test_knn_probed_in_all_cells_deals_no_copies(spark):
     found = graph.knn_probed(coords, 3, probes=1 << 20, cell=10, block=32)
     assert "Generate" not in plan(found) and "CoGroups" not in plan(found)
     assert {(r["src"], r["dst"]) for r in found.collect()} == {(r["src"], r["dst"]) for r in graph.knn(coords, 3).collect()}
+
+
+def test_gene_gene_in_blocks(spark, monkeypatch):
+    """Blocks of few genes give what numpy does; no pair of genes and cell is a row."""
+    rng = np.random.default_rng(4)
+    x = rng.random((60, 23)) * (rng.random((60, 23)) < 0.3)
+    x[:, 5], x[:, 6] = 2.0, 0.0
+    rows = [(str(c), f"g{k:02d}", float(x[c, k])) for c in range(60) for k in range(23) if x[c, k]]
+    expr = spark.createDataFrame(rows, "cell_id string, gene string, value double")
+    monkeypatch.setattr(corr, "GENES", 5)
+    monkeypatch.setattr(corr, "ENTRIES", 60)
+    monkeypatch.setattr(corr, "PRODUCTS", 50)
+    found = corr.gene_gene(expr, 60, expr.select("gene"))
+    assert "SortMergeJoin" not in plan(found) and "CartesianProduct" in plan(found)
+    got = {(r["a"], r["b"]): r["corr"] for r in found.collect()}
+    kept = [k for k in range(23) if k != 6]
+    assert set(got) == {(f"g{a:02d}", f"g{b:02d}") for a in kept for b in kept if a < b}
+    for (a, b), r in got.items():
+        i, j = int(a[1:]), int(b[1:])
+        assert r is None if 5 in (i, j) else abs(r - np.corrcoef(x[:, i], x[:, j])[0, 1]) < 1e-9
+    some = {(r["a"], r["b"]): r["corr"] for r in corr.pruned(corr.gene_gene(expr, 60, expr.select("gene"), 0.1), 0.1).collect()}
+    assert some == {k: r for k, r in got.items() if r is not None and r >= 0.1}
