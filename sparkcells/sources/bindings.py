@@ -10,6 +10,8 @@ from ..model import Dataset
 from .tables import read
 
 TOKEN = "^[a-zà-ÿ]{2,12}\\z"
+#: Bytes of text whose tokens one task counts.
+TEXT = 8 << 20
 
 
 def normalised(counts: DataFrame, target: float = 1e4) -> DataFrame:
@@ -24,9 +26,12 @@ def normalised(counts: DataFrame, target: float = 1e4) -> DataFrame:
 def document_counts(spark: SparkSession, folder: str) -> DataFrame:
     """(cell_id, gene, n, total): the tokens of each document and all that it has of them.
 
-    Texts are dealt by document once, and tokens and totals are both counted where they then lie.
+    Texts are dealt by document once, and tokens and totals are both counted where they then lie. A
+    task's memory follows the tokens that it holds, so there are as many tasks as the texts' size asks for.
     """
-    docs = read(spark, folder, "documents").where("doc_id is not null").select("doc_id", "text").repartition("doc_id")
+    docs = read(spark, folder, "documents").where("doc_id is not null").select("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.repartition(max(1, -(-size // TEXT), min(spark.sparkContext.defaultParallelism, size >> 20)), "doc_id")
     tokens = docs.select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("gene"))
     counts = tokens.where(F.col("gene").rlike(TOKEN)).groupBy("doc_id", "gene").agg(F.count("*").cast("double").alias("n"))
     counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("doc_id")))

@@ -390,3 +390,15 @@ def test_gene_gene_in_blocks(spark, monkeypatch):
         assert r is None if 5 in (i, j) else abs(r - np.corrcoef(x[:, i], x[:, j])[0, 1]) < 1e-9
     some = {(r["a"], r["b"]): r["corr"] for r in corr.pruned(corr.gene_gene(expr, 60, expr.select("gene"), 0.1), 0.1).collect()}
     assert some == {k: r for k, r in got.items() if r is not None and r >= 0.1}
+
+
+def test_documents_are_counted_in_small_parts(spark, monkeypatch):
+    from sparkcells.sources import bindings
+
+    folder = "/root/testdata/sf0.001"
+    rows = lambda: sorted(map(tuple, bindings.document_counts(spark, folder).collect()))
+    want = rows()
+    monkeypatch.setattr(bindings, "TEXT", 20_000, raising=False)
+    size = spark.read.parquet(f"{folder}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert bindings.document_counts(spark, folder).rdd.getNumPartitions() >= size / 20_000 > 8
+    assert rows() == want
