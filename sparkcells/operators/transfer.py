@@ -136,11 +136,20 @@ def roc(proba: DataFrame, truth: DataFrame, name: str) -> DataFrame:
     return found.select(F.col("p").alias("threshold"), rate("misses").alias("fpr"), rate("hits").alias("tpr"))
 
 
-def pca(expr: DataFrame, cells: DataFrame, k: int = 50, genes: DataFrame | None = None) -> DataFrame:
-    """(cell_id, vec): principal components, for up to a few thousand genes."""
+def pca(expr: DataFrame, cells: DataFrame, k: int = 50, genes: DataFrame | None = None, shift: DataFrame | None = None) -> DataFrame:
+    """(cell_id, vec): principal components, for up to a few thousand genes.
+
+    shift: (gene, value) that every cell has besides its own; it moves all cells alike.
+    """
     from pyspark.ml.feature import PCA
 
     genes = gene_places(expr) if genes is None else genes
+    genes = cut(genes)
     rows = vectors(expr, genes, cells)
     model = PCA(k=k, inputCol="features", outputCol="vec").fit(rows)
-    return model.transform(rows).select("cell_id", vector_to_array("vec").alias("vec"))
+    vec = vector_to_array("vec")
+    if shift is not None:
+        held = {r["place"]: r["value"] for r in genes.join(shift, "gene").collect()}
+        moved = model.pc.toArray().T @ [held.get(j, 0.0) for j in range(model.pc.numRows)]
+        vec = F.zip_with(vec, F.array(*[F.lit(float(x)) for x in moved]), lambda a, b: a + b)
+    return model.transform(rows).select("cell_id", vec.alias("vec"))

@@ -402,3 +402,23 @@ def test_documents_are_counted_in_small_parts(spark, monkeypatch):
     size = spark.read.parquet(f"{folder}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
     assert bindings.document_counts(spark, folder).rdd.getNumPartitions() >= size / 20_000 > 8
     assert rows() == want
+
+
+def test_components_of_scaled_values(spark):
+    """The step s decides what components and neighbours are found; a gene of large values doesn't outweigh the others."""
+    from sparkcells.plans import process
+
+    rng = np.random.default_rng(6)
+    x = rng.poisson(3.0, (40, 6)) * np.array([1, 1, 1, 1, 1, 400])
+    counts = spark.createDataFrame([(f"c{c:02d}", f"g{k}", float(x[c, k])) for c in range(40) for k in range(6) if x[c, k]], "cell_id string, gene string, n double")
+    found = process.process(counts, "lspk", n_pcs=3, n_neighbors=4)
+    values = np.log1p(x)
+    z = np.minimum((values - values.mean(0)) / values.std(0, ddof=1), 10)
+    got = np.array([r["vec"] for r in found["pca"].orderBy("cell_id").collect()])
+    axes = np.linalg.svd(z - z.mean(0))[2][:3]
+    want = z @ axes.T
+    assert np.allclose(got, want * np.sign((got * want).sum(0)))
+    far = np.sqrt(((want[:, None] - want[None]) ** 2).sum(2))
+    assert {(r["src"], r["dst"]) for r in found["knn"].collect()} == {(f"c{i:02d}", f"c{j:02d}") for i in range(40) for j in np.argsort(far[i], kind="stable")[:4]}
+    plain = process.process(counts, "lp", n_pcs=3)["pca"].orderBy("cell_id").collect()
+    assert not np.allclose(np.abs(np.array([r["vec"] for r in plain])), np.abs(got))
