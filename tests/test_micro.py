@@ -422,3 +422,13 @@ def test_components_of_scaled_values(spark):
     assert {(r["src"], r["dst"]) for r in found["knn"].collect()} == {(f"c{i:02d}", f"c{j:02d}") for i in range(40) for j in np.argsort(far[i], kind="stable")[:4]}
     plain = process.process(counts, "lp", n_pcs=3)["pca"].orderBy("cell_id").collect()
     assert not np.allclose(np.abs(np.array([r["vec"] for r in plain])), np.abs(got))
+
+
+def test_pairs_of_a_row_are_in_one_task(spark):
+    from sparkcells.lineage import cut
+    from sparkcells.operators import blocks
+
+    left, right = cut(spark.range(0, 6, 1, 2)), cut(spark.range(0, 40, 1, 8).withColumnRenamed("id", "other"))
+    rows = blocks.paired(left, right, 3, "id").select("id", "other", F.spark_partition_id().alias("task")).collect()
+    assert {(r["id"], r["other"]) for r in rows} == {(a, b) for a in range(6) for b in range(40)} and len(rows) == 240
+    assert len({(r["id"], r["task"]) for r in rows}) == 6 and len({r["task"] for r in rows}) > 1
